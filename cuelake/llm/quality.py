@@ -50,7 +50,7 @@ def repeated_words(words: Column) -> Column:
         return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), total).otherwise(0)
 
     word_hashes = F.transform(words, lambda w: F.xxhash64(w))
-    windows = let(word_hashes, lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - WINDOW + 1), lambda i: F.xxhash64(F.slice(h, i, WINDOW))))
+    windows = let(word_hashes, lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)])))
     return F.when(size > WINDOW, let(windows, covered)).otherwise(0).cast("long")
 
 
@@ -97,11 +97,10 @@ def tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k <= n * p, total).otherwise(1.0)
 
 
-def calibrate(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """Cutoffs per stratum: (stratum, one nullable column per rule). The lowest proven cutoff of a rule is taken."""
+def calibrate(seen: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """Cutoffs per stratum from documents with ``q``: (stratum, one nullable column per rule). The lowest proven cutoff is taken."""
     good = labels.groupBy(F.col(id_col).alias("label_id")).agg(F.min("quality").alias("quality")).where("quality = 1")
-    seen = counts(docs.select(F.col(id_col).alias("label_id"), F.col(text).alias("text"), F.coalesce(F.col(stratum), F.lit("")).alias("stratum")), "text", repeats=False)
-    seen = seen.select("label_id", "stratum", "q").join(good, "label_id", "left_semi")
+    seen = seen.select(F.col(id_col).alias("label_id"), F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), "q").join(good, "label_id", "left_semi")
     tests = [(rule, c, (100 * num > c * den)) for (rule, cuts), (num, den) in zip(RULES.items(), ratios().values(), strict=True) for c in cuts]
     by = seen.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(hit).alias(f"k{i}") for i, (_, _, hit) in enumerate(tests)])
     by = by.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) * len(tests))  # a row per stratum
@@ -110,13 +109,12 @@ def calibrate(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
     return proven.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(r) for r in RULES])
 
 
-def judge(docs: DataFrame, cutoffs: DataFrame, *, text: str = "text", stratum: str = "lang") -> DataFrame:
-    """docs with ``q`` (counts), ``base_failed`` and ``kept``. Cutoffs are one row per stratum, counted before any broadcast."""
+def judge(seen: DataFrame, cutoffs: DataFrame, *, stratum: str = "lang") -> DataFrame:
+    """Documents with ``q`` get ``base_failed`` and ``kept``. Cutoffs are one row per stratum, counted before any broadcast."""
     cutoffs = cutoffs.select(F.col("stratum").alias("_s"), F.struct(*RULES).alias("_cut"))
-    seen = counts(docs.withColumn("_key", F.coalesce(F.col(stratum), F.lit(""))), text)
-    joined = seen.join(small(cutoffs, cutoffs.count()), F.col("_key") == F.col("_s"), "left")
+    joined = seen.join(small(cutoffs, cutoffs.count()), F.coalesce(F.col(stratum), F.lit("")) == F.col("_s"), "left")
     q, over = F.col("q"), F.lit(False)
     for rule, (num, den) in ratios().items():
         over |= F.coalesce(100 * num > F.col("_cut")[rule] * den, F.lit(False))
     failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEAT_PERCENT * q["n_words"])
-    return joined.withColumns({"base_failed": failed, "kept": ~failed & ~over}).drop("_key", "_s", "_cut")
+    return joined.withColumns({"base_failed": failed, "kept": ~failed & ~over}).drop("_s", "_cut")

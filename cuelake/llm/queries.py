@@ -7,17 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import quality
-from cuelake.llm.common import read
+from cuelake.llm import postings, quality
+from cuelake.llm.common import Work, read
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    out = postings.contamination(Work(spark, "postings"), docs.select("doc_id", "text"), items)
+    n_items, digest = F.size("items").cast("long"), F.sha2(F.array_join("items", ","), 256)
+    return out.select("doc_id", "n_words", "n_hit", n_items.alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Work(spark, "quality")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    judged = quality.judge(docs, quality.calibrate(docs, read(spark, sf_dir, "labels")))
+    seen = work.cut(quality.counts(docs, "text").drop("text"))  # each text is read once
+    cutoffs = work.cut(quality.calibrate(seen, read(spark, sf_dir, "labels")))
+    judged = quality.judge(seen, cutoffs)
     q = [F.col(f"q.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return judged.select("doc_id", *q, "base_failed", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_decontamination": op4_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from cuelake.llm import quality
+from cuelake.llm import postings, quality
+from cuelake.llm.common import LOWER, UPPER
 
 _RULES = {
     "symbols_per_word": ("n_symbols", "n_words"),
@@ -42,4 +43,20 @@ j AS (SELECT q.*, (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {qual
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT over AS kept FROM j
 """
 
-ORACLES: dict[str, str] = {"op10_quality_rules": OP10}
+OP4 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+bw AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + {postings.WINDOW - 1}], ' ') AS g, least(len(ws), {postings.WINDOW}) AS size
+       FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - {postings.WINDOW - 2}, 2))) AS i FROM b WHERE len(ws) > 0)),
+dw AS (SELECT doc_id, i, size, array_to_string(ws[i:i + size - 1], ' ') AS g
+       FROM (SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM bw) WHERE len(ws) >= size)),
+hit AS (SELECT dw.doc_id, dw.i, dw.size, bw.item_id FROM dw JOIN bw ON dw.g = bw.g AND dw.size = bw.size),
+pos AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS p FROM hit) GROUP BY doc_id),
+own AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(pos.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(own.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(own.ids, '')) AS items_sha256, pos.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN own ON d.doc_id = own.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op4_decontamination": OP4, "op10_quality_rules": OP10}
