@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import postings, quality
+from cuelake.llm import lines, minhash, postings, quality
 from cuelake.llm.common import Work, read
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.near_duplicates(Work(spark, "minhash"), read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     out = postings.contamination(Work(spark, "postings"), docs.select("doc_id", "text"), items)
@@ -18,6 +23,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", n_items.alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, its numbers of lines and of lines that went, and the text that stays."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(Work(spark, "lines"), docs)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Work(spark, "quality")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -29,6 +40,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_minhash_dedup": op2_minhash_dedup,
     "op4_decontamination": op4_decontamination,
+    "op5_line_dedup": op5_line_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
