@@ -4,18 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import lines, minhash, postings, quality
+from cuelake.llm import chat, language, lines, minhash, packing, pages, postings, quality, shards, toxicity
 from cuelake.llm.common import Work, read
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(Work(spark, "packing"), read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = minhash.near_duplicates(Work(spark, "minhash"), read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
+def held_out(remainder: int, divisor: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor == remainder
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.train(docs.where(~held_out(1, 3)), read(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    out = toxicity.score(docs.withColumn("held_out", held_out(1, 3)), machine)
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     out = postings.contamination(Work(spark, "postings"), docs.select("doc_id", "text"), items)
@@ -29,6 +45,36 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(Work(spark, "lines"), docs)
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shards.shard(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = language.train(docs.where(~held_out(2, 4)))
+    out = language.predict(docs.select("doc_id", "text", held_out(2, 4).alias("held_out")), net)
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], turns.schema)
+    out = chat.render(chat.final_messages(chat.log_of_turns(turns.unionByName(extra))))
+    out = out.select("conv", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("said"))
+    spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        F.col("conv").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(spoken, 256).alias("turns_sha256"),
+        F.length("said").cast("long").alias("loss_chars"), F.sha2("said", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pages.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Work(spark, "quality")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -40,8 +86,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_decontamination": op4_decontamination,
     "op5_line_dedup": op5_line_dedup,
+    "op6_sharding": op6_sharding,
+    "op7_language": op7_language,
+    "op8_chat_format": op8_chat_format,
+    "op9_html_text": op9_html_text,
     "op10_quality_rules": op10_quality_rules,
 }

@@ -74,4 +74,15 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(pos.n, 0) AS
 FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN own ON d.doc_id = own.doc_id
 """
 
-ORACLES: dict[str, str] = {"op2_minhash_dedup": OP2, "op4_decontamination": OP4, "op10_quality_rules": OP10}
+_ESC = "replace(replace(replace({}, chr(92), chr(92) || chr(92)), '<', chr(92) || 'l'), '[', chr(92) || 'b')"
+OP8 = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+g AS (SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS spoken,
+             coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '') AS said,
+             sum(24 + length(replace({_ESC.format("role")}, chr(10), chr(92) || 'n')) + length({_ESC.format("text")})) AS chars FROM c GROUP BY conv_id)
+SELECT conv_id, CAST(n AS BIGINT) AS n_turns, sha256(spoken) AS turns_sha256, CAST(length(said) AS BIGINT) AS loss_chars,
+       sha256(said) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM g
+"""
+
+ORACLES: dict[str, str] = {"op2_minhash_dedup": OP2, "op4_decontamination": OP4, "op8_chat_format": OP8, "op10_quality_rules": OP10}
