@@ -46,6 +46,13 @@ TABLE = (
     ((2, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0), 0), ((5, 0.8, 60, 0.0, 5, 0.9, 0, 0, 0), 0), ((14, 0.9, 12, 0.9, 15, 0.9, 0, 0, 0), 0), ((28, 0.7, 4, 1.0, 5, 1.0, 0, 0, 0), 0),
     ((3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0), 0), ((5, 0.0, 4, 0.0, 3, 0.0, 0, 0, 0), 0), ((4, 0.0, 1, 1.0, 6, 0.0, 0, 0, 0), 0), ((7, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0), 0),
     ((2, 0.0, 2, 0.8, 2, 1.0, 0, 0, 1), 0), ((3, 1.0, 20, 0.0, 2, 1.0, 0, 0, 1), 0), ((6, 0.5, 5, 0.0, 4, 0.6, 0, 0, 0), 0), ((8, 0.1, 30, 0.0, 4, 1.0, 0, 0, 0), 0),
+    ((5, 0.0, 30, 0.0, 2, 1.0, 1, 0, 0), 1), ((12, 0.0, 9, 0.0, 3, 0.0, 1, 0, 0), 1), ((33, 0.0, 22, 0.0, 0, 0.0, 1, 0, 0), 1), ((7, 0.0, 8, 0.0, 7, 0.0, 1, 0, 0), 1),
+    ((2, 0.0, 5, 0.0, 4, 0.0, 1, 0, 0), 1), ((50, 0.0, 5, 0.0, 9, 0.0, 1, 0, 0), 1), ((40, 0.0, 60, 0.0, 5, 0.5, 1, 0, 0), 1), ((20, 0.0, 20, 0.0, 20, 0.0, 1, 0, 0), 1),
+    ((10, 0.5, 10, 0.0, 10, 0.0, 1, 0, 0), 1), ((3, 0.0, 3, 0.0, 3, 0.0, 1, 0, 0), 1), ((90, 0.0, 90, 0.0, 10, 0.0, 1, 0, 0), 1), ((15, 0.0, 1, 1.0, 16, 0.0, 1, 0, 0), 1),
+    ((6, 0.0, 6, 0.0, 12, 0.0, 1, 0, 0), 1), ((24, 0.0, 30, 0.0, 11, 0.0, 1, 0, 0), 1), ((8, 0.0, 1, 1.0, 45, 0.0, 0, 1, 0), 0), ((25, 0.0, 1, 1.0, 50, 0.0, 0, 1, 0), 0),
+    ((30, 0.0, 40, 0.0, 60, 0.0, 1, 1, 0), 0), ((60, 0.0, 70, 0.0, 65, 0.0, 1, 1, 0), 0), ((50, 0.1, 40, 0.0, 45, 0.0, 0, 1, 0), 0), ((20, 0.0, 10, 0.0, 40, 0.0, 0, 1, 0), 0),
+    ((2, 1.0, 2, 1.0, 30, 0.0, 0, 1, 0), 0), ((12, 0.0, 30, 0.0, 33, 0.0, 1, 1, 0), 0), ((45, 0.0, 55, 0.0, 50, 0.0, 0, 1, 0), 0), ((1, 1.0, 5, 0.0, 60, 0.0, 1, 1, 0), 0),
+    ((70, 0.0, 5, 0.0, 28, 0.0, 1, 1, 0), 0), ((28, 0.0, 28, 0.0, 28, 0.0, 0, 1, 0), 0), ((10, 0.0, 10, 0.0, 10, 0.0, 1, 1, 0), 0), ((22, 0.0, 22, 0.0, 26, 0.0, 1, 1, 0), 0),
 )
 
 
