@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelake.llm.common import Work
@@ -39,9 +39,12 @@ def components(work: Work, edges: DataFrame) -> DataFrame:
 class Groups:
     """Links confirmed so far, and the groups that they form."""
 
-    def __init__(self, work: Work, verify: Callable[[DataFrame], DataFrame]) -> None:
-        """verify: takes distinct pairs (a, b), a < b, and returns those that are links."""
-        self.work, self.verify = work, verify
+    def __init__(self, work: Work, verify: Callable[[DataFrame], DataFrame], traits: DataFrame | None = None, near: Callable[[Column, Column], Column] | None = None) -> None:
+        """verify: takes distinct pairs (a, b), a < b, and returns those that are links.
+
+        traits: (item, trait), a long per item, for near(trait, trait), which must hold of every link; other pairs are not made.
+        """
+        self.work, self.verify, self.traits, self.near = work, verify, traits, near
         self.edges: DataFrame | None = None
         self.tested: DataFrame | None = None
         self.labels: DataFrame | None = None
@@ -59,35 +62,42 @@ class Groups:
         members = members if "side" in members.columns else members.withColumn("side", F.lit(2))
         while rounds is None or rounds > 0:
             rounds = None if rounds is None else rounds - 1
+            now = members.withColumns({"component": F.col("item"), "trait": F.lit(None).cast("long")})
             if self.labels is None and hubs == 1 and not sided:
                 live = members.groupBy("bucket").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).where("lo < hi")
-                live = live.select("bucket", F.array(F.struct(F.col("lo").alias("hub"), F.lit(2).alias("side"))).alias("hubs"))
+                live = live.select("bucket", F.array(F.struct(F.col("lo").alias("item"), F.lit(2).alias("side"), F.col("lo").alias("component"), F.lit(None).cast("long").alias("trait"))).alias("hubs"))
             else:
-                now = members.withColumn("component", F.col("item"))
                 if self.labels is not None:
-                    now = members.join(self.labels, "item", "left").select("bucket", "item", "side", F.coalesce("component", "item").alias("component"))
+                    now = now.drop("component").join(self.labels, "item", "left").withColumn("component", F.coalesce("component", "item"))
+                if self.traits is not None:
+                    now = now.drop("trait").join(self.traits, "item", "left")
                 salt = F.pmod(F.xxhash64("item"), F.lit(hubs))
-                live = now.groupBy("bucket", "side", salt.alias("salt")).agg(F.min("item").alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-                live = live.groupBy("bucket").agg(F.collect_list(F.struct("hub", "side")).alias("hubs"), F.min("side").alias("s0"), F.max("side").alias("s1"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+                live = now.groupBy("bucket", "side", salt.alias("salt")).agg(F.min(F.struct("item", "side", "component", "trait")).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+                live = live.groupBy("bucket").agg(F.collect_list("hub").alias("hubs"), F.min("hub.side").alias("s0"), F.max("hub.side").alias("s1"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
                 live = live.where("lo < hi AND (s0 < s1 OR s1 = 2)").select("bucket", "hubs")
-            left = work.cut(members.join(live, "bucket"))
+
+            def asked(h: Column) -> Column:
+                """Is the pair of a member and hub h one to test?"""
+                ok = (h["component"] != F.col("component")) & ((h["side"] != F.col("side")) | (h["side"] == 2))
+                return ok if self.near is None else ok & F.coalesce(self.near(h["trait"], F.col("trait")), F.lit(True))
+
+            is_hub = F.exists("hubs", lambda h: (h["item"] == F.col("item")) & (h["side"] == F.col("side")))
+            others = F.transform(F.filter("hubs", asked), lambda h: h["item"])
+            left = work.cut(now.join(live, "bucket").select("bucket", "item", "side", is_hub.alias("is_hub"), others.alias("hubs")))
             if hasattr(members, "_cut_path"):
                 work.drop(members)
             if left.isEmpty():
                 return None
-            pairs = left.select("item", F.col("side").alias("own"), F.inline("hubs")).where("item <> hub AND (own <> side OR side = 2)")
+            pairs = left.select("item", F.explode("hubs").alias("hub"))
             pairs = pairs.select(F.least("item", "hub").alias("a"), F.greatest("item", "hub").alias("b")).distinct()
-            if self.labels is not None:
-                at = lambda end: self.labels.select(F.col("item").alias(end), F.col("component").alias(f"c{end}"))
-                pairs = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left")
-                pairs = pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(self.tested, ["a", "b"], "left_anti")
+            pairs = pairs if self.tested is None else pairs.join(self.tested, ["a", "b"], "left_anti")
             pairs = work.cut(pairs)
             self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
             links = work.cut(self.verify(pairs).select("a", "b"))
             if self.labels is None or not links.isEmpty():
                 self.edges = links if self.edges is None else self.edges.unionByName(links)
                 self.labels = components(work, self.edges)
-            members = work.cut(left.where(~F.array_contains("hubs", F.struct(F.col("item").alias("hub"), "side"))).select("bucket", "item", "side"))
+            members = work.cut(left.where("NOT is_hub").select("bucket", "item", "side"))
             work.drop(left)
             hubs *= 8
         return members
