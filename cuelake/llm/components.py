@@ -45,7 +45,6 @@ class Groups:
         traits: (item, trait), a long per item, for near(trait, trait), which must hold of every link; other pairs are not made.
         """
         self.work, self.verify, self.traits, self.near = work, verify, traits, near
-        self.edges: DataFrame | None = None
         self.tested: DataFrame | None = None
         self.labels: DataFrame | None = None
 
@@ -53,6 +52,22 @@ class Groups:
         """(item, component) of the items that some link touches."""
         return self.work.spark.createDataFrame([], "item long, component long") if self.labels is None else self.labels
 
+    def add(self, links: DataFrame) -> None:
+        """Join the groups that links (a, b) connect: only the groups they touch are labelled again."""
+        if self.labels is None:
+            self.labels = components(self.work, links)
+            return
+        to = lambda end: self.labels.select(F.col("item").alias(end), F.col("component").alias(f"c{end}"))
+        over = links.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        over = self.work.cut(over.where("a <> b").distinct())
+        if over.isEmpty():
+            return
+        moved = components(self.work, over)
+        fresh = moved.join(self.labels.select("item"), "item", "left_anti")
+        known = self.labels.join(moved.select(F.col("item").alias("component"), F.col("component").alias("root")), "component", "left")
+        old, self.labels = self.labels, self.work.cut(known.select("item", F.coalesce("root", "component").alias("component")).unionByName(fresh))
+        self.work.drop(old)
+
     def resolve(self, members: DataFrame, rounds: int | None = None, hubs: int = 1) -> DataFrame | None:
         """Test the pairs within buckets. Returns what ``rounds`` rounds leave untested, if any.
 
@@ -94,9 +109,7 @@ class Groups:
             pairs = work.cut(pairs)
             self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
             links = work.cut(self.verify(pairs).select("a", "b"))
-            if self.labels is None or not links.isEmpty():
-                self.edges = links if self.edges is None else self.edges.unionByName(links)
-                self.labels = components(work, self.edges)
+            self.add(links)
             members = work.cut(left.where("NOT is_hub").select("bucket", "item", "side"))
             work.drop(left)
             hubs *= 8
