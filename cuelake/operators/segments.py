@@ -81,3 +81,46 @@ def visible_cues(points: DataFrame, cues: DataFrame, bucket_ms: int = 10_000) ->
     at = points.withColumn("bucket", F.floor(F.col("t") / bucket_ms))
     spans = cues.select("media_id", "pos", "start_ms", "end_ms", F.explode(F.sequence(F.floor(F.col("start_ms") / bucket_ms), F.floor(F.col("end_ms") / bucket_ms))).alias("bucket"))
     return at.join(spans, ["media_id", "bucket"]).where("t >= start_ms AND t <= end_ms").select("media_id", "t", "pos")
+
+
+def frame_rms(audio: DataFrame, frame_ms: int = 20) -> DataFrame:
+    """(media_id, frame_idx, rms) of frames of samples, the short last one too; squares are summed in double, the level is single."""
+    size = F.greatest(F.floor(F.col("sample_rate") * frame_ms / 1000), F.lit(1))
+    n = F.ceil(F.size("samples") / size).cast("int")
+    frames = audio.where(F.size("samples") > 0).select("media_id", "samples", size.cast("int").alias("size"), F.explode(F.sequence(F.lit(0), n - 1)).alias("frame_idx"))
+    part = F.slice("samples", F.col("frame_idx") * F.col("size") + 1, F.col("size"))
+    power = F.aggregate(part, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return frames.select("media_id", "frame_idx", F.sqrt(power / F.size(part)).cast("float").alias("rms"))
+
+
+def own_cues(cues: DataFrame, windows: DataFrame, rate: int) -> DataFrame:
+    """Cues (media_id, chunk_id, start_cs, end_cs, ...) whose midpoint their window owns, clamped to what it owns.
+
+    Neighbouring windows part at the middle of their overlap (or gap); the first and last own their outer ends, and the last
+    owns cues beyond it.
+    """
+    by = W.partitionBy("media_id").orderBy("chunk_id")
+    middle = lambda a, b: F.floor((a + b) / 2)
+    lower = F.coalesce(middle(F.lag("end").over(by), F.col("start")), F.col("start"))
+    after = F.lead("start").over(by)
+    upper = F.coalesce(middle(F.col("end"), after), F.col("end"))
+    cs = lambda x: F.floor(x * 100 / rate)
+    bounds = windows.select("media_id", "chunk_id", cs(lower).alias("lower"), cs(upper).alias("upper"), after.isNull().alias("last"))
+    at = F.floor((F.col("start_cs") + F.col("end_cs")) / 2)
+    owned = cues.join(bounds, ["media_id", "chunk_id"]).where((at >= F.col("lower")) & (F.col("last") | (at < F.col("upper"))))
+    owned = owned.withColumns({"start_cs": F.greatest("start_cs", "lower"), "end_cs": F.least("end_cs", "upper")})
+    return owned.where("end_cs > start_cs").select(*cues.columns)
+
+
+def select_attempt(attempts: DataFrame) -> DataFrame:
+    """(media_id, attempt_no, n_attempts): the first attempt with a cue, null where none has one."""
+    return attempts.groupBy("media_id").agg(F.min(F.when(F.col("cue_count") > 0, F.col("attempt_no"))).alias("attempt_no"), F.count(F.lit(1)).alias("n_attempts"))
+
+
+def fit_timing(cues: DataFrame, media: DataFrame, pad_cs: int, min_cs: int = 80) -> DataFrame:
+    """Cues padded and lengthened within duration_cs, cut at the next start, the empty dropped, numbered from 1."""
+    end = F.least(F.greatest(F.col("end_cs") + pad_cs, F.col("start_cs") + min_cs), F.col("duration_cs"))
+    rows = cues.drop("duration_cs").join(media, "media_id").withColumn("end_cs", end)
+    cut = rows.withColumn("end_cs", F.least("end_cs", F.coalesce(F.lead("start_cs").over(W.partitionBy("media_id").orderBy("start_cs", "end_cs", "idx")), F.col("end_cs"))))
+    kept = cut.where("end_cs > start_cs")
+    return kept.withColumn("idx", F.row_number().over(W.partitionBy("media_id").orderBy("start_cs", "end_cs", "idx"))).drop("duration_cs")
