@@ -143,3 +143,13 @@ def test_language_learns(spark):
 def test_pages():
     page = "<nav><a href=x>Home</a></nav><div class='cookie-notice'>We use cookies to make this long enough text</div><article><h1>T</h1><p>a &amp; b<br>c</p><div class=comments><p>nice post</p></div></article><footer>end</footer>"
     assert pages.main_text(page) == "T\na & b c" and pages.main_text(None) == "" and pages.main_text("<p") == ""
+
+
+def test_sim_hash_of_long_and_short_lines(spark):
+    both = " ".join(f"w{i * i}" for i in range(700)), " ".join(f"w{i}" for i in range(40))
+    words = spark.createDataFrame([(w,) for w in sorted(set(" ".join(both).split()))], "w string")
+    hashes = {r.w: r.h for r in words.selectExpr("w", "xxhash64(w) AS h").collect()}
+    found = lines.occurrences(spark.createDataFrame([(1, "\n".join(both))], "doc_id long, text string")).orderBy("pos").collect()
+    for row, line in zip(found, both, strict=True):
+        ws = set(line.split())
+        assert row.n_words == len(ws) and row.sim == sum(1 << b for b in range(63) if 2 * sum(hashes[w] >> b & 1 for w in ws) > len(ws))
