@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cuelake.operators import review, segments
+from cuelake.functions import text as T
+from cuelake.operators import review, segments, transcript
 from cuelake.plans.queries import _CUES, _read, cues, cues_cs, valid
 
 
@@ -100,6 +101,22 @@ def fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.fit_timing(valid(spark, sf_dir).withColumn("idx", F.col("pos") + 1), d, pad_cs=20).select("media_id", "pos", "idx", "start_cs", "end_cs")
 
 
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A transcript per document: its words, 60 to a chunk, every fourth without length."""
+    d = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("media_id"), F.posexplode(F.filter(F.split("text", " "), lambda w: w != "")).alias("word_idx", "text"))
+    start = 30 * F.col("word_idx") + 80 * F.floor(F.col("word_idx") / 9)
+    return d.select("media_id", F.floor(F.col("word_idx") / 60).alias("chunk_id"), "word_idx", start.alias("start_cs"), (start + F.when(F.col("word_idx") % 4 > 0, 25).otherwise(0)).alias("end_cs"), F.concat(F.lit(" "), "text").alias("text"))
+
+
+def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of words against two segments each; every eleventh chunk's segments say more than its words."""
+    w = words(spark, sf_dir)
+    said = w.groupBy("media_id", "chunk_id", F.floor(F.col("word_idx") / 30).alias("seg_idx")).agg(F.array_sort(F.collect_list(F.struct("word_idx", "text"))).alias("ws"))
+    text = T.join_words(F.transform("ws", lambda x: x["text"]))
+    more = F.when(F.col("chunk_id") % 11 == 3, " x").otherwise("")
+    return transcript.words_match_segments(w, said.select("media_id", "chunk_id", "seg_idx", F.concat(text, more).alias("text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "batch_cues": lambda s, d: review.batch_cues(cues(s, d), 3, 300),
     "apply_responses": reviewed,
@@ -113,9 +130,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "select_attempt": attempts,
     "frame_rms": levels,
     "fit_timing": fitted,
+    "valid_words": lambda s, d: transcript.valid_words(words(s, d)).select("media_id", "word_idx"),
+    "words_match_segments": matches,
+    "choose_timing": lambda s, d: transcript.choose_timing(matches(s, d)),
+    "split_long_cues": lambda s, d: transcript.split_long_cues(cues_cs(s, d)),
 }
 
 _DRAFT = "CASE WHEN pos % 5 = 0 THEN text ELSE replace(text, 'e', 'E') END"
+_WORDS = "w AS (SELECT doc_id AS media_id, unnest(range(0, len(list_filter(string_split(text, ' '), lambda x: x <> '')))) AS word_idx FROM documents)"
+_CHUNKS = f"{_WORDS}, c AS (SELECT DISTINCT media_id, word_idx // 60 AS chunk_id FROM w), m AS (SELECT media_id, chunk_id, chunk_id % 11 <> 3 AS matched FROM c)"
 ORACLES: dict[str, str] = {
     "batch_cues": f"""
 WITH RECURSIVE {_CUES}, o AS (SELECT media_id, pos, length(text) AS len, row_number() OVER (PARTITION BY media_id ORDER BY pos) AS nth FROM cues),
@@ -161,4 +184,8 @@ v AS (SELECT media_id, pos, d, s, CASE WHEN e <= s THEN least(s + 80, d) ELSE e
 p AS (SELECT media_id, pos, s, least(greatest(e + 20, s + 80), d) AS e FROM v WHERE e > s),
 c AS (SELECT media_id, pos, s, e, least(e, coalesce(lead(s) OVER (PARTITION BY media_id ORDER BY s, e, pos), e)) AS cut FROM p)
 SELECT media_id, pos, row_number() OVER (PARTITION BY media_id ORDER BY s, cut, pos) AS idx, s AS start_cs, cut AS end_cs FROM c WHERE cut > s""",
+    "valid_words": f"WITH {_WORDS} SELECT media_id, word_idx FROM w WHERE word_idx % 4 > 0",
+    "words_match_segments": f"WITH {_CHUNKS} SELECT * FROM m",
+    "choose_timing": f"""
+WITH {_CHUNKS} SELECT media_id, CASE WHEN bool_and(matched) THEN 'word' WHEN bool_or(matched) THEN 'mixed' ELSE 'segment-fallback' END AS timing FROM m GROUP BY media_id""",
 }

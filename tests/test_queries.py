@@ -19,7 +19,7 @@ def rows(df):
     return sorted(map(repr, df.astype(object).where(df.notna(), None).values.tolist()))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for path in glob.glob(f"{SF}/*.parquet"):
