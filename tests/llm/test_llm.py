@@ -190,3 +190,34 @@ def test_lines_recall_of_changed_words(spark):
     # Up to a sixth of the words changed is always found; so many typos may be missed, at most one pair in twenty here.
     assert n_gone(spark, altered_lines(20, 0) + altered_lines(15, 1) + altered_lines(40, 0)) == 180
     assert n_gone(spark, altered_lines(30, 8)) >= 57
+
+
+def test_lines_short_fuzzy_equals_brute_force(spark):
+    near = altered_lines(7, 1, 40) + altered_lines(9, 2, 40, seed=8)
+    docs = [a for a, b in near for a in (a, b, a[:9] + a[10:], "x" + b)]
+    root = list(range(len(docs)))
+    for i, a in enumerate(docs):
+        for j in range(i - i % 4, i):
+            if 10 * edits(a, docs[j]) <= max(len(a), len(docs[j])):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    got = lines.dedup_lines(Work(spark, "t"), table(spark, [(i, t, "en", None) for i, t in enumerate(docs)])).where("n_gone = 1")
+    assert {r.doc_id for r in got.collect()} == {i for i, r in enumerate(root) if r != i}
+
+
+def test_lines_marks_and_spaces(spark):
+    docs = [(1, "Now, one two three four!", "en", None), (2, "now one  two: three four", "en", None), (3, "* * * * *", "en", None), (4, "- - - - -", "en", None)]
+    got = {r.doc_id: r.n_gone for r in lines.dedup_lines(Work(spark, "t"), table(spark, docs)).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 0}
+
+
+def test_segments_miss_no_pair():
+    rng, table = random.Random(5), lines.segment_table(lines.PERCENT)
+    keys = lambda s, side: {(n, i, s[at - 1 : at - 1 + c]) for m, d, n, i, at, c in table if m == len(s) and d == side}
+    for _ in range(1500):
+        b = a = "".join(rng.choice("abc") for _ in range(rng.randrange(10, 101)))
+        for _ in range(len(a) // 10 + 1):
+            at = rng.randrange(len(b) + 1)
+            b = b[:at] + rng.choice(["", "a", "b"]) + b[at + rng.randrange(2) :]
+        short, long = sorted((a, b), key=len)
+        if short != long and len(short) <= lines.FEW_CHARS and 10 * edits(short, long) <= len(long):
+            assert keys(short, 0) & keys(long, 1)
