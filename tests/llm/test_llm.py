@@ -221,3 +221,10 @@ def test_segments_miss_no_pair():
         short, long = sorted((a, b), key=len)
         if short != long and len(short) <= lines.FEW_CHARS and 10 * edits(short, long) <= len(long):
             assert keys(short, 0) & keys(long, 1)
+
+
+def test_lines_equal_at_any_length(spark):
+    same = ["all rights reserved.", "一個沒有空格的句子在這裡重複出現", "col\tcol\tcol", "buy " * 160, ""]
+    docs = [(i, "\n".join(same), "en", None) for i in (1, 2)]
+    got = {r.doc_id: (r.n_gone, r.text) for r in lines.dedup_lines(Work(spark, "t"), table(spark, docs)).collect()}
+    assert got == {1: (0, "\n".join(same)), 2: (4, "")}
