@@ -2,8 +2,9 @@
 
 A text is the set of its hashed terms; the score is the logistic of a bias, a weight per term and, for every pair of terms, the
 product of their factor vectors, so that a pair (an insult and whom it is aimed at) can weigh more than its parts. The model
-is fitted with AdaGrad on at most TRAIN_ROWS labelled rows, the first by a hash of the id; terms enter if their share among
-toxic and other rows differs by over MIN_Z standard errors.
+is fitted with AdaGrad on at most TRAIN_ROWS labelled rows, the first by a hash of the id. All terms that MIN_SEEN of these rows hold take
+part: first those whose share among toxic and other rows differs by over MIN_Z standard errors, then, starting from there, all of
+them, so that terms that are neutral by themselves can weigh as a pair.
 
 Null and empty texts score by the bias alone. Without labelled rows every score is 0.5. Labels that repeat count once (the
 higher). Extra columns are ignored.
@@ -20,7 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS, FACTORS, TRAIN_ROWS, MIN_Z, EPOCHS, RATE, DECAY = 1 << 18, 4, 8_000, 4.0, 30, 0.2, 1e-4
+BUCKETS, FACTORS, TRAIN_ROWS, MIN_SEEN, EPOCHS, RATE, DECAY = 1 << 18, 4, 8_000, 3, 30, 0.2, 1e-4
+#: The first EPOCHS move the terms that tell the classes apart by themselves; ALL_EPOCHS more, more slowly, move all terms.
+MIN_Z, ALL_EPOCHS, ALL_RATE, ALL_START = 4.0, 10, 0.02, 0.01
 MARKS = " .,;:!?\"'()[]{}<>|*#$%&-_/\\…“”‘’«»"
 _CACHE = 300_000
 
@@ -67,28 +70,30 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> Machine:
     share = (seen[0] + seen[1]) / max(len(rows), 1)
     error = np.sqrt(share * (1 - share) * (1 / pos + 1 / neg))
     z = np.abs(seen[1] / pos - seen[0] / neg) / np.maximum(error, 1e-9)
-    kept = np.flatnonzero((z > MIN_Z) & (seen[0] + seen[1] >= 3))
+    kept = np.flatnonzero(seen[0] + seen[1] >= MIN_SEEN)
     used[kept] = np.arange(len(kept))
+    telling = z[kept] > MIN_Z
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(kept)), rng.normal(0, 0.05, (len(kept), FACTORS))
+    v[~telling] *= ALL_START / 0.05
     bias = float(np.log(pos / neg)) if len(rows) and 0 < labels.sum() < len(rows) else 0.0
     gw, gv, gb = np.full(len(kept), 1e-2), np.full(v.shape, 1e-2), 1e-2
-    data = [(at[at >= 0], y) for at, y in zip((used[r] for r in rows), labels, strict=True)]
-    for _ in range(EPOCHS if len(kept) else 0):
-        for i in rng.permutation(len(data)):
-            at, y = data[i]
+    every = [at[at >= 0] for at in (used[r] for r in rows)]
+    for epochs, rate, data in ((EPOCHS if telling.any() else 0, RATE, [at[telling[at]] for at in every]), (ALL_EPOCHS if len(kept) else 0, ALL_RATE, every)):
+        for i in (i for _ in range(epochs) for i in rng.permutation(len(data))):
+            at, y = data[i], labels[i]
             total = v[at].sum(axis=0)
             logit = bias + w[at].sum() + 0.5 * (total**2 - (v[at] ** 2).sum(axis=0)).sum()
             g = 1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y
             gb += g * g
-            bias -= RATE * g / np.sqrt(gb)
+            bias -= rate * g / np.sqrt(gb)
             if len(at):
                 step = g + DECAY * w[at]
                 gw[at] += step**2
-                w[at] -= RATE * step / np.sqrt(gw[at])
+                w[at] -= rate * step / np.sqrt(gw[at])
                 step = g * (total - v[at]) + DECAY * v[at]
                 gv[at] += step**2
-                v[at] -= RATE * step / np.sqrt(gv[at])
+                v[at] -= rate * step / np.sqrt(gv[at])
     return Machine(bias, w, v, used)
 
 

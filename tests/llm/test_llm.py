@@ -228,3 +228,14 @@ def test_lines_equal_at_any_length(spark):
     docs = [(i, "\n".join(same), "en", None) for i in (1, 2)]
     got = {r.doc_id: (r.n_gone, r.text) for r in lines.dedup_lines(Work(spark, "t"), table(spark, docs)).collect()}
     assert got == {1: (0, "\n".join(same)), 2: (4, "")}
+
+
+def test_toxicity_learns_a_pair_of_neutral_terms():
+    # Each of two terms is in half of the toxic and half of the other rows; only both, or neither, are toxic.
+    rng, cache, rows = random.Random(2), toxicity._Terms(), []
+    for i in range(2000):
+        some = [f"w{rng.randrange(300)}" for _ in range(15)] + ["insult"] * (i % 4 in (1, 3)) + ["group"] * (i % 4 in (2, 3))
+        rows.append(toxicity.terms(" ".join(some), cache))
+    toxic = np.array([float(i % 4 in (0, 3)) for i in range(2000)])
+    found = toxicity.fit(rows[:1000], toxic[:1000]).logits(rows[1000:]) > 0
+    assert (found == toxic[1000:]).mean() > 0.9
