@@ -1,8 +1,8 @@
 """Language identification by a byte convolutional network.
 
 Texts are cut into windows of WINDOW bytes. Bytes are embedded, filters of several widths slide over them, each filter's largest response
-goes to a softmax over the languages. The net is trained in numpy (Adam) on windows of at most TRAIN_ROWS labelled rows, the
-first by a hash of the id. A text's probabilities are the mean over all its windows, weighted by their bytes.
+goes to a softmax over the languages. The net is trained in numpy (Adam) on windows of labelled rows, of each
+language at most TRAIN_ROWS shared out evenly (what small languages leave goes to the others; one row at least): its first by a hash of the id. A text's probabilities are the mean over all its windows, weighted by their bytes.
 
 Null texts and texts without a letter are ``und`` with score 0, as is everything if no labelled text was given.
 Extra columns are ignored.
@@ -96,16 +96,26 @@ def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: int
     return Net(languages, *params)
 
 
+def shares(counts: dict[str, int], rows: int) -> dict[str, int]:
+    """Rows of each language: smallest languages first, each at most an even part of what is left, and at least one."""
+    out: dict[str, int] = {}
+    for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda c: (c[1], c[0]))):
+        out[lang] = min(n, max(1, (rows - sum(out.values())) // (len(counts) - i)))
+    return out
+
+
 def train(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> Net | None:
-    """Fit on at most ``rows`` labelled documents, two windows of each, at places that a hash gives."""
+    """Fit on at most ``rows`` labelled documents (one per language if there are more languages), two windows of each, at places that a hash gives."""
     known = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(id_col).cast("string").alias("id"), F.col(lang).alias("lang"), F.col(text).alias("t"))
     room = F.greatest(F.length("t") - WINDOW, F.lit(0)) + 1
     places = F.array(*[F.substr("t", F.pmod(F.xxhash64("id", F.lit(i)), room).cast("int") + 1, F.lit(WINDOW)) for i in (1, 2)])
-    chosen = known.select("id", "lang", places.alias("parts")).orderBy(F.xxhash64("id"), "id", "lang").limit(rows).toPandas()
-    chosen = chosen.sort_values(["id", "lang"])
-    languages = sorted(chosen["lang"].unique())
-    if not languages:
+    share = shares({r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}, rows)
+    if not share:
         return None
+    # A top-n per language: every partition sends at most its share of each.
+    firsts = [known.where(F.col("lang") == y).select("id", "lang", places.alias("parts")).orderBy(F.xxhash64("id"), "id").limit(n).toPandas() for y, n in share.items()]
+    chosen = pd.concat(firsts).sort_values(["id", "lang"])
+    languages = sorted(chosen["lang"].unique())
     pairs = [(cut(part.encode("utf-8", "replace"))[0], languages.index(y)) for parts, y in zip(chosen["parts"], chosen["lang"], strict=True) for part in parts]
     return fit(np.stack([w for w, _ in pairs]), np.array([y for _, y in pairs]), languages)
 

@@ -239,3 +239,9 @@ def test_toxicity_learns_a_pair_of_neutral_terms():
     toxic = np.array([float(i % 4 in (0, 3)) for i in range(2000)])
     found = toxicity.fit(rows[:1000], toxic[:1000]).logits(rows[1000:]) > 0
     assert (found == toxic[1000:]).mean() > 0.9
+
+
+def test_language_sample_holds_rare_languages(spark):
+    docs = [(i, "the words of a common line", "en", None) for i in range(300)] + [(300, "слова редкой строки", "ru", None)]
+    assert language.train(table(spark, docs), rows=20).languages == ["en", "ru"]
+    assert language.shares({"a": 100, "b": 2, "c": 50}, 30) == {"b": 2, "c": 14, "a": 14}
