@@ -25,22 +25,46 @@ class Work:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.live: set[str] = set()
 
     def cut(self, df: DataFrame) -> DataFrame:
         """Write df as Parquet and read it back."""
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
+        self.live.add(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._cut_path = path
         return out
 
     def drop(self, *dfs: DataFrame) -> None:
         """Delete tables that no later step reads."""
-        jvm = self.spark._jvm
         for df in dfs:
-            path = jvm.org.apache.hadoop.fs.Path(df._cut_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(df._cut_path)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write df and delete every other table of this work: what an operator returns needs no other."""
+        older = set(self.live)
+        out = self.cut(df)
+        for path in older:
+            self._delete(path)
+        return out
+
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.live.discard(path)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many leading underscores as it takes to differ from all columns of df (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

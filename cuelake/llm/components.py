@@ -33,6 +33,7 @@ def components(work: Work, edges: DataFrame) -> DataFrame:
         labels = step.select("item", "component")
         labels._cut_path = step._cut_path
         if not changed:
+            work.drop(both)
             return labels
 
 
@@ -42,9 +43,10 @@ class Groups:
     def __init__(self, work: Work, verify: Callable[[DataFrame], DataFrame], traits: DataFrame | None = None, near: Callable[[Column, Column], Column] | None = None) -> None:
         """verify: takes distinct pairs (a, b), a < b, and returns those that are links.
 
-        traits: (item, trait), a long per item, for near(trait, trait), which must hold of every link; other pairs are not made.
+        traits: (item, trait) of every item, for near(trait, trait), which must hold of every link; later rounds make no other pairs.
         """
         self.work, self.verify, self.traits, self.near = work, verify, traits, near
+        self.kind = "long" if traits is None else traits.schema["trait"].dataType.simpleString()
         self.tested: DataFrame | None = None
         self.labels: DataFrame | None = None
 
@@ -77,10 +79,10 @@ class Groups:
         members = members if "side" in members.columns else members.withColumn("side", F.lit(2))
         while rounds is None or rounds > 0:
             rounds = None if rounds is None else rounds - 1
-            now = members.withColumns({"component": F.col("item"), "trait": F.lit(None).cast("long")})
+            now = members.withColumns({"component": F.col("item"), "trait": F.lit(None).cast(self.kind)})
             if self.labels is None and hubs == 1 and not sided:
                 live = members.groupBy("bucket").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).where("lo < hi")
-                live = live.select("bucket", F.array(F.struct(F.col("lo").alias("item"), F.lit(2).alias("side"), F.col("lo").alias("component"), F.lit(None).cast("long").alias("trait"))).alias("hubs"))
+                live = live.select("bucket", F.array(F.struct(F.col("lo").alias("item"), F.lit(2).alias("side"), F.col("lo").alias("component"), F.lit(None).cast(self.kind).alias("trait"))).alias("hubs"))
             else:
                 if self.labels is not None:
                     now = now.drop("component").join(self.labels, "item", "left").withColumn("component", F.coalesce("component", "item"))
@@ -110,6 +112,7 @@ class Groups:
             self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
             links = work.cut(self.verify(pairs).select("a", "b"))
             self.add(links)
+            work.drop(links)
             members = work.cut(left.where("NOT is_hub").select("bucket", "item", "side"))
             work.drop(left)
             hubs *= 8
