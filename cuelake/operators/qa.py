@@ -18,14 +18,14 @@ def _rows(df: DataFrame, keys: list[str], rules: dict[str, tuple[str, Column]])
 
 
 def check_cues(cues: DataFrame, media: DataFrame) -> DataFrame:
-    """(media_id, pos, severity, kind) of exchange cues against their media's duration_ms."""
+    """(media_id, pos, severity, kind) of exchange cues against their media's duration_ms; null texts are blank. Media without cues are an error at no place."""
     by = W.partitionBy("media_id").orderBy("pos")
     same = F.count(F.lit(1)).over(W.partitionBy("media_id", "cue_id"))
     rows = cues.withColumns({"before": F.lag("end_ms", 1, 0).over(by), "same": same}).join(media, "media_id", "left")
     duration, lines = F.col("end_ms") - F.col("start_ms"), F.split("text", r"\r?\n")
-    return _rows(rows, ["media_id", "pos"], {
+    return no_cues(cues, media).unionByName(_rows(rows, ["media_id", "pos"], {
         "cue_id": ("error", (F.col("cue_id") <= 0) | (F.col("same") > 1)),
-        "blank": ("error", T.trim_all(F.col("text")) == ""),
+        "blank": ("error", T.trim_all(F.coalesce("text", F.lit(""))) == ""),
         "overlap": ("error", F.col("start_ms") < F.col("before")),
         "order": ("error", F.col("end_ms") <= F.col("start_ms")),
         "past_end": ("error", F.col("end_ms") > F.col("duration_ms") + 50),
@@ -33,17 +33,24 @@ def check_cues(cues: DataFrame, media: DataFrame) -> DataFrame:
         "long_cue": ("warning", duration > MAX_MS),
         "line_count": ("warning", F.size(lines) > MAX_LINES),
         "line_length": ("warning", F.exists(lines, lambda x: F.length(x) > T.char_limit(x, variant="workflow"))),
-    })
+    }))
+
 
+def no_cues(cues: DataFrame, media: DataFrame) -> DataFrame:
+    """(media_id, pos, severity, kind): an error for every media item that has no cue."""
+    none = media.join(cues.select("media_id").distinct(), "media_id", "left_anti")
+    return none.select("media_id", F.lit(None).cast(cues.schema["pos"].dataType).alias("pos"), F.lit("error").alias("severity"), F.lit("no_cues").alias("kind"))
 
-def validate_cues(cues: DataFrame) -> DataFrame:
-    """(media_id, pos, severity, kind) of build cues (cs): order, overlap, length, repeated text."""
+
+def validate_cues(cues: DataFrame, media: DataFrame | None = None) -> DataFrame:
+    """(media_id, pos, severity, kind) of build cues (cs): order, overlap, length, repeated text; with media, also items that have no cue."""
     by = W.partitionBy("media_id").orderBy("pos")
     rows = cues.withColumns({"before": F.lag("end_cs").over(by), "said": F.lag(T.comparable_text(F.col("text"))).over(by), "nth": F.row_number().over(by)})
+    none = no_cues(cues, cues.select("media_id").limit(0) if media is None else media)
     duration, lines, key = F.col("end_cs") - F.col("start_cs"), F.split("text", r"\r?\n"), T.comparable_text(F.col("text"))
-    return _rows(rows, ["media_id", "pos"], {
+    return none.unionByName(_rows(rows, ["media_id", "pos"], {
         "index": ("error", F.col("idx") != F.col("nth")),
-        "blank": ("error", T.trim_all(F.col("text")) == ""),
+        "blank": ("error", T.trim_all(F.coalesce("text", F.lit(""))) == ""),
         "order": ("error", (F.col("start_cs") < 0) | (F.col("end_cs") <= F.col("start_cs"))),
         "overlap": ("error", F.col("start_cs") < F.col("before")),
         "short_cue": ("warning", duration * 10 < MIN_MS),
@@ -51,7 +58,7 @@ def validate_cues(cues: DataFrame) -> DataFrame:
         "line_count": ("warning", F.size(lines) > MAX_LINES),
         "line_length": ("warning", F.exists(lines, lambda x: F.length(x) > T.char_limit(x))),
         "repeated": ("warning", (key != "") & (key == F.col("said"))),
-    })
+    }))
 
 
 def check_alignment(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -69,9 +76,19 @@ def short_cue_issues(cues: DataFrame) -> DataFrame:
     return cues.where(F.col("end_ms") - F.col("start_ms") < 800).select("media_id", "cue_id", F.lit("readability").alias("kind"))
 
 
-def neighbours(cues: DataFrame, batch: int = 24, n: int = 2) -> DataFrame:
-    """(media_id, batch_id, pos) of up to n cues on either side of each batch of a media item's cues."""
-    rows = cues.select("media_id", "pos", F.floor((F.row_number().over(W.partitionBy("media_id").orderBy("pos")) - 1) / batch).alias("b"), (F.row_number().over(W.partitionBy("media_id").orderBy("pos")) - 1).alias("at"))
-    last = F.count(F.lit(1)).over(W.partitionBy("media_id"))
-    into = F.array(F.when((F.col("at") % batch >= batch - n) & ((F.col("b") + 1) * batch < F.col("last")), F.col("b") + 1), F.when((F.col("at") % batch < n) & (F.col("b") > 0), F.col("b") - 1))
-    return rows.withColumn("last", last).select("media_id", F.explode(F.array_compact(into)).alias("batch_id"), "pos")
+def neighbours(batches: DataFrame, n: int = 2) -> DataFrame:
+    """(media_id, batch_id, pos) of up to n cues on either side of each batch, which is a stretch of an item's cues (media_id, pos, batch_id)."""
+    rows = batches.select("media_id", "pos", "batch_id", F.row_number().over(W.partitionBy("media_id").orderBy("pos")).alias("at"))
+    spans = rows.groupBy("media_id", "batch_id").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    near = F.concat(*[F.array(F.col("lo") - k, F.col("hi") + k) for k in range(1, n + 1)])
+    return spans.select("media_id", "batch_id", F.explode(near).alias("at")).join(rows.select("media_id", "at", "pos"), ["media_id", "at"]).select("media_id", "batch_id", "pos")
+
+
+def validate_source(cues: DataFrame, max_chars: int = 8000) -> DataFrame:
+    """(media_id, pos, severity, kind): what makes a track unfit for review. A track without cues is no row here; see no_cues."""
+    same = F.count(F.lit(1)).over(W.partitionBy("media_id", "cue_id"))
+    text = F.coalesce("text", F.lit(""))
+    return _rows(cues.withColumn("same", same), ["media_id", "pos"], {
+        "cue_id": ("error", F.coalesce(F.col("cue_id") <= 0, F.lit(True)) | (F.col("same") > 1)), "blank": ("error", T.trim_all(text) == ""),
+        "order": ("error", (F.col("start_ms") < 0) | (F.col("end_ms") <= F.col("start_ms"))), "too_long": ("error", F.length(text) > max_chars),
+    })

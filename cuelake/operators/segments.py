@@ -39,13 +39,22 @@ def active_regions(frames: DataFrame, thresholds: DataFrame, frame: int) -> Data
     return runs.select("media_id", (F.col("a") * frame).alias("start"), ((F.col("b") + 1) * frame).alias("end"))
 
 
+def speech_runs(frames: DataFrame, frame: int, silence: int, min_speech: int) -> DataFrame:
+    """Runs of loud frames merged over short silence, short ones dropped."""
+    joined = merge_intervals(active_regions(frames, adaptive_threshold(frames), frame), max(silence, frame))
+    return joined.where(F.col("end") - F.col("start") >= max(min_speech, frame))
+
+
+def pad_regions(runs: DataFrame, media: DataFrame, pad: int) -> DataFrame:
+    """Runs padded within their item (media_id, n_samples), and merged where they touch."""
+    long = runs.join(media, "media_id")
+    return merge_intervals(long.select("media_id", F.greatest(F.col("start") - pad, F.lit(0)).alias("start"), F.least(F.col("end") + pad, F.col("n_samples")).alias("end")), 0)
+
+
 def speech_regions(frames: DataFrame, frame: int, silence: int, min_speech: int, pad: int) -> DataFrame:
     """Runs merged over short silence, short ones dropped, padded within the item, and merged again."""
-    total = frames.groupBy("media_id").agg(((F.max("frame_idx") + 1) * frame).alias("n"))
-    joined = merge_intervals(active_regions(frames, adaptive_threshold(frames), frame), max(silence, frame))
-    long = joined.where(F.col("end") - F.col("start") >= max(min_speech, frame)).join(total, "media_id")
-    padded = long.select("media_id", F.greatest(F.col("start") - pad, F.lit(0)).alias("start"), F.least(F.col("end") + pad, F.col("n")).alias("end"))
-    return merge_intervals(padded, 0)
+    total = frames.groupBy("media_id").agg(((F.max("frame_idx") + 1) * frame).alias("n_samples"))
+    return pad_regions(speech_runs(frames, frame, silence, min_speech), total, pad)
 
 
 def split_windows(regions: DataFrame, size: int, overlap: int) -> DataFrame:
@@ -67,12 +76,14 @@ def valid_cues(cues: DataFrame, media: DataFrame, min_cs: int = 80) -> DataFrame
 
 
 def compare_packets(source: DataFrame, output: DataFrame) -> DataFrame:
-    """(media_id, stream, n_source, n_output, first_bad) by packet number: hash, size and times, null-safe, within 1 ms."""
-    key = ["media_id", "stream", "packet_no"]
-    side = lambda df, p: df.select(*key, *[F.col(c).alias(p + c) for c in ("hash", "size", "pts")], F.lit(True).alias(p + "in"))
+    """(media_id, stream, n_source, n_output, first_bad) by packet number: hash and size, and pts, dts and duration within 1 ms, null-safe."""
+    key, times = ["media_id", "stream", "packet_no"], ("pts", "dts", "duration")
+    side = lambda df, p: df.select(*key, *[F.col(c).alias(p + c) for c in ("hash", "size", *times)], F.lit(True).alias(p + "in"))
     both = side(source, "s_").join(side(output, "o_"), key, "full")
-    near = F.col("s_pts").eqNullSafe(F.col("o_pts")) | F.coalesce(F.abs(F.col("s_pts") - F.col("o_pts")) <= 0.001 + 2.3e-16, F.lit(False))
-    same = F.col("s_hash").eqNullSafe(F.col("o_hash")) & F.col("s_size").eqNullSafe(F.col("o_size")) & near & F.col("s_in").eqNullSafe(F.col("o_in"))
+    same = F.col("s_hash").eqNullSafe(F.col("o_hash")) & F.col("s_size").eqNullSafe(F.col("o_size")) & F.col("s_in").eqNullSafe(F.col("o_in"))
+    for t in times:
+        x, y = F.col(f"s_{t}"), F.col(f"o_{t}")
+        same &= x.eqNullSafe(y) | F.coalesce(F.abs(x - y) <= 0.001 + 2.3e-16, F.lit(False))
     return both.groupBy("media_id", "stream").agg(F.count("s_in").alias("n_source"), F.count("o_in").alias("n_output"), F.min(F.when(~same, F.col("packet_no"))).alias("first_bad"))
 
 

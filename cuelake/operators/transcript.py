@@ -110,7 +110,7 @@ def split_long_cues(cues: DataFrame, max_cs: int = MAX_CS) -> DataFrame:
     at = lambda done: T.proportional_time(F.col("start_cs"), dur, done, F.col("_total"))
     end = lambda x: F.when(x["done"] + F.length(x["text"]) == F.col("_total"), F.col("end_cs")).otherwise(at(x["done"] + F.length(x["text"])))
     cut = cut.withColumn("_timed", F.transform("_pieces", lambda x: F.struct(at(x["done"]).alias("s"), end(x).alias("e"), x["text"].alias("t"))))
-    whole = F.array(F.struct(F.col("start_cs").alias("s"), F.col("end_cs").alias("e"), F.col("text").alias("t")))
+    whole = F.array(F.struct(F.col("start_cs").alias("s"), F.col("end_cs").alias("e"), F.when(F.size("_timed") == 1, F.col("_timed")[0]["t"]).otherwise(F.col("text")).alias("t")))
     split = (F.col("_parts") > 1) & (F.size("_timed") > 1) & F.forall("_timed", lambda x: x["e"] > x["s"])
     rows = cut.withColumn("_timed", F.when(split, F.col("_timed")).otherwise(whole))
     rows = rows.select(*[c for c in cues.columns if c not in ("start_cs", "end_cs", "text")], F.posexplode("_timed").alias("part", "_x"))

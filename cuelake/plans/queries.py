@@ -48,9 +48,11 @@ def packets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = _read(spark, sf_dir, "events")
     n = F.row_number().over(W.partitionBy("user_id", "event_type").orderBy("ts", "event_id")) - 1
     rows = e.select("event_id", F.col("user_id").alias("media_id"), F.col("event_type").alias("stream"), n.cast("long").alias("packet_no"), F.concat(F.lit("SHA256:"), F.sha2(F.col("event_id").cast("string"), 256)).alias("hash"), (F.col("event_id") % 1500).alias("size"))
-    rows = rows.withColumn("pts", F.col("packet_no") * 0.02)
-    changed = rows.withColumn("size", F.when(F.col("event_id") % 997 == 0, F.col("size") + 1).otherwise(F.col("size"))).where("event_id % 1499 <> 3")
-    return rows, changed
+    k, pts = F.col("event_id"), F.col("packet_no") * 0.02
+    rows = rows.withColumns({"pts": pts, "dts": F.when(k % 3 > 0, pts - 0.01), "duration": F.lit(0.02)})
+    off = lambda name, by, at: F.when(k % by == at, F.col(name) + 0.5).when(k % by == at + 1, F.col(name) + 0.0005).otherwise(F.col(name))
+    changed = rows.withColumns({"size": F.when(k % 997 == 0, F.col("size") + 1).otherwise(F.col("size")), "pts": off("pts", 491, 7), "dts": off("dts", 463, 5), "duration": off("duration", 479, 2)})
+    return rows, changed.where("event_id % 1499 <> 3")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,8 +105,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "validate_cues": lambda s, d: qa.qa_summary(qa.validate_cues(cues_cs(s, d))),
     "check_cues": lambda s, d: qa.check_cues(cues(s, d), media(cues(s, d))),
     "check_alignment": alignment,
-    "short_cues": lambda s, d: qa.short_cue_issues(cues(s, d)),
-    "neighbours": lambda s, d: qa.neighbours(cues(s, d), batch=2, n=1),
+    "short_cues": lambda s, d: qa.short_cue_issues(cues(s, d).withColumn("end_ms", F.col("end_ms") - F.when(F.col("pos") % 3 == 1, F.lit(3500)).otherwise(0))),
+    "neighbours": lambda s, d: qa.neighbours(cues(s, d).withColumn("batch_id", F.floor(F.col("pos") / 2)), n=3),
     "valid_cues": valid,
     "adaptive_threshold": lambda s, d: segments.adaptive_threshold(frames(s, d)).withColumn("threshold", F.col("threshold").cast("double")),
     "speech_windows": windows,
@@ -177,11 +179,10 @@ found AS ({_kinds({
     "check_alignment": f"""
 WITH {_CUES}, late AS (SELECT media_id, pos, cue_id, start_ms + CASE WHEN pos % 4 = 3 THEN 1 ELSE 0 END AS start_ms, end_ms FROM cues WHERE pos % 11 <> 7)
 SELECT c.media_id, count(*) FILTER (l.pos IS NULL OR c.start_ms <> l.start_ms) AS misaligned FROM cues c LEFT JOIN late l ON c.media_id = l.media_id AND c.pos = l.pos GROUP BY c.media_id""",
-    "short_cues": f"WITH {_CUES} SELECT media_id, cue_id, 'readability' AS kind FROM cues WHERE end_ms - start_ms < 800",
+    "short_cues": f"WITH {_CUES} SELECT media_id, cue_id, 'readability' AS kind FROM cues WHERE end_ms - CASE WHEN pos % 3 = 1 THEN 3500 ELSE 0 END - start_ms < 800",
     "neighbours": f"""
-WITH {_CUES}, n AS (SELECT media_id, pos, row_number() OVER (PARTITION BY media_id ORDER BY pos) - 1 AS nth FROM cues),
-b AS (SELECT DISTINCT media_id, nth // 2 AS batch_id FROM n)
-SELECT n.media_id, b.batch_id, n.pos FROM n JOIN b ON n.media_id = b.media_id AND n.nth BETWEEN b.batch_id * 2 - 1 AND b.batch_id * 2 + 2 AND n.nth // 2 <> b.batch_id""",
+WITH {_CUES}, b AS (SELECT DISTINCT media_id, pos // 2 AS batch_id FROM cues)
+SELECT c.media_id, b.batch_id, c.pos FROM cues c JOIN b ON c.media_id = b.media_id AND c.pos BETWEEN b.batch_id * 2 - 3 AND b.batch_id * 2 + 4 AND c.pos // 2 <> b.batch_id""",
     "valid_cues": f"""
 WITH {_CUES}, d AS (SELECT media_id, max(end_cs) - 70 AS d FROM cs GROUP BY media_id),
 n AS (SELECT cs.media_id, pos, least(greatest(start_cs, 0), d) AS s, least(greatest(end_cs, 0), d) AS e, d, {_NORMAL.format("text")} AS text FROM cs JOIN d ON cs.media_id = d.media_id),
@@ -196,7 +197,7 @@ pad AS (SELECT mrg.media_id, greatest(s - 30, 0) AS s, least(e + 30, n) AS e FRO
 SELECT media_id, s + k * 240 AS start, least(s + k * 240 + 300, e) AS "end" FROM (SELECT media_id, s, e, unnest(range(0, CAST(ceil(greatest(e - s - 300, 0) / 240) AS BIGINT) + 1)) AS k FROM reg)""",
     "compare_packets": """
 WITH s AS (SELECT event_id, user_id AS media_id, event_type AS stream, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS packet_no FROM events)
-SELECT media_id, stream, count(*) AS n_source, count(*) FILTER (event_id % 1499 <> 3) AS n_output, min(packet_no) FILTER (event_id % 997 = 0 OR event_id % 1499 = 3) AS first_bad FROM s GROUP BY media_id, stream""",
+SELECT media_id, stream, count(*) AS n_source, count(*) FILTER (event_id % 1499 <> 3) AS n_output, min(packet_no) FILTER (event_id % 997 = 0 OR event_id % 1499 = 3 OR event_id % 491 = 7 OR event_id % 463 = 5 AND event_id % 3 > 0 OR event_id % 479 = 2) AS first_bad FROM s GROUP BY media_id, stream""",
     "visible_cues": f"""
 WITH {_CUES}, p AS (SELECT media_id, unnest(range(0, max(end_ms) + 1, 500)) AS t FROM cues GROUP BY media_id)
 SELECT p.media_id, p.t, c.pos FROM p JOIN cues c ON p.media_id = c.media_id AND p.t BETWEEN c.start_ms AND c.end_ms""",

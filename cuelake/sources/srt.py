@@ -41,3 +41,8 @@ def parse_srt(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read_srt(spark, path: str) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("media_id"), F.col("value").alias("content"))
     return parse_srt(files)
+
+
+def write_srt(cues: DataFrame, path: str) -> None:
+    """A folder per media item with its track as one text file; an existing path is left alone and is an error."""
+    render_srt(cues).write.partitionBy("media_id").text(path)
