@@ -24,24 +24,32 @@ from pyspark.sql import functions as F
 from cuelake.llm.common import Work, small
 
 CAPACITY, END_ID, RANK_ROWS = 4096, 1, 20_000
-_CACHE = 300_000
+_CACHE, _DOCS, _RUNS = 400_000, 64, 128
 
 
 class _Tokens(dict):
-    """The ids of a white-space-free run of bytes, as little-endian uint32; white space is dropped by the vocabulary, so texts are the runs in a row."""
+    """The ids of white-space-free runs of bytes, as little-endian uint32; white space is dropped by the vocabulary, so texts are the runs in a row."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.encode = Tokenizer.from_file(path).encode
+        self.encode = Tokenizer.from_file(path).encode_batch
 
-    def __missing__(self, run: bytes) -> bytes:
-        if len(self) >= _CACHE:
+    def learn(self, runs: set[bytes]) -> None:
+        """Add the runs that are not known, many to a call: a call costs as much as a run. All others go when there is no room."""
+        fresh = [r for r in runs if r not in self]
+        if len(self) + len(fresh) > _CACHE:
             self.clear()
-        ids = self.encode(run.decode("utf-8", "replace"), add_special_tokens=False).ids
-        self[run] = out = np.array(ids, "<u4").tobytes()
-        return out
+            fresh = list(runs)
+        parts = [fresh[i : i + _RUNS] for i in range(0, len(fresh), _RUNS)]
+        texts = [[r.decode("utf-8", "replace") for r in part] for part in parts]
+        for part, text, found in zip(parts, texts, self.encode([" ".join(t) for t in texts], add_special_tokens=False), strict=True):
+            starts = np.cumsum([0, *[len(t) + 1 for t in text]])
+            at = np.searchsorted(np.array([o[0] for o in found.offsets], np.int64), starts)
+            ids = np.array(found.ids, "<u4")
+            for run, lo, hi in zip(part, at, at[1:], strict=False):
+                self[run] = ids[lo:hi].tobytes()
 
 
 @cache
@@ -56,12 +64,15 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, with_ids:
     tokens, end = _tokens(path), np.array([END_ID], "<u4").tobytes()
     for batch in batches:
         rows: list[tuple] = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            runs = (text.as_py() or "").encode("utf-8", "replace").split()
-            ids = b"".join(map(tokens.__getitem__, runs)) + end
-            for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                part = ids[at : at + 4 * capacity]
-                rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
+        for first in range(0, batch.num_rows, _DOCS):
+            some = batch.slice(first, _DOCS)
+            runs = [(text.as_py() or "").encode("utf-8", "replace").split() for text in some.column(1)]
+            tokens.learn(set().union(*runs))
+            for doc, own in zip(some.column(0).to_pylist(), runs, strict=True):
+                ids = b"".join(map(tokens.__getitem__, own)) + end
+                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[at : at + 4 * capacity]
+                    rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
         names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         columns = list(zip(*rows, strict=True)) or [()] * len(names)
