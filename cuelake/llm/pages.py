@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>", re.S)
+UNSEEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = frozenset("script style noscript template head title textarea svg iframe object select button canvas".split())
 RAW = frozenset("script style textarea title iframe".split())
@@ -34,6 +35,12 @@ BOILER_NAMES = re.compile(
 )
 MAIN_TAGS = frozenset("article main".split())
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|content|body)(?:$|[\s_-])", re.I)
+# Elements whose start ends an open one of the second kind, unless one of the third kind stands between; and what may stand in a head.
+IMPLIED = {
+    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)), "body": (("head",), ()),
+}
+HEAD_TAGS = frozenset("base link meta noscript script style template title".split())
 #: words, link density, the same before, the same after, in main part, in boilerplate part, heading: is it main text?
 TABLE = (
     ((60, 0.0, 8, 0.0, 70, 0.0, 1, 0, 0), 1), ((70, 0.02, 60, 0.0, 55, 0.0, 1, 0, 0), 1), ((3, 0.0, 60, 0.0, 70, 0.0, 1, 0, 0), 1), ((1, 0.0, 40, 0.0, 0, 0.0, 1, 0, 0), 1),
@@ -53,13 +60,18 @@ TABLE = (
     ((30, 0.0, 40, 0.0, 60, 0.0, 1, 1, 0), 0), ((60, 0.0, 70, 0.0, 65, 0.0, 1, 1, 0), 0), ((50, 0.1, 40, 0.0, 45, 0.0, 0, 1, 0), 0), ((20, 0.0, 10, 0.0, 40, 0.0, 0, 1, 0), 0),
     ((2, 1.0, 2, 1.0, 30, 0.0, 0, 1, 0), 0), ((12, 0.0, 30, 0.0, 33, 0.0, 1, 1, 0), 0), ((45, 0.0, 55, 0.0, 50, 0.0, 0, 1, 0), 0), ((1, 1.0, 5, 0.0, 60, 0.0, 1, 1, 0), 0),
     ((70, 0.0, 5, 0.0, 28, 0.0, 1, 1, 0), 0), ((28, 0.0, 28, 0.0, 28, 0.0, 0, 1, 0), 0), ((10, 0.0, 10, 0.0, 10, 0.0, 1, 1, 0), 0), ((22, 0.0, 22, 0.0, 26, 0.0, 1, 1, 0), 0),
+    ((3, 1.0, 0, 0.0, 60, 0.0, 0, 0, 0), 0), ((4, 1.0, 2, 1.0, 80, 0.0, 0, 0, 0), 0), ((8, 1.0, 30, 0.0, 40, 0.0, 0, 0, 0), 0), ((30, 0.9, 60, 0.0, 60, 0.0, 0, 0, 0), 0),
+    ((40, 1.0, 3, 0.0, 50, 0.0, 0, 0, 0), 0), ((25, 0.8, 9, 1.0, 9, 1.0, 1, 0, 0), 0), ((5, 1.0, 6, 1.0, 60, 0.0, 1, 0, 0), 0), ((6, 1.0, 5, 1.0, 5, 1.0, 1, 0, 0), 0),
+    ((60, 0.0, 3, 1.0, 70, 0.0, 0, 0, 0), 1), ((45, 0.1, 30, 0.9, 20, 0.0, 0, 0, 0), 1), ((6, 1.0, 40, 0.0, 50, 0.0, 1, 0, 0), 1), ((90, 0.0, 40, 1.0, 40, 1.0, 0, 0, 0), 1),
+    ((5, 1.0, 50, 0.0, 45, 0.0, 0, 0, 0), 0), ((4, 1.0, 9, 0.0, 60, 0.0, 0, 0, 0), 0), ((50, 0.0, 4, 1.0, 60, 0.0, 0, 0, 0), 1), ((12, 1.0, 0, 0.0, 45, 0.0, 0, 0, 0), 0),
 )
 
 
 def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
     """(text, words, words in links, in main part, in boilerplate part, heading) of each block, in page order."""
     found: list[tuple[str, int, int, int, int, int]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # open tags that matter: name, hides, boilerplate, main
+    stack: list[tuple[str, bool, bool, bool]] = []  # open elements: name, hides, boilerplate, main
+    inside = [0, 0, 0]  # how many of them hide, are boilerplate, are main
     parts: list[str] = []
     linked: list[str] = []
     links = heading = 0
@@ -69,15 +81,30 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             n = len(html.unescape("".join(linked)).split())
-            found.append((text, len(text.split()), n, int(any(x[3] for x in stack)), int(any(x[2] for x in stack)), int(heading > 0)))
+            found.append((text, len(text.split()), n, int(inside[2] > 0), int(inside[1] > 0), int(heading > 0)))
         parts, linked = [], []
 
     def say(text: str) -> None:
-        if text and not any(x[1] for x in stack):
+        if text and not inside[0]:
             parts.append(text)
             if links:
                 linked.append(text)
 
+    def end(at: int) -> None:
+        """Close the open elements from number at on."""
+        for _, *marks in stack[at:]:
+            for i, mark in enumerate(marks):
+                inside[i] -= mark
+        del stack[at:]
+
+    def last(names: tuple[str, ...], barriers: tuple[str, ...] = ()) -> int | None:
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in names:
+                return i
+            if stack[i][0] in barriers:
+                return None
+        return None
+
     at = 0
     while True:
         m = TAG.search(page, at)
@@ -94,27 +121,33 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
             say(" ")
         if name == "a":
             links = 0 if closing else 1
+            linked.append(" ")  # the words of two links are two words
         if re.fullmatch(r"h[1-6]", name):
             heading = 0 if closing else 1
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            if (i := last((name,))) is not None:
+                end(i)
             continue
+        if stack and (stack[-1][0] == "head" and name not in HEAD_TAGS or stack[-1][0] == "p" and name not in INLINE):
+            end(len(stack) - 1)
+        if name in IMPLIED and (i := last(*IMPLIED[name])) is not None:
+            end(i)
         if name in VOID or m[3].rstrip().endswith("/"):
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            closed = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            at = closed.end() if closed else len(page)
             continue
         named = " ".join(next(filter(None, a[1:]), "") for a in ATTRIBUTE.findall(m[3])) if m[3] else ""
-        main = name in MAIN_TAGS or bool(named and MAIN_NAMES.search(named))
-        boiler = name in BOILER_TAGS or bool(named and name not in ("body", "html", "article", "main") and BOILER_NAMES.search(named))
-        if name not in INLINE and name not in ("p", "li", "br"):
-            stack.append((name, name in HIDDEN, boiler, main))
-        elif boiler and name in ("p", "li"):
-            stack.append((name, False, True, False))
+        unseen = name in HIDDEN or bool(m[3] and UNSEEN.search(m[3]))
+        flows = name in ("p", "li") or name[0] == "h" and name[1:].isdigit()  # of these, one named for the article is its text, such as a "story-header"
+        about = bool(named and MAIN_NAMES.search(named))
+        boiler = name in BOILER_TAGS or bool(named and name not in ("body", "html", "article", "main") and BOILER_NAMES.search(named) and not (flows and about))
+        if name not in INLINE or unseen:
+            element = (name, unseen, boiler, name in MAIN_TAGS or about and name not in ("p", "li"))
+            stack.append(element)
+            for i, mark in enumerate(element[1:]):
+                inside[i] += mark
     flush()
     return found
 
