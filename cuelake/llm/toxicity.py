@@ -102,9 +102,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: s
     labels = labels.where("toxic IS NOT NULL").groupBy(F.col(id_col).alias("_label")).agg(F.max("toxic").alias("toxic"))
     ids = docs.select(id_col).join(labels, F.col(id_col) == F.col("_label")).select("_label", "toxic").distinct()
     chosen = ids.orderBy(F.xxhash64(F.col("_label").cast("string")), "_label").limit(rows)
-    sample = docs.select(id_col, F.col(text).alias("text")).join(F.broadcast(chosen), F.col(id_col) == F.col("_label")).select("_label", "toxic", "text")
-    cache, found = _Terms(), sample.toPandas().drop_duplicates("_label").sort_values("_label")
-    return fit([terms(t, cache) for t in found["text"]], found["toxic"].to_numpy(np.float64))
+    cache = _Terms()
+    hashed = F.pandas_udf(lambda batch: batch.map(lambda t: terms(t, cache).astype(np.int32)), "array<int>")  # the driver gets distinct terms, not texts
+    sample = docs.select(id_col, F.col(text).alias("text")).join(F.broadcast(chosen), F.col(id_col) == F.col("_label")).select("_label", "toxic", hashed("text").alias("terms"))
+    found = sample.toPandas().drop_duplicates("_label").sort_values("_label")
+    return fit([np.asarray(t, np.int64) for t in found["terms"]], found["toxic"].to_numpy(np.float64))
 
 
 def score(docs: DataFrame, machine: Machine, *, text: str = "text") -> DataFrame:
