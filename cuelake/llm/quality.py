@@ -7,7 +7,7 @@ level ``delta`` is divided by the number of tests (Bonferroni), so all taken cut
 
 Null texts count as empty, null languages form a stratum of their own, labels that repeat for a document count once
 (the lower quality), unlabelled documents never calibrate. With too few labels no cutoff can be proven and only the
-base rule rejects. Extra columns pass through; computed columns are returned beside them.
+base rule rejects. Extra columns pass through; computed columns (q, base_failed, kept) are returned beside them and replace columns of these names.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import let, small, split_words
+from cuelake.llm.common import free_names, let, small, split_words
 
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 #: Rules and the cutoffs (hundredths of numerator over denominator) that calibration may choose between.
@@ -111,10 +111,11 @@ def calibrate(seen: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", str
 
 def judge(seen: DataFrame, cutoffs: DataFrame, *, stratum: str = "lang") -> DataFrame:
     """Documents with ``q`` get ``base_failed`` and ``kept``. Cutoffs are one row per stratum, counted before any broadcast."""
-    cutoffs = cutoffs.select(F.col("stratum").alias("_s"), F.struct(*RULES).alias("_cut"))
-    joined = seen.join(small(cutoffs, cutoffs.count()), F.coalesce(F.col(stratum), F.lit("")) == F.col("_s"), "left")
+    of, cut = free_names(seen, "s", "cut")
+    cutoffs = cutoffs.select(F.col("stratum").alias(of), F.struct(*RULES).alias(cut))
+    joined = seen.join(small(cutoffs, cutoffs.count()), F.coalesce(F.col(stratum), F.lit("")) == F.col(of), "left")
     q, over = F.col("q"), F.lit(False)
     for rule, (num, den) in ratios().items():
-        over |= F.coalesce(100 * num > F.col("_cut")[rule] * den, F.lit(False))
+        over |= F.coalesce(100 * num > F.col(cut)[rule] * den, F.lit(False))
     failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEAT_PERCENT * q["n_words"])
-    return joined.withColumns({"base_failed": failed, "kept": ~failed & ~over}).drop("_s", "_cut")
+    return joined.withColumns({"base_failed": failed, "kept": ~failed & ~over}).drop(of, cut)
