@@ -41,13 +41,21 @@ def unescape(text: Column) -> Column:
 
 
 def log_of_turns(turns: DataFrame) -> DataFrame:
-    """The event log of a table (conv_id, turn, role, text): each row opens a message and streams its text in two deltas."""
+    """The event log of a table (conv_id, turn, role, text): each row opens a message and streams its text in two deltas.
+
+    Of every three turns, one has its first half edited in after a false start, one is regenerated after a false start.
+    """
     n = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
     rows = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("copy", F.row_number().over(n))
     half = F.floor(F.length("text") / 2).cast("int")
     event = lambda i, kind, role, text: F.struct(F.struct("turn", "copy", F.lit(i).alias("i")).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
     none = F.lit(None).cast("string")
-    events = F.array(event(0, "open", F.col("role"), none), event(1, "delta", none, F.left("text", half)), event(2, "delta", none, F.substr("text", half + 1)))
+    first, rest, wrong = F.left("text", half), F.substr("text", half + 1), F.lit("...")
+    plain = [event(0, "open", F.col("role"), none), event(1, "delta", none, first), event(4, "delta", none, rest)]
+    edited = [plain[0], event(1, "delta", none, wrong), event(2, "edit", none, first), plain[2]]
+    again = [plain[0], event(1, "delta", none, wrong), event(2, "regenerate", none, none), event(3, "delta", none, first), plain[2]]
+    turn = F.coalesce(F.pmod("turn", F.lit(3)), F.lit(0))
+    events = F.when(turn == 1, F.array(*edited)).when(turn == 2, F.array(*again)).otherwise(F.array(*plain))
     return rows.select(F.col("conv_id").alias("conv"), F.struct("turn", "copy").alias("message"), F.inline(events))
 
 

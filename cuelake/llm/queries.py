@@ -60,7 +60,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], turns.schema)
+    extra = spark.sql(f"SELECT -1L AS conv_id, turn, role, '{probe}' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)")
     out = chat.render(chat.final_messages(chat.log_of_turns(turns.unionByName(extra))))
     out = out.select("conv", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("said"))
     spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
