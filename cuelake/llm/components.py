@@ -2,7 +2,7 @@
 
 Only groups are wanted, so two items already known to be connected need no test. Each round tests every member of an
 unresolved bucket against a few hubs of that bucket, joins what is confirmed, and then drops the hubs (all their pairs
-are tested) and the buckets that lie in one group. The number of hubs grows eightfold a round, so a bucket of k
+are tested) and the buckets that lie in one group. The number of hubs grows eightfold (growth) a round, so a bucket of k
 members that are all unlike each other is fully tested after about log8(k) rounds; a bucket of near copies is
 resolved in the first ones with work in proportion to its size. No pair of a bucket is skipped unless its two items
 are connected already.
@@ -40,12 +40,13 @@ def components(work: Work, edges: DataFrame) -> DataFrame:
 class Groups:
     """Links confirmed so far, and the groups that they form."""
 
-    def __init__(self, work: Work, verify: Callable[[DataFrame], DataFrame], traits: DataFrame | None = None, near: Callable[[Column, Column], Column] | None = None) -> None:
+    def __init__(self, work: Work, verify: Callable[[DataFrame], DataFrame], traits: DataFrame | None = None, near: Callable[[Column, Column], Column] | None = None, growth: int = 8) -> None:
         """verify: takes distinct pairs (a, b), a < b, and returns those that are links.
 
         traits: (item, trait) of every item, for near(trait, trait), which must hold of every link; later rounds make no other pairs.
+        growth: times as many hubs each round.
         """
-        self.work, self.verify, self.traits, self.near = work, verify, traits, near
+        self.work, self.verify, self.traits, self.near, self.growth = work, verify, traits, near, growth
         self.kind = "long" if traits is None else traits.schema["trait"].dataType.simpleString()
         self.tested: DataFrame | None = None
         self.labels: DataFrame | None = None
@@ -115,5 +116,5 @@ class Groups:
             work.drop(links)
             members = work.cut(left.where("NOT is_hub").select("bucket", "item", "side"))
             work.drop(left)
-            hubs *= 8
+            hubs *= self.growth
         return members
