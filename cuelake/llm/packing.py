@@ -11,10 +11,12 @@ gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache, partial
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,9 @@ from pyspark.sql import functions as F
 
 from cuelake.llm.common import Work, small
 
+if TYPE_CHECKING:
+    from tokenizers import Encoding
+
 CAPACITY, END_ID, RANK_ROWS = 4096, 1, 20_000
 _CACHE, _DOCS, _RUNS = 400_000, 64, 128
 
@@ -31,10 +36,14 @@ class _Tokens(dict):
     """The ids of white-space-free runs of bytes, as little-endian uint32; white space is dropped by the vocabulary, so texts are the runs in a row."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core: threads of its own would only wait
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.encode = Tokenizer.from_file(path).encode_batch
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def learn(self, runs: set[bytes]) -> None:
         """Add the runs that are not known, many to a call: a call costs as much as a run. All others go when there is no room."""
@@ -42,14 +51,22 @@ class _Tokens(dict):
         if len(self) + len(fresh) > _CACHE:
             self.clear()
             fresh = list(runs)
-        parts = [fresh[i : i + _RUNS] for i in range(0, len(fresh), _RUNS)]
-        texts = [[r.decode("utf-8", "replace") for r in part] for part in parts]
-        for part, text, found in zip(parts, texts, self.encode([" ".join(t) for t in texts], add_special_tokens=False), strict=True):
-            starts = np.cumsum([0, *[len(t) + 1 for t in text]])
-            at = np.searchsorted(np.array([o[0] for o in found.offsets], np.int64), starts)
-            ids = np.array(found.ids, "<u4")
-            for run, lo, hi in zip(part, at, at[1:], strict=False):
-                self[run] = ids[lo:hi].tobytes()
+        plain = [r for r in fresh if r.isalpha()]
+        for some, letters in ((plain, True), ([r for r in fresh if not r.isalpha()], False)):
+            parts = [some[i : i + _RUNS] for i in range(0, len(some), _RUNS)]
+            texts = [[r.decode("utf-8", "replace") for r in part] for part in parts]
+            encode = self.tokenizer.encode_batch_fast if letters else self.tokenizer.encode_batch
+            for part, text, found in zip(parts, texts, encode([" ".join(t) for t in texts], add_special_tokens=False), strict=True):
+                self._split(part, text, found, letters)
+
+    def _split(self, part: list[bytes], text: list[str], found: Encoding, letters: bool) -> None:
+        ids = np.array(found.ids, "<u4")
+        at = np.flatnonzero(self.ends_word[ids]) + 1 if letters else None  # a run of letters is one word of the vocabulary
+        if at is None or len(at) != len(part):
+            found = self.tokenizer.encode(" ".join(text), add_special_tokens=False) if letters else found
+            at = np.searchsorted(np.array([o[0] for o in found.offsets], np.int64), np.cumsum([len(t) + 1 for t in text]))
+        raw, ends = ids.tobytes(), (4 * at).tolist()
+        self.update(zip(part, [raw[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)], strict=True))
 
 
 @cache
