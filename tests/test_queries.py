@@ -5,12 +5,12 @@ import duckdb
 import pytest
 
 from cuelake.functions import text as T
-from cuelake.plans import queries, workflow_queries
+from cuelake.plans import protocol_queries, queries, workflow_queries
 from cuelake.plans.queries import flagship
 from cuelake.sources import srt
 
-QUERIES = queries.QUERIES | workflow_queries.QUERIES
-ORACLES = queries.ORACLES | workflow_queries.ORACLES
+QUERIES = queries.QUERIES | workflow_queries.QUERIES | protocol_queries.QUERIES
+ORACLES = queries.ORACLES | workflow_queries.ORACLES | protocol_queries.ORACLES
 SF = "/root/testdata/sf0.001"
 
 
