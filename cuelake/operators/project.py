@@ -14,7 +14,7 @@ def content_sha256(content: Column) -> Column:
 
 
 def bundle_sha256(files: DataFrame) -> DataFrame:
-    """(bundle, sha256) of the files (bundle, name, content): names and hashes of contents, in order of name."""
+    """(bundle, sha256) of the files (bundle, name, content): names and hexadecimal hashes of contents, in order of name."""
     part = F.struct("name", F.concat(F.col("name").cast("binary"), F.lit(b"\x00"), content_sha256(F.col("content")).cast("binary")).alias("entry"))
     sorted_parts = F.transform(F.array_sort(F.collect_list(part)), lambda x: F.hex(x["entry"]))
     return files.groupBy("bundle").agg(F.sha2(F.unhex(F.array_join(sorted_parts, "")), 256).alias("sha256"))

@@ -152,6 +152,14 @@ def review_tracks(source: DataFrame, ask: Callable[[DataFrame, str], DataFrame],
     return final, review.dedup_issues(issues)
 
 
+def clean_cues(cues: DataFrame, ask: Callable[[DataFrame, str], DataFrame], language: Column) -> tuple[DataFrame, DataFrame]:
+    """(cues, issues): cues timed in hundredths of a second with reviewed texts, all else as it was; ask also gets the ``context`` that names the language."""
+    context = F.concat(F.lit("Transcript language: "), language)
+    source = cues.select("media_id", "pos", "cue_id", (F.col("start_cs") * 10).alias("start_ms"), (F.col("end_cs") * 10).alias("end_ms"), "text", context.alias("context"))
+    final, issues = review_tracks(source, ask, edits=True)
+    return cues.drop("text").join(final.select("media_id", "pos", "text"), ["media_id", "pos"]).select(*cues.columns), issues
+
+
 def translation_report(reports: DataFrame) -> DataFrame:
     """(media_id, targets, issues): the reports (media_id, target, n_changed, n_issues) of an item in order of target, and all their issues."""
     report = F.struct("target", "n_changed", "n_issues")

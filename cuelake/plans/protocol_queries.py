@@ -133,6 +133,18 @@ def two_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return final.join(n, ["media_id", "cue_id"], "left").select("media_id", "pos", "text", F.coalesce("n", F.lit(0)).alias("n_issues"))
 
 
+def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same model where the context names English; other cues stay as they are."""
+    c = cues(spark, sf_dir).withColumns({"start_cs": F.floor(F.col("start_ms") / 10), "end_cs": F.floor(F.col("end_ms") / 10)}).drop("start_ms", "end_ms")
+
+    def ask(track: DataFrame, stage: str) -> DataFrame:
+        english = F.col("context") == "Transcript language: en"
+        said = F.translate("text", "e", "E") if stage == "generate" else F.when(F.col("pos") % 7 == 3, F.concat("text", F.lit(" 42"))).otherwise(F.col("text"))
+        return track.select("media_id", "cue_id", F.when(english, said).otherwise(F.col("text")).alias("text"))
+
+    return protocol.clean_cues(c, ask, F.when(F.col("media_id") % 2 == 0, "en").otherwise("fr"))[0].select("media_id", "pos", "start_cs", "end_cs", "text")
+
+
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cues(spark, sf_dir)
     each = c.groupBy("media_id", F.element_at(F.array(F.lit("fr"), F.lit("de")), (F.col("pos") % 2 + 1).cast("int")).alias("target")).agg(F.count_if(F.col("pos") % 3 == 0).alias("n_changed"), F.count_if(F.col("pos") % 4 == 0).alias("n_issues"))
@@ -241,6 +253,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "guard_edits": guarded,
     "numbers_differ": number_pairs,
     "review_tracks": two_passes,
+    "clean_cues": cleaned,
     "translation_report": reports,
     "acceptance_and_render": held,
     "plan_resume": resumed,
@@ -287,6 +300,8 @@ SELECT o_custkey AS media_id, o_orderkey AS cue_id, 'there are ' || o_orderkey |
     "numbers_differ": "SELECT o_orderkey, o_orderkey % 10 = 0 AS differ FROM orders",
     "review_tracks": f"""
 WITH {_CUES} SELECT media_id, pos, CASE WHEN pos % 5 = 0 OR pos % 7 = 3 THEN text ELSE replace(text, 'e', 'E') END AS text, CASE WHEN pos % 7 = 3 THEN 1 ELSE 0 END AS n_issues FROM cues""",
+    "clean_cues": f"""
+WITH {_CUES} SELECT media_id, pos, CAST(start_ms // 10 AS BIGINT) AS start_cs, CAST(end_ms // 10 AS BIGINT) AS end_cs, CASE WHEN media_id % 2 = 1 OR pos % 7 = 3 THEN text ELSE replace(text, 'e', 'E') END AS text FROM cues""",
     "translation_report": f"""
 WITH {_CUES}, e AS (SELECT media_id, CASE pos % 2 WHEN 0 THEN 'fr' ELSE 'de' END AS target, count(*) FILTER (pos % 3 = 0) AS c, count(*) FILTER (pos % 4 = 0) AS i FROM cues GROUP BY ALL)
 SELECT media_id, string_agg(target || ':' || c || ':' || i, ',' ORDER BY target) AS targets, CAST(sum(i) AS BIGINT) AS issues FROM e GROUP BY media_id""",

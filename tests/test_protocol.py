@@ -1,3 +1,5 @@
+import hashlib
+
 from pyspark.sql import functions as F
 
 from cuelake.operators import project, protocol, qa
@@ -73,3 +75,28 @@ def test_decoder_files(spark, tmp_path):
     srt.write_srt(cues, str(tmp_path / "out"))
     read, rejected = srt.read_srt(spark, str(tmp_path / "out" / "*" / "*.txt"))
     assert [(r.cue_id, r.start_ms, r.end_ms, r.text) for r in read.collect()] == [(7, 0, 1500, "Hi\nthere")] and rejected.count() == 0
+
+
+def test_bundle_hashes_names_and_contents(spark):
+    files = {"b": "two", "a": "one", "é": ""}
+    rows = spark.createDataFrame([("x", k, v) for k, v in files.items()], "bundle string, name string, content string")
+    whole = b"".join(k.encode() + b"\x00" + hashlib.sha256(v.encode()).hexdigest().encode() for k, v in sorted(files.items()))
+    assert [tuple(r) for r in project.bundle_sha256(rows).collect()] == [("x", hashlib.sha256(whole).hexdigest())]
+
+
+def test_context_takes_an_utterance_on_either_side_while_it_fits(spark):
+    big = "y" * 7997 + "."
+    texts = ["One", "two.", "three.", "four.", "x.", big, big, big, big, "z."]
+    cues = spark.createDataFrame([("m", i, 100 + i, 10 * i, 10 * i + 10, t) for i, t in enumerate(texts)], "media_id string, pos int, cue_id long, start_ms long, end_ms long, text string")
+    batches = spark.createDataFrame([("m", 2, 0)] + [("m", p, 1) for p in range(5, 9)], "media_id string, pos int, batch_id int")
+    got = protocol.utterance_context(batches, cues).orderBy("batch_id", "utterance").collect()
+    assert [(r.utterance, r.context_only, r.cue_ids, r.text) for r in got if r.batch_id == 0] == [(0, True, [100, 101], "One two."), (1, False, [102], "three."), (2, True, [103], "four.")]
+    assert [(r.context_only, r.cue_ids) for r in got if r.batch_id == 1] == [(True, [104]), *[(False, [p]) for p in range(105, 109)]]
+
+
+def test_verification_passes_only_if_all_parts_do(spark):
+    video = spark.createDataFrame([(m, True, True, True, None if m == 1 else True) for m in range(1, 6)], "media_id int, same_size boolean, one_stream boolean, same_duration boolean, same_frames boolean")
+    audio = spark.createDataFrame([(1, True, True), (2, True, False), (3, True, True)], "media_id int, same_count boolean, same_streams boolean")
+    packets = spark.createDataFrame([(1, 1, 5, 5, None), (1, 0, 3, 3, None), (3, 0, 3, 3, 2), (4, 0, 3, 4, None)], "media_id int, stream int, n_source long, n_output long, first_bad int")
+    got = {r.media_id: (r.passed, r.streams and [tuple(x) for x in r.streams]) for r in project.verification_report(video, audio, packets).collect()}
+    assert got == {1: (True, [(0, 3, 3), (1, 5, 5)]), 2: (False, None), 3: (False, [(0, 3, 3)]), 4: (False, [(0, 3, 4)]), 5: (True, None)}
