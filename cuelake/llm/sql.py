@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cuelake.llm import minhash, postings, quality
+from cuelake.llm import minhash, postings, quality, resample
 from cuelake.llm.common import LOWER, UPPER
 
 _RULES = {
@@ -85,4 +85,27 @@ SELECT conv_id, CAST(n AS BIGINT) AS n_turns, sha256(spoken) AS turns_sha256, CA
        sha256(said) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM g
 """
 
-ORACLES: dict[str, str] = {"op2_minhash_dedup": OP2, "op4_decontamination": OP4, "op8_chat_format": OP8, "op10_quality_rules": OP10}
+_WORDS13 = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+# CRC-32 by its rule: eight shifts make the table of 256, and a word's bytes are folded through it.
+_SHIFT = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+OP13 = f"""
+WITH RECURSIVE t8 AS (SELECT i, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) r(i) UNION ALL SELECT i, {_SHIFT}, k + 1 FROM t8 WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM t8 WHERE k = 8),
+d AS (SELECT doc_id, {_WORDS13} AS ws FROM documents), b AS (SELECT {_WORDS13} AS ws FROM benchmark),
+dw AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS w FROM d) GROUP BY ALL),
+bw AS (SELECT w, count(*) AS n FROM (SELECT unnest(ws) AS w FROM b) GROUP BY ALL),
+word AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+crc AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(h), 2), lambda i: CAST(concat('0x', substr(h, i, 2)) AS BIGINT))),
+                                  lambda c, x: xor(tab[xor(c, x) % 256 + 1], c // 256)), 4294967295) % {resample.BUCKETS} AS bucket FROM word, tab),
+s AS (SELECT bucket, sum(n) AS s FROM dw JOIN crc ON dw.w = crc.w GROUP BY bucket), t AS (SELECT bucket, sum(n) AS t FROM bw JOIN crc ON bw.w = crc.w GROUP BY bucket),
+g AS (SELECT s.bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + {resample.BUCKETS})::DOUBLE / ((s + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + {resample.BUCKETS})::DOUBLE))) AS BIGINT) AS gain
+      FROM s LEFT JOIN t ON s.bucket = t.bucket),
+w AS (SELECT doc_id, sum(n * gain) AS weight FROM dw JOIN crc ON dw.w = crc.w JOIN g ON g.bucket = crc.bucket GROUP BY doc_id),
+r AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+             CAST(floor(-1000 * ln(-ln((CAST(concat('0x', substr(sha256('{resample.SEED}:' || d.doc_id), 1, 8)) AS BIGINT) + 0.5)::DOUBLE / 4294967296.0::DOUBLE))) AS BIGINT) AS u
+      FROM d LEFT JOIN w ON w.doc_id = d.doc_id),
+k AS (SELECT *, weight + u AS score, row_number() OVER (PARTITION BY n_features >= {resample.LEAST_WORDS} ORDER BY weight + u DESC, doc_id) AS place FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= {resample.LEAST_WORDS} AND place <= (SELECT count(*) FILTER (n_features >= {resample.LEAST_WORDS}) * {resample.PERCENT} // 100 FROM r) THEN place END AS rank FROM k
+"""
+
+ORACLES: dict[str, str] = {"op2_minhash_dedup": OP2, "op4_decontamination": OP4, "op8_chat_format": OP8, "op10_quality_rules": OP10, "op13_resampling": OP13}
