@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import chat, language, lines, minhash, packing, pages, postings, quality, resample, shards, toxicity
+from cuelake.llm import alignment, chat, language, lines, minhash, packing, pages, postings, quality, resample, shards, toxicity
 from cuelake.llm.common import Work, read
 
 
@@ -85,6 +85,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *q, "base_failed", "kept")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(Work(spark, "alignment"), docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     return resample.resample(Work(spark, "resample"), docs, items).select("doc_id", "n_features", "weight", "score", "rank")
@@ -101,5 +106,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_html_text": op9_html_text,
     "op10_quality_rules": op10_quality_rules,
+    "op12_alignment": op12_alignment,
     "op13_resampling": op13_resampling,
 }
