@@ -15,6 +15,7 @@ each their own document, and their links all count. An empty table gives no rows
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
@@ -22,6 +23,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache, partial
 from itertools import accumulate
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from cuelake.llm.common import BROADCAST_ROWS, Work
 
-_CACHE, _LONG, _DOCS = 400_000, 96, 64
+_CACHE, _LONG, _RUN, _DOCS = 300_000, 96, 64, 64
 #: Pairs in the broadcast table: 24 bytes each.
 HOT = BROADCAST_ROWS
 _SIGN = 2**31  # ids of A are below this, those of B too
@@ -66,8 +68,11 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+Known = tuple[str, bytes, int]
+
+
 class _Units(dict):
-    """What is known of a unit: (groups as text, link keys as little-endian int64, numbers of A and B tokens as uint32), or None if bytes differ."""
+    """What is known of a unit: its groups as text, its link keys as little-endian int64, and 2**32 times its number of A tokens plus that of B; None if bytes differ."""
 
     def __init__(self, path_a: str, path_b: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core: threads of its own would only wait
@@ -75,6 +80,8 @@ class _Units(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        gc.set_threshold(100_000)  # many small tuples are made, none of them in cycles
+        self.old: dict[str, Known | None] = {}
         self.a, self.b = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
         self.a.encode_special_tokens = True
         alphabet, vocabulary = byte_alphabet(), self.a.get_vocab(with_added_tokens=False)
@@ -83,41 +90,67 @@ class _Units(dict):
             self.bytes_a[i] = bytes(map(alphabet.__getitem__, token))
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.digits = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
         joined = {c for p in pieces for before, c in zip(p, p[1:], strict=False) if before != c}
-        self.cuts = "".join(c for c in " \t\n\r" if c not in joined and (c != " " or "▁" not in joined))
-        self.cut = re.compile(rf"(?<=\S)(?=[{self.cuts}])") if self.cuts else None
+        cuts = "".join(c for c in " \t\n\r" if c not in joined and (c != " " or "▁" not in joined))
+        self.cut = re.compile(rf"(?<=\S)(?=[{cuts}])") if cuts else None
 
     def split(self, text: str) -> list[str]:
         return self.cut.split(text) if self.cut else [text]
 
-    def learn(self, units: set[str]) -> dict[str, tuple[str, bytes, bytes] | None]:
-        """Look up units, and encode those that are not known, many to a call. Long ones are not kept; all go when there is no room."""
-        fresh = [u for u in units if u not in self]
+    def learn(self, units: set[str]) -> dict[str, Known | None]:
+        """Make units known; those that are too long to keep are returned.
+
+        When there is no room, what was not used since the last time goes. Units that end in no white space are encoded in runs, as a call costs as much as a unit.
+        """
+        fresh = []
+        for unit in units:
+            if unit not in self:
+                if unit in self.old:
+                    self[unit] = self.old[unit]
+                else:
+                    fresh.append(unit)
         if len(self) + len(fresh) > _CACHE:
+            self.old = dict(self)
             self.clear()
-            fresh = list(units)
-        made = {}
-        if fresh:
-            # B puts a space in front: it stands for a unit's own first space, else it is a token that is cut off again.
-            encoded_b = self.b.encode([u[1:] if u[:1] == " " else u for u in fresh], num_threads=1)
-            for unit, ids_a, ids_b in zip(fresh, self.a.encode_batch_fast(fresh, add_special_tokens=False), encoded_b, strict=True):
-                made[unit] = self._align(unit.encode("utf-8", "replace"), ids_a.ids, ids_b if unit[:1] == " " else ids_b[1:])
-        if " " in made:
-            made[" "] = self._align(b" ", self.a.encode(" ", add_special_tokens=False).ids, [self.b.piece_to_id("▁")])  # B gives an empty text no token
+            self.update((u, self.old[u]) for u in units if u in self.old)
+        plain = [u for u in fresh if not u[-1].isspace() and len(u) <= _LONG]
+        runs = [plain[i : i + _RUN] for i in range(0, len(plain), _RUN)] + [[u] for u in fresh if u[-1].isspace() or len(u) > _LONG]
+        made: dict[str, Known | None] = {}
+        for run, found in zip(runs, self._align_all(runs), strict=True):
+            if found is None and len(run) > 1:
+                alone = [[u] for u in run]
+                made |= {u: x and x[0] for u, x in zip(run, self._align_all(alone), strict=True)}
+            else:
+                made |= dict(zip(run, found or [None], strict=True))
         self.update({u: x for u, x in made.items() if len(u) <= _LONG})
         return made
 
-    def _align(self, raw: bytes, ids_a: list[int], ids_b: list[int]) -> tuple[str, bytes, bytes] | None:
-        parts_a, parts_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
+    def _align_all(self, runs: list[list[str]]) -> Iterator[list[Known] | None]:
+        texts = ["".join(run) for run in runs]
+        # B puts a space in front: it stands for a text's own first space, else it is a token that is cut off again. An empty text has no token.
+        of_b = self.b.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
+        space = [self.b.piece_to_id("▁")]
+        for run, text, a, b in zip(runs, texts, self.a.encode_batch_fast(texts, add_special_tokens=False), of_b, strict=True):
+            yield self._align(run, text, a.ids, space if text == " " else b if text[0] == " " else b[1:])
+
+    def _align(self, run: list[str], text: str, ids_a: list[int], ids_b: list[int]) -> list[Known] | None:
+        parts_a, parts_b, raw = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b], text.encode("utf-8", "replace")
         if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
             return None
-        ends = common_ends(list(accumulate(map(len, parts_a))), list(accumulate(map(len, parts_b))))
-        groups, keys, i0, j0 = [], [], 0, 0
-        for i, j in ends:
-            groups.append(f"{','.join(map(str, ids_a[i0 : i + 1]))}|{','.join(map(str, ids_b[j0 : j + 1]))}")
-            keys.append(ids_a[i] * _SIGN + ids_b[j])
-            i0, j0 = i + 1, j + 1
-        return ";".join(groups), np.array(keys, "<i8").tobytes(), np.array([len(ids_a), len(ids_b)], "<u4").tobytes()
+        ends, digits = list(accumulate(map(len, parts_a))), self.digits
+        found, groups, keys, i0, j0, first_a, first_b = [], [], [], 0, 0, 0, 0
+        upto = accumulate(len(u) if u.isascii() else len(u.encode("utf-8", "replace")) for u in run)
+        unit_end = next(upto)
+        for i, j in common_ends(ends, list(accumulate(map(len, parts_b)))):
+            i, j = i + 1, j + 1
+            groups.append(f"{digits[ids_a[i0]] if i == i0 + 1 else ','.join([digits[x] for x in ids_a[i0:i]])}|{digits[ids_b[j0]] if j == j0 + 1 else ','.join([digits[x] for x in ids_b[j0:j]])}")
+            keys.append(ids_a[i - 1] * _SIGN + ids_b[j - 1])
+            i0, j0 = i, j
+            if ends[i - 1] == unit_end:
+                found.append((";".join(groups), pack(f"<{len(keys)}q", *keys), (i - first_a) << 32 | (j - first_b)))
+                groups, keys, first_a, first_b, unit_end = [], [], i, j, next(upto, 0)
+        return found
 
 
 @cache
@@ -144,11 +177,11 @@ def _encode(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str, with_gr
                     out.append(none)
                     continue
                 groups, keys, sizes = zip(*found, strict=True)
-                n_a, n_b = np.frombuffer(b"".join(sizes), "<u4").reshape(-1, 2).sum(axis=0, dtype=np.int64)
+                n_a, n_b = divmod(sum(sizes), 1 << 32)
                 keys = np.frombuffer(b"".join(keys), "<i8")
                 some, times = np.unique(keys, return_counts=True)
                 text = ";".join(groups)
-                out.append((int(n_a), int(n_b), len(keys), hashlib.sha256(text.encode()).hexdigest(), some, times.astype(np.int32), text if with_groups else ""))
+                out.append((n_a, n_b, len(keys), hashlib.sha256(text.encode()).hexdigest(), some, times.astype(np.int32), text if with_groups else ""))
         n_a, n_b, n_groups, digests, keys, times, groups = list(zip(*out, strict=True)) or [()] * 7
         starts = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
         lists = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.concatenate([np.zeros(0, t), *x]).astype(t))) for x, t in ((keys, np.int64), (times, np.int32))]
