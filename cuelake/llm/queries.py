@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import alignment, chat, language, lines, minhash, packing, pages, postings, quality, resample, shards, toxicity
+from cuelake.llm import alignment, chat, language, lines, minhash, packing, pages, postings, quality, resample, shards, topk, toxicity
 from cuelake.llm.common import Work, read
 
 
@@ -85,6 +85,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *q, "base_failed", "kept")
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integers(read(spark, sf_dir, "embeddings"))
+    return topk.top_k(Work(spark, "topk"), vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return alignment.align(Work(spark, "alignment"), docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -106,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_html_text": op9_html_text,
     "op10_quality_rules": op10_quality_rules,
+    "op11_topk": op11_topk,
     "op12_alignment": op12_alignment,
     "op13_resampling": op13_resampling,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cuelake.llm import minhash, postings, quality, resample
+from cuelake.llm import minhash, postings, quality, resample, topk
 from cuelake.llm.common import LOWER, UPPER
 
 _RULES = {
@@ -85,6 +85,14 @@ SELECT conv_id, CAST(n AS BIGINT) AS n_turns, sha256(spoken) AS turns_sha256, CA
        sha256(said) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM g
 """
 
+OP11 = f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({topk.SCALE} * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+s AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_dot_product(q.v, x.v) AS BIGINT) AS score FROM v q JOIN v x ON q.vec_id <> x.vec_id AND len(q.v) = len(x.v) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+QUALIFY rank <= {topk.K}
+"""
+
 _WORDS13 = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 # CRC-32 by its rule: eight shifts make the table of 256, and a word's bytes are folded through it.
 _SHIFT = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
@@ -108,4 +116,4 @@ k AS (SELECT *, weight + u AS score, row_number() OVER (PARTITION BY n_features
 SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= {resample.LEAST_WORDS} AND place <= (SELECT count(*) FILTER (n_features >= {resample.LEAST_WORDS}) * {resample.PERCENT} // 100 FROM r) THEN place END AS rank FROM k
 """
 
-ORACLES: dict[str, str] = {"op2_minhash_dedup": OP2, "op4_decontamination": OP4, "op8_chat_format": OP8, "op10_quality_rules": OP10, "op13_resampling": OP13}
+ORACLES: dict[str, str] = {"op2_minhash_dedup": OP2, "op4_decontamination": OP4, "op8_chat_format": OP8, "op10_quality_rules": OP10, "op11_topk": OP11, "op13_resampling": OP13}
