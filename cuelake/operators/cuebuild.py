@@ -1,6 +1,6 @@
 """From decoder output to cues: token bytes into words, words into cues, overlaps merged, windows planned, cues finished.
 
-The folds (each step depends on what the last one gave) run per decode window or media item, whose sizes are bounded, in applyInPandas.
+The folds (each step depends on what the last one gave) run in sorted passes, per decode window or where nothing natural cuts a run of cues.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
-from cuelake.operators import segments, transcript
+from cuelake.operators import scan, segments, transcript
 
 # Default limits of a cue in cs and characters, the slack between copies of a cue, the shortest text that may be part of another.
 MARKS = tuple(T.STRONG_END + T.SOFT_END)
@@ -49,26 +49,44 @@ class _Track:
             size += len(t)
         self.flat = "".join(parts)
         self.at.append(size)
+        # Of each word's place: the next character that is no space, and the end of the last one before it.
+        self.lead, self.tail, nearest = [0] * (self.n + 1), [0] * (self.n + 1), size
+        for i in range(self.n, -1, -1):
+            stripped = parts[i].lstrip() if i < self.n else ""
+            nearest = self.at[i] + len(parts[i]) - len(stripped) if stripped else nearest
+            self.lead[i] = nearest
+        nearest = 0
+        for i, part in enumerate(parts):
+            stripped = part.rstrip()
+            nearest = self.at[i] + len(stripped) if stripped else nearest
+            self.tail[i + 1] = nearest
+
+    def chars(self, first: int, last: int) -> int:
+        """The length of what said() gives, without making it."""
+        return max(self.tail[last + 1] - self.lead[first], 0)
+
+    def ends_marked(self, first: int, last: int) -> bool:
+        return self.chars(first, last) > 0 and self.flat[self.tail[last + 1] - 1] in MARKS
 
     def said(self, first: int, last: int) -> str:
-        return self.flat[self.at[first] : self.at[last + 1]].strip()
+        return self.flat[self.lead[first] : self.lead[first] + self.chars(first, last)]
 
     def last_word(self, first: int) -> int:
         """The last word of the cue that begins with word first: what remains, shared out evenly, bounds it; marks and pauses end it."""
         p, n = self.policy, self.n
         limit = max(p.cjk_chars if first <= self.last_cjk else p.latin_chars, 1)
-        chars, span = max(len(self.said(first, n - 1)), 1), max(self.ends[-1] - self.starts[first], 1)
+        chars, span = max(self.chars(first, n - 1), 1), max(self.ends[-1] - self.starts[first], 1)
         shares = max(-(-chars // limit), -(-span // max(p.max_cs, 1)), 1)
         chars, span = -(-chars // shares), max(-(-span // shares), p.min_cs, 1)
         boundary, hard = None, n - 1
         for i in range(first, n):
-            said, lasts = self.said(first, i), self.ends[i] - self.starts[first]
+            said, lasts = self.chars(first, i), self.ends[i] - self.starts[first]
             pause = i + 1 < n and self.starts[i + 1] - self.ends[i] >= max(p.pause_cs, 1)
-            natural, over = said.endswith(MARKS) or pause, len(said) > limit
+            natural, over = self.ends_marked(first, i) or pause, said > limit
             if i >= first + 2 and over and self.marks[i]:
                 hard = i - 2  # the mark stays with the word before it, in the next cue
                 break
-            if i > first and (len(said) > chars or lasts > span) and not self.marks[i] and not (natural and not over and lasts <= max(p.max_cs, 1)):
+            if i > first and (said > chars or lasts > span) and not self.marks[i] and not (natural and not over and lasts <= max(p.max_cs, 1)):
                 hard = i - 1
                 break
             if natural:
@@ -93,18 +111,11 @@ def cues_from_words(words: DataFrame, policy: CuePolicy | None = None, keys: tup
     limits = policy or CuePolicy()
     kept = transcript.valid_words(words).select(*keys, "word_idx", "start_cs", "end_cs", "text")
 
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("word_idx")
-        found = list(_Track(rows.start_cs.tolist(), rows.end_cs.tolist(), rows.text.tolist(), limits).cues())
-        out = pd.DataFrame(found, columns=["start_cs", "end_cs", "text"])
-        out.insert(0, "idx", range(1, len(out) + 1))
-        for k in reversed(keys):
-            out.insert(0, k, rows[k].iloc[0])
-        return out
+    def build(cols: list[list]) -> list[tuple]:
+        _, starts, ends, texts = cols
+        return [(i, *cue) for i, cue in enumerate(_Track(starts, ends, texts, limits).cues(), 1)]
 
-    types = dict(kept.dtypes)
-    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "idx long, start_cs long, end_cs long, text string"])
-    return kept.groupBy(*keys).applyInPandas(build, schema)
+    return scan.stream(kept, list(keys), ["word_idx"], build, "idx long, start_cs long, end_cs long, text string")
 
 
 def assemble_tokens(tokens: DataFrame) -> DataFrame:
@@ -144,32 +155,39 @@ def dedup_boundary(cues: DataFrame, windows: DataFrame, rate: int) -> DataFrame:
 
     A cue is a copy of the last one kept if they come from different windows that overlap, both touch that overlap, their keys are equal or one of
     LEAST_PART characters or more is part of the other, and it begins at most SLACK_CS after the other ends. The longer text stays.
+    An item is cut wherever a cue and the one before it can't be copies, whatever they say; only what is left between cuts is folded.
     """
     cs = lambda c: F.floor(F.col(c) * 100 / rate)
     bounds = windows.select("media_id", "chunk_id", cs("start").alias("w_start"), cs("end").alias("w_end"))
     rows = cues.select("media_id", "chunk_id", "pos", "start_cs", "end_cs", "text", T.boundary_key(F.col("text")).alias("key")).join(bounds, ["media_id", "chunk_id"])
 
-    def copies(a: dict, b: dict) -> bool:
-        lo, hi = max(a["w_start"], b["w_start"]), min(a["w_end"], b["w_end"])
-        touch = a["chunk_id"] != b["chunk_id"] and lo < hi and all(x["start_cs"] < hi and x["end_cs"] > lo for x in (a, b))
-        x, y = sorted((a["key"], b["key"]), key=len)
-        return touch and bool(b["key"]) and (x == y or (len(x) >= LEAST_PART and x in y)) and b["start_cs"] <= a["end_cs"] + SLACK_CS
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for cue in group.sort_values(["chunk_id", "pos"]).to_dict("records"):
-            if kept and copies(kept[-1], cue):
-                last = kept[-1]
-                longer = max((last, cue), key=lambda c: len(c["text"]))
-                kept[-1] = cue | {"start_cs": min(last["start_cs"], cue["start_cs"]), "end_cs": max(last["end_cs"], cue["end_cs"]), "text": longer["text"], "key": longer["key"], "pos": last["pos"]}
-            else:
-                kept.append(cue)
-        out = pd.DataFrame(kept)
-        out["idx"] = range(1, len(out) + 1)
-        return out[["media_id", "idx", "chunk_id", "start_cs", "end_cs", "text"]]
+    block = F.floor(F.col("chunk_id") / 16)
+    rows = scan.along(rows, ["media_id"], ["chunk_id", "pos"], block, nth="nth", before={"prior": ["chunk_id", "w_start", "w_end"]})
+    lo, hi = F.greatest("prior.w_start", "w_start"), F.least("prior.w_end", "w_end")
+    may = (F.col("prior.chunk_id") != F.col("chunk_id")) & (lo < hi) & (F.col("start_cs") < hi) & (F.col("end_cs") > lo) & (F.col("key") != "")
+    rows = scan.along(rows.withColumn("own", (~F.coalesce(may, F.lit(False))).cast("long")), ["media_id"], ["chunk_id", "pos"], block, sums={"island": F.col("own")})
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("media_id", "island")))
+
+    def fold(cols: list[list]) -> list[tuple]:
+        kept: list[list] = []
+        for nth, chunk, start, end, text, key, w_start, w_end in zip(*cols, strict=True):
+            if kept:
+                _, _, s, e, t, k, ws, we = last = kept[-1]
+                lo, hi = max(ws, w_start), min(we, w_end)
+                x, y = sorted((k, key), key=len)
+                if s < hi and e > lo and (x == y or (len(x) >= LEAST_PART and x in y)) and start <= e + SLACK_CS:
+                    t, k = (text, key) if len(text) > len(t) else (t, k)
+                    last[1:] = [chunk, min(s, start), max(e, end), t, k, w_start, w_end]
+                    continue
+            kept.append([nth, chunk, start, end, text, key, w_start, w_end])
+        return [tuple(c[:5]) for c in kept]
 
+    out = ["nth", "chunk_id", "start_cs", "end_cs", "text"]
     types = dict(rows.dtypes)
-    return rows.groupBy("media_id").applyInPandas(fold, f"media_id {types['media_id']}, idx long, chunk_id {types['chunk_id']}, start_cs long, end_cs long, text string")
+    several = scan.stream(rows.where("n > 1").select("media_id", "island", *out, "key", "w_start", "w_end"), ["media_id", "island"], ["nth"], fold, f"nth long, chunk_id {types['chunk_id']}, start_cs long, end_cs long, text string")
+    kept = rows.where("n = 1").select("media_id", *out).unionByName(several.drop("island"))
+    kept = scan.along(kept, ["media_id"], ["nth"], F.floor(F.col("nth") / scan.BLOCK), nth="idx")
+    return kept.select("media_id", (F.col("idx") + 1).alias("idx"), "chunk_id", "start_cs", "end_cs", "text")
 
 
 def optimize_cues(cues: DataFrame, media: DataFrame, pad_cs: int, min_cs: int = 80) -> DataFrame:

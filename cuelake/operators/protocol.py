@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuelake.functions import numbers
 from cuelake.functions import text as T
-from cuelake.operators import qa, review
+from cuelake.operators import qa, review, scan
 
 # Kinds of issue, limits of texts, utterances and attempts.
 KINDS = ("uncertain_transcript", "meaning_alignment", "number_mismatch", "name_consistency", "readability", "unsafe_edit", "other")
@@ -22,26 +21,13 @@ LOOSE = "cues array<map<string,string>>, issues array<map<string,string>>"
 
 def utterances(cues: DataFrame) -> DataFrame:
     """(media_id, pos, utterance): cues joined into sentences; a pause or a limit ends one before a cue, a full stop after it."""
-    text = T.trim_all(F.coalesce("text", F.lit("")))
-    by = W.partitionBy("media_id").orderBy("pos")
-    rows = cues.select(
-        "media_id", "pos", (F.length("text") + 1).alias("chars"), F.coalesce(F.col("start_ms") - F.lag("end_ms").over(by) > PAUSE_MS, F.lit(False)).alias("pause"),
-        F.regexp_replace(F.regexp_replace(text, r"(?U)\s+$", ""), "[\"'”’)\\]]+$", "").rlike("[.!?。！？]$").alias("stop"),
-    )
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group, out, n, chars, number = group.sort_values("pos"), [], 0, 0, 0
-        for size, pause, stop in zip(group.chars, group.pause, group.stop, strict=True):
-            if n and (n >= UTTERANCE_CUES or chars + size > UTTERANCE_CHARS or pause):
-                number, n, chars = number + 1, 0, 0
-            out.append(number)
-            n, chars = n + 1, chars + size
-            if stop:
-                number, n, chars = number + 1, 0, 0
-        return group[["media_id", "pos"]].assign(utterance=out)
-
-    types = dict(rows.dtypes)
-    return rows.groupBy("media_id").applyInPandas(fold, f"media_id {types['media_id']}, pos {types['pos']}, utterance long")
+    text = F.coalesce("text", F.lit(""))
+    stop = F.regexp_replace(F.regexp_replace(text, r"(?U)\s+$", ""), "[\"'”’)\\]]+$", "").rlike("[.!?。！？]$")
+    rows = cues.select("media_id", "pos", "start_ms", "end_ms", (F.length(text) + 1).alias("size"), stop.alias("stop"))
+    rows = scan.along(rows, ["media_id"], ["pos"], F.floor(F.col("pos") / scan.BLOCK), nth="nth", before={"prior": ["end_ms", "stop"]})
+    rows = rows.withColumn("forced", F.coalesce((F.col("start_ms") - F.col("prior.end_ms") > PAUSE_MS) | F.col("prior.stop"), F.lit(False)))
+    cut = scan.cut(rows, ["media_id"], most=UTTERANCE_CUES, room=UTTERANCE_CHARS)
+    return rows.join(cut, ["media_id", "nth"]).select("media_id", "pos", F.col("piece").alias("utterance"))
 
 
 def utterance_context(batches: DataFrame, cues: DataFrame) -> DataFrame:

@@ -6,24 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cuelake.operators import scan
+
 # Limits of a request, and the kinds of issue that later edits do not settle.
 BATCH_CUES, BATCH_CHARS = 24, 8000
 STANDING = ("uncertain_transcript", "unsafe_edit")
 
 
 def batch_cues(cues: DataFrame, max_cues: int = BATCH_CUES, max_chars: int = BATCH_CHARS) -> DataFrame:
-    """(media_id, pos, batch_id): cues in order, a new batch where the next cue would pass either limit. A cue over the limit is a batch alone."""
-    item = F.struct("pos", F.length("text").alias("chars"))
-    tracks = cues.groupBy("media_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    zero = F.struct(F.lit(-1).alias("b"), F.lit(max_cues).alias("n"), F.lit(0).alias("chars"), F.array().cast("array<struct<pos:bigint,batch_id:int>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        new = (s["n"] >= max_cues) | (s["chars"] + x["chars"] > max_chars)
-        b = s["b"] + new.cast("int")
-        placed = F.struct(x["pos"].cast("bigint").alias("pos"), b.alias("batch_id"))
-        return F.struct(b.alias("b"), (F.when(new, 0).otherwise(s["n"]) + 1).alias("n"), (F.when(new, 0).otherwise(s["chars"]) + x["chars"]).alias("chars"), F.array_append(s["out"], placed).alias("out"))
-
-    return tracks.select("media_id", F.inline(F.aggregate("items", zero, step, lambda s: s["out"])))
+    """(media_id, pos, batch_id): cues in order of pos, a new batch where the next cue would pass either limit. A cue over the limit is a batch alone; null texts count nothing."""
+    rows = cues.select("media_id", F.col("pos").cast("long").alias("pos"), F.coalesce(F.length("text"), F.lit(0)).alias("size"), F.lit(False).alias("forced"))
+    rows = scan.along(rows, ["media_id"], ["pos"], F.floor(F.col("pos") / scan.BLOCK), nth="nth")
+    cut = scan.cut(rows, ["media_id"], most=max_cues, room=max_chars)
+    return rows.join(cut, ["media_id", "nth"]).select("media_id", "pos", F.col("piece").cast("int").alias("batch_id"))
 
 
 def apply_responses(source: DataFrame, responses: DataFrame) -> DataFrame:

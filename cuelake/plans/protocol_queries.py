@@ -25,7 +25,9 @@ def deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cues_cs(spark, sf_dir)
     spans = c.groupBy("media_id").agg(F.lit(0).cast("long").alias("start"), F.max("end_cs").alias("end"))
     w = segments.split_windows(spans, 600, 200).withColumn("chunk_id", F.row_number().over(W.partitionBy("media_id").orderBy("start")) - 1)
-    seen = c.join(w, "media_id").where("start_cs < end AND end_cs > start").select("media_id", "chunk_id", "pos", "start_cs", "end_cs", "text")
+    slots = F.sequence(F.floor((F.col("start_cs") - 600) / 400), F.floor(F.col("end_cs") / 400))  # of starts of windows that a cue may touch
+    seen = c.withColumn("slot", F.explode(slots)).join(w.withColumn("slot", F.floor(F.col("start") / 400)), ["media_id", "slot"])
+    seen = seen.where("start_cs < end AND end_cs > start").select("media_id", "chunk_id", "pos", "start_cs", "end_cs", "text")
     return cuebuild.dedup_boundary(seen, w, 100)
 
 
@@ -288,6 +290,13 @@ WITH {_CUES}, {_BATCH3}, s AS (SELECT media_id, batch_id, min(pos) AS lo, max(po
 SELECT s.media_id, s.batch_id, 'verify' AS stage, string_agg(cue_id, ',' ORDER BY pos) FILTER (pos BETWEEN lo AND hi) AS cues, coalesce(string_agg(cue_id, ',' ORDER BY pos) FILTER (pos NOT BETWEEN lo AND hi), '') AS neighbours,
        coalesce(string_agg(cue_id, ',' ORDER BY pos) FILTER (pos BETWEEN lo AND hi AND pos % 4 = 1), '') AS issues, count(*) FILTER (pos BETWEEN lo AND hi AND pos % 6 = 2) AS undrafted
 FROM s JOIN cues c ON c.media_id = s.media_id AND pos BETWEEN lo - 2 AND hi + 2 GROUP BY ALL""",
+    "utterances": f"""
+WITH RECURSIVE {_CUES}, c AS (SELECT media_id, pos, length(text) + 1 AS n, coalesce(start_ms - lag(end_ms) OVER m > 1500, FALSE) AS pause,
+       regexp_matches(regexp_replace(regexp_replace(text, '\\s+$', ''), '["''”’)\\]]+$', ''), '[.!?。！？]$') AS stop FROM cues WINDOW m AS (PARTITION BY media_id ORDER BY pos)),
+u AS (SELECT media_id, pos, 0 AS utterance, 1 AS k, n AS size, stop FROM c WHERE pos = 0
+      UNION ALL SELECT c.media_id, c.pos, u.utterance + new, CASE WHEN new = 1 THEN 1 ELSE k + 1 END, CASE WHEN new = 1 THEN n ELSE size + n END, c.stop
+      FROM (SELECT u.*, c.pos AS p, c.n AS more, CASE WHEN u.stop OR c.pause OR k >= 32 OR size + c.n > 8000 THEN 1 ELSE 0 END AS new FROM u JOIN c ON c.media_id = u.media_id AND c.pos = u.pos + 1) u JOIN c ON c.media_id = u.media_id AND c.pos = u.p)
+SELECT media_id, pos, CAST(utterance AS BIGINT) AS utterance FROM u""",
     "validate_responses": f"""
 WITH {_CUES}, {_BATCH3}, s AS (SELECT media_id, batch_id, (media_id + batch_id) % 6 AS k, count(*) AS n FROM b GROUP BY ALL)
 SELECT media_id, batch_id, CASE WHEN k = 0 OR k = 5 AND FALSE THEN n ELSE 0 END AS n_cues, CASE k WHEN 0 THEN '' WHEN 1 THEN 'count' WHEN 2 THEN 'count' WHEN 3 THEN 'fields' WHEN 4 THEN 'text' ELSE 'issues' END AS fault FROM s WHERE NOT (k = 1 AND n = 1)""",
