@@ -77,10 +77,14 @@ def review_queue(states: DataFrame, issues: DataFrame, acceptances: DataFrame) -
 
 
 def verification_report(video: DataFrame, audio: DataFrame, packets: DataFrame) -> DataFrame:
-    """(media_id, passed, streams): all verdicts of an item in one row, with the packet counts of each stream. Unknown frame counts fail nothing."""
+    """(media_id, passed, streams): all verdicts of an item in one row, with the packet counts of each stream.
+
+    audio: (media_id, n_streams, same_count, same_streams). What was not looked at is not verified: an item passes only with an audio verdict and packets of each of its n_streams streams.
+    Unknown frame counts alone fail nothing.
+    """
     good = F.col("n_source").eqNullSafe(F.col("n_output")) & F.col("first_bad").isNull()
-    streams = packets.groupBy("media_id").agg(F.bool_and(good).alias("packets_ok"), F.array_sort(F.collect_list(F.struct("stream", "n_source", "n_output"))).alias("streams"))
+    streams = packets.groupBy("media_id").agg(F.bool_and(good).alias("packets_ok"), F.count_distinct("stream").alias("seen"), F.array_sort(F.collect_list(F.struct("stream", "n_source", "n_output"))).alias("streams"))
     rows = video.join(audio, "media_id", "left").join(streams, "media_id", "left")
-    ok = F.col("same_size") & F.col("one_stream") & F.col("same_duration") & F.coalesce("same_frames", F.lit(True))
-    ok &= F.coalesce("same_count", F.lit(True)) & F.coalesce("same_streams", F.lit(True)) & F.coalesce("packets_ok", F.lit(True))
-    return rows.select("media_id", ok.alias("passed"), "streams")
+    ok = F.col("same_size") & F.col("one_stream") & F.col("same_duration") & F.coalesce("same_frames", F.lit(True)) & F.col("same_count") & F.col("same_streams")
+    ok &= (F.col("n_streams") == F.coalesce("seen", F.lit(0))) & F.coalesce("packets_ok", F.lit(True))  # no packets are right where there are no streams
+    return rows.select("media_id", F.coalesce(ok, F.lit(False)).alias("passed"), "streams")

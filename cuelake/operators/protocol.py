@@ -15,8 +15,10 @@ from cuelake.operators import qa, review, scan
 # Kinds of issue, limits of texts, utterances and attempts.
 KINDS = ("uncertain_transcript", "meaning_alignment", "number_mismatch", "name_consistency", "readability", "unsafe_edit", "other")
 MAX_CHARS, UTTERANCE_CUES, UTTERANCE_CHARS, PAUSE_MS, CONTEXT_CHARS, ATTEMPTS = 8000, 32, 8000, 1500, 32_000, 2
-ANSWER = "cues array<struct<cue_id:bigint,text:string>>, issues array<struct<cue_id:bigint,kind:string,message:string>>"
-LOOSE = "cues array<map<string,string>>, issues array<map<string,string>>"
+#: The types of an answer's items; a value of another type, a field too many or one too few is a fault.
+CUE, ISSUE = "OBJECT<cue_id: BIGINT, text: STRING>", "OBJECT<cue_id: BIGINT, kind: STRING, message: STRING>"
+#: Half of a character pair, escaped: text that can't be.
+LONE = r"(?i)(?<!\\)(?:\\\\)*(?:\\ud[89ab][0-9a-f]{2}(?!\\ud[c-f][0-9a-f]{2})|(?<!\\ud[89ab][0-9a-f]{2})\\ud[c-f][0-9a-f]{2})"
 
 
 def utterances(cues: DataFrame) -> DataFrame:
@@ -30,13 +32,19 @@ def utterances(cues: DataFrame) -> DataFrame:
     return rows.join(cut, ["media_id", "nth"]).select("media_id", "pos", F.col("piece").alias("utterance"))
 
 
-def utterance_context(batches: DataFrame, cues: DataFrame) -> DataFrame:
-    """(media_id, batch_id, utterance, context_only, cue_ids, text): utterances that a batch touches, and one on either side while all stay within CONTEXT_CHARS."""
-    said = utterances(cues).join(cues.select("media_id", "pos", "cue_id", "text"), ["media_id", "pos"])
-    item = F.struct("pos", "cue_id", "text")
+def utterance_context(batches: DataFrame, cues: DataFrame, draft: DataFrame | None = None, spoken: DataFrame | None = None) -> DataFrame:
+    """(media_id, batch_id, utterance, context_only, cue_ids, text, draft_text): utterances that a batch touches, and one on either side while all stay within CONTEXT_CHARS.
+
+    draft_text is null without a draft (media_id, pos, text). Cues without text count one character. spoken: what utterances() gives, if it is at hand.
+    """
+    texts = cues.select("media_id", "pos", "cue_id", F.coalesce("text", F.lit("")).alias("text"))
+    drafted = texts.withColumn("draft", F.lit(None).cast("string")) if draft is None else texts.join(draft.select("media_id", "pos", F.col("text").alias("draft")), ["media_id", "pos"], "left")
+    said = (utterances(cues) if spoken is None else spoken).join(drafted, ["media_id", "pos"])
+    item = F.struct("pos", "cue_id", "text", "draft")
     whole = said.groupBy("media_id", "utterance").agg(F.array_sort(F.collect_list(item)).alias("c"), F.sum(F.length("text") + 1).alias("chars"))
-    text = T.trim_all(F.regexp_replace(F.array_join(F.transform("c", lambda x: x["text"]), " "), r"(?U)\s+", " "))
-    whole = whole.select("media_id", "utterance", "chars", F.transform("c", lambda x: x["cue_id"]).alias("cue_ids"), text.alias("text"))
+    joined = lambda name: T.trim_all(F.regexp_replace(F.array_join(F.transform("c", lambda x: x[name]), " "), r"(?U)\s+", " "))
+    told = F.lit(None).cast("string") if draft is None else joined("draft")
+    whole = whole.select("media_id", "utterance", "chars", F.transform("c", lambda x: x["cue_id"]).alias("cue_ids"), joined("text").alias("text"), told.alias("draft_text"))
     spans = batches.join(said.select("media_id", "pos", "utterance"), ["media_id", "pos"]).groupBy("media_id", "batch_id").agg(F.min("utterance").alias("lo"), F.max("utterance").alias("hi"))
     asked = spans.select("media_id", "batch_id", "lo", "hi", F.explode(F.sequence(F.col("lo") - 1, F.col("hi") + 1)).alias("utterance")).join(whole, ["media_id", "utterance"])
     own = F.sum(F.when(F.col("utterance").between(F.col("lo"), F.col("hi")), F.col("chars")).otherwise(0)).over(W.partitionBy("media_id", "batch_id"))
@@ -45,45 +53,75 @@ def utterance_context(batches: DataFrame, cues: DataFrame) -> DataFrame:
     takes_before = F.col("own") + F.col("before") <= CONTEXT_CHARS
     used = F.col("own") + F.when(takes_before, F.col("before")).otherwise(0)
     fits = F.when(F.col("utterance") < F.col("lo"), takes_before).when(F.col("utterance") > F.col("hi"), used + F.col("chars") <= CONTEXT_CHARS).otherwise(True)
-    return asked.where(fits).select("media_id", "batch_id", "utterance", (~F.col("utterance").between(F.col("lo"), F.col("hi"))).alias("context_only"), "cue_ids", "text")
+    return asked.where(fits).select("media_id", "batch_id", "utterance", (~F.col("utterance").between(F.col("lo"), F.col("hi"))).alias("context_only"), "cue_ids", "text", "draft_text")
+
 
+def build_requests(batches: DataFrame, source: DataFrame, draft: DataFrame | None, issues: DataFrame, *, stage: str, task: str, target: str | None = None, context: DataFrame | None = None, spoken: DataFrame | None = None, n: int = 2) -> DataFrame:
+    """(media_id, batch_id, request): a JSON text per batch with its cues, the n cues on either side, the utterances that they are part of, and what is known to be wrong with its cues.
 
-def build_requests(batches: DataFrame, source: DataFrame, draft: DataFrame, issues: DataFrame, *, stage: str, task: str, target: str | None = None, n: int = 2) -> DataFrame:
-    """(media_id, batch_id, request): a JSON text per batch with its cues, the cues around it and what is known to be wrong with them."""
-    both = source.join(draft.select("media_id", "pos", F.col("text").alias("draft")), ["media_id", "pos"], "left")
+    context: (media_id, context), an item's glossary or summary; spoken: its utterances(), if at hand. batches may have ``attempt``: from the second on, the request says that it is asked again.
+    """
+    drafted = source.select("media_id", "pos", F.lit(None).cast("string").alias("draft")) if draft is None else draft.select("media_id", "pos", F.col("text").alias("draft"))
+    both = source.join(drafted, ["media_id", "pos"], "left")
     cue = F.struct("pos", F.struct("cue_id", "start_ms", "end_ms", F.col("text").alias("source"), "draft").alias("cue"))
-    listed = lambda df, name: df.join(both, ["media_id", "pos"]).groupBy("media_id", "batch_id").agg(F.array_sort(F.collect_list(cue)).alias(name))
+    key = ["media_id", "batch_id"]
+    listed = lambda df, name: df.join(both, ["media_id", "pos"]).groupBy(*key).agg(F.array_sort(F.collect_list(cue)).alias(name))
     known = issues.join(source.select("media_id", "pos", "cue_id"), ["media_id", "cue_id"]).join(batches, ["media_id", "pos"])
-    known = known.groupBy("media_id", "batch_id").agg(F.array_sort(F.collect_set(F.struct("cue_id", "kind", "message"))).alias("issues"))
-    rows = listed(batches, "cues").join(listed(qa.neighbours(batches, n), "around"), ["media_id", "batch_id"], "left").join(known, ["media_id", "batch_id"], "left")
-    plain = lambda name: F.transform(F.coalesce(name, F.array().cast(rows.schema[name].dataType)), lambda x: x["cue"])
-    body = F.struct(F.lit(stage).alias("stage"), F.lit(task).alias("task"), F.lit(target).cast("string").alias("target"), plain("cues").alias("cues"), plain("around").alias("neighbours"), F.coalesce("issues", F.array().cast(rows.schema["issues"].dataType)).alias("issues"))
-    return rows.select("media_id", "batch_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("request"))
+    known = known.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("cue_id", "kind", "message"))).alias("issues"))
+    said = utterance_context(batches.select("media_id", "pos", "batch_id"), source, draft, spoken)
+    said = said.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("utterance", "cue_ids", "text", "draft_text", "context_only"))).alias("said"))
+    again = batches.groupBy(*key).agg((F.max("attempt") > 1 if "attempt" in batches.columns else F.lit(False)).alias("retry"))
+    rows = listed(batches, "cues").join(listed(qa.neighbours(batches.select("media_id", "pos", "batch_id"), n), "around"), key, "left").join(known, key, "left").join(said, key, "left").join(again, key)
+    rows = rows.withColumn("context", F.lit(None).cast("string")) if context is None else rows.join(context.select("media_id", "context"), "media_id", "left")
+    full = lambda name: F.coalesce(name, F.array().cast(rows.schema[name].dataType))
+    plain = lambda name: F.transform(full(name), lambda x: x["cue"])
+    spoken = F.transform(full("said"), lambda x: F.struct(x["cue_ids"].alias("cue_ids"), x["text"].alias("source"), x["draft_text"].alias("draft"), x["context_only"].alias("context_only")))
+    body = F.struct(
+        F.lit(stage).alias("stage"), F.lit(task).alias("task"), F.lit(target).cast("string").alias("target"), "context", "retry", plain("cues").alias("cues"), plain("around").alias("neighbours"), spoken.alias("utterances"), full("issues").alias("issues"),
+    )
+    return rows.select(*key, F.to_json(body, {"ignoreNullFields": "false"}).alias("request"))
+
+
+def one_document(text: Column) -> Column:
+    """The variant of a text that is one JSON value and nothing else, no key repeated; null for others.
+
+    A parser that stops where the value ends would let anything follow it: here the text's own hash has to.
+    """
+    mark = F.sha2(text, 256)
+    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
+    return F.when((F.try_variant_get(both, "$[1]", "string") == mark) & ~text.rlike(LONE), F.try_variant_get(both, "$[0]", "variant"))
 
 
 def validate_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """(media_id, batch_id, cues, issues, fault) per response: requests hold (media_id, batch_id, cue_ids), responses their JSON in ``response``.
 
-    fault is null for a response that gives every requested cue once, with text that can be shown, and issues of known kinds on these cues;
-    else it names the first rule broken, and cues and issues are null.
+    fault is null for a response that is one JSON document of the right fields and types and gives every requested cue once, with text that can be shown, and issues of
+    known kinds on these cues; else it names the first rule broken, and cues and issues are null.
     """
-    rows = requests.join(responses, ["media_id", "batch_id"]).withColumns({"r": F.from_json("response", ANSWER), "loose": F.from_json("response", LOOSE), "top": F.json_object_keys("response")})
-    ids, cues, issues = F.transform("r.cues", lambda c: c["cue_id"]), F.col("r.cues"), F.col("r.issues")
-    text = lambda c: T.trim_all(F.regexp_replace(F.coalesce(c["text"], F.lit("")), "\r\n", "\n"))
-    only = lambda maps, *names: F.forall(maps, lambda m: F.size(F.array_except(F.map_keys(m), F.array(*map(F.lit, names)))) == 0)
-    shown = lambda c: (text(c) != "") & (F.length(text(c)) <= MAX_CHARS) & ~text(c).contains("\r") & ~text(c).rlike(r"(?U)\n[^\S\n]*\n")
-    sound = lambda i: F.array_contains("cue_ids", i["cue_id"]) & i["kind"].isin(*KINDS) & (T.trim_all(F.coalesce(i["message"], F.lit(""))) != "")
-    known = F.coalesce(F.size(F.array_except("top", F.array(F.lit("cues"), F.lit("issues")))) == 0, F.lit(False)) & only("loose.cues", "cue_id", "text") & only("loose.issues", "cue_id", "kind", "message")
+    rows = requests.join(responses, ["media_id", "batch_id"]).withColumn("doc", one_document(F.col("response")))
+    items = lambda name: F.try_variant_get("doc", f"$.{name}", "array<variant>")
+    typed = lambda name, kind: F.forall(name, lambda x: F.schema_of_variant(x) == kind)
+    rows = rows.withColumns({"c": items("cues"), "i": items("issues"), "top": F.array_sort(F.map_keys(F.try_variant_get("doc", "$", "map<string,variant>")))})
+    known = (F.col("top") == F.array(F.lit("cues"), F.lit("issues"))) & typed("c", CUE) & typed("i", ISSUE)
+    rows = rows.withColumn("known", F.coalesce(known, F.lit(False)))
+    part = lambda x, name, kind: F.try_variant_get(x, f"$.{name}", kind).alias(name)
+    text = lambda c: F.replace(T.trim_all(F.try_variant_get(c, "$.text", "string")), F.lit("\r\n"), F.lit("\n"))
+    rows = rows.withColumns({
+        "cues": F.when(F.col("known"), F.transform("c", lambda c: F.struct(part(c, "cue_id", "bigint"), text(c).alias("text")))),
+        "issues": F.when(F.col("known"), F.transform("i", lambda i: F.struct(part(i, "cue_id", "bigint"), part(i, "kind", "string"), part(i, "message", "string")))),
+    })
+    shown = lambda c: (c["text"] != "") & (F.length(c["text"]) <= MAX_CHARS) & ~c["text"].contains("\r") & ~c["text"].rlike(r"(?U)\n[^\S\n]*\n")
+    sound = lambda i: F.array_contains("cue_ids", i["cue_id"]) & i["kind"].isin(*KINDS) & (T.trim_all(i["message"]) != "")
     rules = {
-        "json": cues.isNotNull() & issues.isNotNull(), "fields": known, "count": F.size(cues) == F.size("cue_ids"), "ids": F.size(F.array_except("cue_ids", ids)) == 0,
-        "text": F.forall(cues, shown), "issues": F.forall(issues, sound),
+        "json": F.col("doc").isNotNull(), "fields": F.col("known"), "count": F.size("cues") == F.size("cue_ids"), "ids": F.size(F.array_except("cue_ids", F.transform("cues", lambda c: c["cue_id"]))) == 0,
+        "text": F.forall("cues", shown), "issues": F.forall("issues", sound),
     }
     fault = F.lit(None).cast("string")
     for name, holds in reversed(rules.items()):
         fault = F.when(F.coalesce(holds, F.lit(False)), fault).otherwise(name)
     rows = rows.withColumn("fault", fault)
-    clean = F.transform(cues, lambda c: F.struct(c["cue_id"].alias("cue_id"), text(c).alias("text")))
-    return rows.select("media_id", "batch_id", F.when(F.col("fault").isNull(), clean).alias("cues"), F.when(F.col("fault").isNull(), issues).alias("issues"), "fault")
+    good = lambda name: F.when(F.col("fault").isNull(), F.col(name)).alias(name)
+    return rows.select("media_id", "batch_id", good("cues"), good("issues"), "fault")
 
 
 def next_round(batches: DataFrame, failed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -118,27 +156,39 @@ def number_issues(source: DataFrame, draft: DataFrame) -> DataFrame:
     return differ.select("media_id", "cue_id", F.lit("number_mismatch").alias("kind"), F.lit("numbers differ from the source").alias("message"))
 
 
-def review_tracks(source: DataFrame, ask: Callable[[DataFrame, str], DataFrame], *, edits: bool) -> tuple[DataFrame, DataFrame]:
-    """(final, issues) of two passes. ask(cues, stage) gives (media_id, cue_id, text) and should be a written table, as models are not deterministic.
+Ask = Callable[[DataFrame, DataFrame | None, DataFrame], tuple[DataFrame, DataFrame]]
 
-    edits: the task corrects a transcript, so that unsafe edits are taken back; translations are only checked for their numbers.
+
+def no_issues(cues: DataFrame) -> DataFrame:
+    """An empty table of issues, typed as those of cues."""
+    return cues.limit(0).select("media_id", "cue_id", F.lit("").alias("kind"), F.lit("").alias("message"))
+
+
+def review_tracks(source: DataFrame, ask: Ask, *, edits: bool) -> tuple[DataFrame, DataFrame]:
+    """(final, issues) of two passes. ask(source, draft, known) gives the model's texts (media_id, cue_id, text) and issues (media_id, cue_id, kind, message).
+
+    In the first pass there is no draft and nothing known; the second sees the draft and all issues of the first. What ask gives should be written tables, as models
+    are not deterministic. edits: the task corrects a transcript, so that unsafe edits are taken back; translations are only checked for their numbers.
     """
+    columns = ("media_id", "cue_id", "kind", "message")
     message = F.lit("shown for less than 800 ms").alias("message")
-    draft = review.apply_responses(source, ask(source, "generate"))
-    found = number_issues(source, draft)
-    if edits:
-        draft, unsafe = guard_edits(source, draft)
-        found = found.unionByName(unsafe)
-    final = review.apply_responses(draft, ask(draft, "verify"))
-    issues = review.carry_issues(found, draft, final)
-    if edits:
-        final, unsafe = guard_edits(source, final)
-        issues = issues.unionByName(unsafe)
-    issues = issues.unionByName(number_issues(source, final)).unionByName(qa.short_cue_issues(final).select("media_id", "cue_id", "kind", message))
+
+    def guarded(texts: DataFrame, found: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame]:
+        track, found = review.apply_responses(base, texts), found.select(*columns)
+        if edits:
+            track, unsafe = guard_edits(source, track)
+            found = found.unionByName(unsafe)
+        return track, found
+
+    draft, found = guarded(*ask(source, None, no_issues(source)), source)
+    found = found.unionByName(number_issues(source, draft))
+    final, issues = guarded(*ask(source, draft, found), draft)
+    issues = issues.unionByName(review.carry_issues(found, draft, final)).unionByName(number_issues(source, final))
+    issues = issues.unionByName(qa.short_cue_issues(final).select("media_id", "cue_id", "kind", message))
     return final, review.dedup_issues(issues)
 
 
-def clean_cues(cues: DataFrame, ask: Callable[[DataFrame, str], DataFrame], language: Column) -> tuple[DataFrame, DataFrame]:
+def clean_cues(cues: DataFrame, ask: Ask, language: Column) -> tuple[DataFrame, DataFrame]:
     """(cues, issues): cues timed in hundredths of a second with reviewed texts, all else as it was; ask also gets the ``context`` that names the language."""
     context = F.concat(F.lit("Transcript language: "), language)
     source = cues.select("media_id", "pos", "cue_id", (F.col("start_cs") * 10).alias("start_ms"), (F.col("end_cs") * 10).alias("end_ms"), "text", context.alias("context"))

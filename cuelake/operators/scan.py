@@ -19,12 +19,12 @@ BLOCK = 1024
 
 
 def along(df: DataFrame, keys: list[str], order: list[str], block: Column, *, nth: str | None = None, sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None, before: dict[str, list[str]] | None = None) -> DataFrame:
-    """df with ``nth`` (from 0), running ``sums`` and ``maxima`` (up to and with the row) and, for each name in ``before``, columns of the row before as a struct (null at the start).
+    """df with ``nth`` (from 0), running ``sums`` (up to and with the row), ``maxima`` of the rows before, and, for each name in ``before``, columns of the row before as a struct (null at the start).
 
-    block: rises with order within keys. A null key is an item like any other.
+    block: rises with order within keys. Rows of a null key or block are left out. The rows are dealt by block once; block totals and windows both read that.
     """
     sums, maxima, before = sums or {}, maxima or {}, before or {}
-    rows = df.withColumn("_block", block)
+    rows = df.withColumn("_block", block).repartition(*keys, "_block")
     local = W.partitionBy(*keys, "_block").orderBy(*order)
     upto = local.rowsBetween(W.unboundedPreceding, 0)
     last = {n: F.max_by(F.struct(*c), F.struct(*order)).alias(f"_{n}") for n, c in before.items()}
@@ -33,14 +33,11 @@ def along(df: DataFrame, keys: list[str], order: list[str], block: Column, *, nt
     item = W.partitionBy(*keys).orderBy("_block")
     earlier = item.rowsBetween(W.unboundedPreceding, -1)
     carried = own.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_kb"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n"), *[F.sum(f"_{n}").over(earlier).alias(f"_{n}") for n in sums],
+        *keys, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n"), *[F.sum(f"_{n}").over(earlier).alias(f"_{n}") for n in sums],
         *[F.max(f"_{n}").over(earlier).alias(f"_{n}") for n in maxima], *[F.lag(f"_{n}").over(item).alias(f"_{n}") for n in before],
     )
-    rows = rows.withColumns({f"_own_{n}": F.sum(c).over(upto) for n, c in sums.items()} | {f"_own_{n}": F.max(c).over(upto) for n, c in maxima.items()} | {f"_own_{n}": F.lag(F.struct(*c)).over(local) for n, c in before.items()} | {"_own": F.row_number().over(local) - 1})
-    match = F.col("_block").eqNullSafe(F.col("_kb"))
-    for i, k in enumerate(keys):
-        match &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    both = rows.join(carried, match)
+    rows = rows.withColumns({f"_own_{n}": F.sum(c).over(upto) for n, c in sums.items()} | {f"_own_{n}": F.max(c).over(local.rowsBetween(W.unboundedPreceding, -1)) for n, c in maxima.items()} | {f"_own_{n}": F.lag(F.struct(*c)).over(local) for n, c in before.items()} | {"_own": F.row_number().over(local) - 1})
+    both = rows.join(carried, [*keys, "_block"])
     out = {n: F.coalesce(F.col(f"_{n}"), F.lit(0)) + F.coalesce(f"_own_{n}", F.lit(0)) for n in sums} | {n: F.greatest(f"_{n}", f"_own_{n}") for n in maxima} | {n: F.coalesce(f"_own_{n}", f"_{n}") for n in before}
     out |= {nth: F.col("_n") + F.col("_own")} if nth else {}
     return both.select(*df.columns, *[c.alias(n) for n, c in out.items()])

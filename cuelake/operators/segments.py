@@ -8,35 +8,68 @@ from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
 
+#: Bins of a histogram; the samples and the frames of one item that a task takes at a time.
+BINS, SPAN, FRAMES = 1024, 2**24, 2**16
+
+
+def order_statistics(rows: DataFrame, value: str, percents: tuple[int, ...], bins: int = BINS) -> DataFrame:
+    """(media_id, percent, level): of each item's n values in order that of place (n - 1) * percent // 100, exactly. Nulls come first, NaN last, as in a sort.
+
+    Equal values are counted first. A histogram of each item says which of its bins a place is in; only the distinct values of these bins are put in order.
+    """
+    x, finite = F.col(value), F.abs(F.col(value).cast("double")) < float("inf")
+    values = rows.groupBy("media_id", value).agg(F.count(F.lit(1)).alias("k"))
+    sizes = values.groupBy("media_id").agg(F.sum("k").alias("n"), F.min(F.when(finite, x)).cast("double").alias("low"), F.max(F.when(finite, x)).cast("double").alias("high"))
+    width = F.col("high") - F.col("low")
+    inner = F.when(width > 0, F.least(F.floor((x.cast("double") - F.col("low")) / width * bins), F.lit(bins - 1))).otherwise(0)
+    outer = F.when(x.isNull(), -2).when(F.isnan(x), bins + 1).when(x.cast("double") == float("inf"), bins).when(x.cast("double") == float("-inf"), -1)
+    binned = values.join(sizes, "media_id").withColumn("bin", F.coalesce(outer, inner).cast("int"))
+    counts = binned.groupBy("media_id", "bin").agg(F.sum("k").alias("k"), F.first("n").alias("n"))
+    earlier = W.partitionBy("media_id").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    asked = counts.withColumn("before", F.coalesce(F.sum("k").over(earlier), F.lit(0)))
+    asked = asked.select("*", F.explode(F.array(*map(F.lit, percents))).alias("percent"))
+    place = F.floor((F.col("n") - 1) * F.col("percent") / 100)
+    asked = asked.where((F.col("before") <= place) & (place < F.col("before") + F.col("k"))).select("media_id", "bin", "percent", (place - F.col("before")).alias("place"))
+    near = binned.select("media_id", "bin", value, "k").join(asked, ["media_id", "bin"])
+    near = near.withColumn("upto", F.sum("k").over(W.partitionBy("media_id", "percent").orderBy(value).rowsBetween(W.unboundedPreceding, 0)))
+    return near.where((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("k") <= F.col("place"))).select("media_id", "percent", F.col(value).alias("level"))
+
 
 def adaptive_threshold(frames: DataFrame) -> DataFrame:
     """(media_id, threshold) from the 20th and 90th percentile frames, in single precision throughout."""
-    by = W.partitionBy("media_id").orderBy("rms")
-    ranked = frames.withColumns({"i": F.row_number().over(by) - 1, "n": F.count(F.lit(1)).over(W.partitionBy("media_id"))})
-    level = lambda p: F.max(F.when(F.col("i") == F.floor((F.col("n") - 1) * p / 100), F.col("rms")))
+    level = lambda p: F.max(F.when(F.col("percent") == p, F.col("level")))
     f = lambda x: F.lit(x).cast("float")
     low, high = F.col("low"), F.col("high")
     noise = F.greatest((f(2.5) * low).cast("float"), (f(0.08) * high).cast("float"), f(0.003))
     value = F.when(high < f(0.003), f(0.003)).otherwise(F.least(noise, (f(0.5) * high).cast("float")))
-    return ranked.groupBy("media_id").agg(level(20).alias("low"), level(90).alias("high")).select("media_id", value.cast("float").alias("threshold"))
+    levels = order_statistics(frames, "rms", (20, 90))
+    return levels.groupBy("media_id").agg(level(20).alias("low"), level(90).alias("high")).select("media_id", value.cast("float").alias("threshold"))
 
 
-def merge_intervals(df: DataFrame, max_gap: int) -> DataFrame:
-    """Intervals (media_id, start, end) joined where the gap to what came before is at most max_gap."""
-    by = W.partitionBy("media_id").orderBy("start", "end")
+def _islands(df: DataFrame, keys: list[str], max_gap: int) -> DataFrame:
+    by = W.partitionBy(*keys).orderBy("start", "end")
     reach = F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))
     marked = df.withColumn("new", F.when(F.greatest(F.col("start") - reach, F.lit(0)) <= max_gap, 0).otherwise(1))
     islands = marked.withColumn("island", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
-    return islands.groupBy("media_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    return islands.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+
+
+def merge_intervals(df: DataFrame, max_gap: int, span: int = SPAN) -> DataFrame:
+    """Intervals (media_id, start, end) joined where the gap to what came before is at most max_gap.
+
+    Those that start in one span are merged first, so a long item's are shared out between tasks and only what does not merge there meets again.
+    """
+    spans = df.select("media_id", F.floor(F.col("start") / span).alias("span"), "start", "end")
+    return _islands(_islands(spans, ["media_id", "span"], max_gap).drop("span"), ["media_id"], max_gap)
 
 
 def active_regions(frames: DataFrame, thresholds: DataFrame, frame: int) -> DataFrame:
     """Maximal runs of frames at or above the threshold, as intervals of samples."""
     loud = frames.join(thresholds, "media_id").where("rms >= threshold")
-    by = W.partitionBy("media_id").orderBy("frame_idx")
-    runs = loud.withColumn("run", F.col("frame_idx") - F.row_number().over(by))
-    runs = runs.groupBy("media_id", "run").agg(F.min("frame_idx").alias("a"), F.max("frame_idx").alias("b"))
-    return runs.select("media_id", (F.col("a") * frame).alias("start"), ((F.col("b") + 1) * frame).alias("end"))
+    by = W.partitionBy("media_id", "part").orderBy("frame_idx")
+    runs = loud.withColumn("part", F.floor(F.col("frame_idx") / FRAMES)).withColumn("run", F.col("frame_idx") - F.row_number().over(by))
+    runs = runs.groupBy("media_id", "part", "run").agg(F.min("frame_idx").alias("a"), F.max("frame_idx").alias("b"))
+    return _islands(runs.select("media_id", (F.col("a") * frame).alias("start"), ((F.col("b") + 1) * frame).alias("end")), ["media_id"], 0)  # runs cut at the border of parts
 
 
 def speech_runs(frames: DataFrame, frame: int, silence: int, min_speech: int) -> DataFrame:

@@ -118,9 +118,9 @@ def split_long_cues(cues: DataFrame, max_cs: int = MAX_CS) -> DataFrame:
 
 
 def audio_streams_equal(source: DataFrame, output: DataFrame) -> DataFrame:
-    """(media_id, same_count, same_streams) of probes with ``audio``, an array of streams, by place; unknown values equal each other."""
+    """(media_id, n_streams, same_count, same_streams) of probes with ``audio``, an array of streams, by place; unknown values equal each other, n_streams are the source's."""
     fields = ("codec", "sample_rate", "channels")
     side = lambda df, p: df.select("media_id", F.coalesce("audio", F.array()).alias(p))
     both = side(source, "s").join(side(output, "o"), "media_id")
     alike = F.zip_with("s", "o", lambda a, b: reduce(lambda x, y: x & y, [a[f].eqNullSafe(b[f]) for f in fields]))
-    return both.select("media_id", (F.size("s") == F.size("o")).alias("same_count"), ((F.size("s") == F.size("o")) & F.forall(alike, lambda x: x)).alias("same_streams"))
+    return both.select("media_id", F.size("s").cast("long").alias("n_streams"), (F.size("s") == F.size("o")).alias("same_count"), ((F.size("s") == F.size("o")) & F.forall(alike, lambda x: x)).alias("same_streams"))

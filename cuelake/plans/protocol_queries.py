@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from cuelake.functions import numbers
 from cuelake.functions import text as T
 from cuelake.operators import cuebuild, project, protocol, qa, review, segments, transcript
+from cuelake.operators import rounds as rounds_
 from cuelake.plans.queries import _CUES, _EVENTS, _THRESHOLD, _merge, _read, cues, cues_cs, frames, packets
 from cuelake.plans.workflow_queries import probes, sha, words
 from cuelake.sources import decoder
@@ -68,30 +71,44 @@ def batches(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second attempts for the odd batches, a glossary for the even items."""
     c = cues(spark, sf_dir)
     issues = c.where("pos % 4 = 1").select("media_id", "cue_id", F.lit("readability").alias("kind"), F.lit("long").alias("message"))
-    out = protocol.build_requests(batches(spark, sf_dir, 3).drop("cue_id"), c, c.where("pos % 6 <> 2"), issues, stage="verify", task="transcription")
-    r = F.from_json("request", "stage string, cues array<struct<cue_id:bigint,source:string,draft:string>>, neighbours array<struct<cue_id:bigint>>, issues array<struct<cue_id:bigint>>")
+    glossary = c.where("media_id % 2 = 0").select("media_id", F.concat(F.lit("item "), F.col("media_id").cast("string")).alias("context")).distinct()
+    asked = batches(spark, sf_dir, 3).drop("cue_id").withColumn("attempt", 1 + F.col("batch_id") % 2)
+    out = protocol.build_requests(asked, c, c.where("pos % 6 <> 2"), issues, stage="verify", task="transcription", context=glossary)
+    r = F.from_json("request", "stage string, context string, retry boolean, cues array<struct<cue_id:bigint,source:string,draft:string>>, neighbours array<struct<cue_id:bigint>>, issues array<struct<cue_id:bigint>>, utterances array<struct<cue_ids:array<bigint>,source:string,draft:string,context_only:boolean>>")
     out = out.select("media_id", "batch_id", r.alias("r"))
     ids = lambda name: F.array_join(F.transform(f"r.{name}", lambda x: x["cue_id"].cast("string")), ",")
-    return out.select("media_id", "batch_id", "r.stage", ids("cues").alias("cues"), ids("neighbours").alias("neighbours"), ids("issues").alias("issues"), F.size(F.filter("r.cues", lambda x: x["draft"].isNull())).cast("long").alias("undrafted"))
+    spoken = F.array_join(F.transform("r.utterances", lambda u: F.concat(F.when(u["context_only"], "(").otherwise(""), F.array_join(u["cue_ids"].cast("array<string>"), "+"))), ",")
+    chars = F.aggregate("r.utterances", F.lit(0), lambda n, u: n + F.length(F.regexp_replace(F.concat(u["source"], u["draft"]), r"(?U)\s", "")))
+    return out.select(
+        "media_id", "batch_id", "r.stage", F.coalesce("r.context", F.lit("")).alias("context"), "r.retry", ids("cues").alias("cues"), ids("neighbours").alias("neighbours"), ids("issues").alias("issues"),
+        F.size(F.filter("r.cues", lambda x: x["draft"].isNull())).cast("long").alias("undrafted"), spoken.alias("utterances"), chars.cast("long").alias("utterance_chars"),
+    )
+
+
+#: What answers of each kind are wrong in: k is (media_id + batch_id) % 14.
+FAULTS = ("", "count", "count", "fields", "text", "issues", "json", "json", "json", "fields", "fields", "json", "fields", "ids")
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers to batches of three cues, in reverse; five in six have a fault."""
-    c = cues(spark, sf_dir).withColumns({"batch_id": F.floor(F.col("pos") / 3), "k": (F.col("media_id") + F.floor(F.col("pos") / 3)) % 6})
-    first = F.row_number().over(W.partitionBy("media_id", "batch_id").orderBy("pos")) == 1
-    said = F.when((F.col("k") == 4) & first, " ").otherwise(F.col("text"))
+    """Answers to batches of three cues, in reverse; one in fourteen is sound, the others each break a rule."""
+    c = cues(spark, sf_dir).withColumns({"batch_id": F.floor(F.col("pos") / 3), "k": (F.col("media_id") + F.floor(F.col("pos") / 3)) % len(FAULTS)})
+    k, first = F.col("k"), F.row_number().over(W.partitionBy("media_id", "batch_id").orderBy("pos")) == 1
+    said = F.when((k == 4) & first, " ").otherwise(F.col("text"))
     rows = c.withColumn("first", first).withColumn("said", said).where("NOT (k = 1 AND first)")
-    cue = F.to_json(F.struct("cue_id", F.col("said").alias("text")))
+    cue = F.to_json(F.struct(F.when((k == 13) & F.col("first"), 0).otherwise(F.col("cue_id")).alias("cue_id"), F.col("said").alias("text")))
+    cue = F.when((k == 9) & F.col("first"), F.concat(F.lit('{"cue_id":'), F.col("cue_id").cast("string"), F.lit(',"text":7}'))).when((k == 10) & F.col("first"), F.concat(F.lit('{"cue_id":'), F.col("cue_id").cast("string"), F.lit(',"text":{"a":"b"}}'))).otherwise(cue)
     by = rows.groupBy("media_id", "batch_id", "k").agg(F.reverse(F.array_sort(F.collect_list(F.struct("pos", cue.alias("j"))))).alias("c"))
     items = F.transform("c", lambda x: x["j"])
-    items = F.when(F.col("k") == 2, F.concat(items, F.slice(items, 1, 1))).otherwise(items)
-    extra = F.when(F.col("k") == 3, ',"note":"x"').otherwise("")
-    issues = F.when(F.col("k") == 5, '[{"cue_id":1,"kind":"mood","message":"m"}]').otherwise("[]")
-    answers = by.select("media_id", "batch_id", F.concat(F.lit('{"cues":['), F.array_join(items, ","), F.lit('],"issues":'), issues, extra, F.lit("}")).alias("response"))
+    items = F.when(k == 2, F.concat(items, F.slice(items, 1, 1))).otherwise(items)
+    extra = F.when(k == 3, ',"note":"x"').when(k == 11, ',"issues":[]').otherwise("")
+    issues = F.when(k == 5, '[{"cue_id":1,"kind":"mood","message":"m"}]').when(k == 12, '[{"cue_id":1,"kind":"other","message":5}]').otherwise("[]")
+    whole = F.concat(F.lit('{"cues":['), F.array_join(items, ","), F.lit('],"issues":'), issues, extra, F.lit("}"))
+    whole = F.when(k == 6, F.concat(whole, F.lit(" done"))).when(k == 7, F.concat(whole, whole)).when(k == 8, F.translate(whole, '"', "'")).otherwise(whole)
     asked = cues(spark, sf_dir).groupBy("media_id", F.floor(F.col("pos") / 3).alias("batch_id")).agg(F.collect_set("cue_id").alias("cue_ids"))
-    out = protocol.validate_responses(asked, answers)
+    out = protocol.validate_responses(asked, by.select("media_id", "batch_id", whole.alias("response")))
     return out.select("media_id", "batch_id", F.coalesce(F.size("cues"), F.lit(0)).cast("long").alias("n_cues"), F.coalesce("fault", F.lit("")).alias("fault"))
 
 
@@ -123,30 +140,64 @@ def number_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def two_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A review whose model upper-cases e in every cue but each fifth, and in the second pass adds a number to each seventh."""
+    """A review whose model upper-cases e in every cue but each fifth and is unsure of each eleventh; in the second pass it adds a number to each seventh and finds each thirteenth hard to read."""
     c = cues(spark, sf_dir)
 
-    def ask(track: DataFrame, stage: str) -> DataFrame:
-        said = F.when(F.col("pos") % 5 == 0, F.col("text")).otherwise(F.translate("text", "e", "E")) if stage == "generate" else F.when(F.col("pos") % 7 == 3, F.concat("text", F.lit(" 42"))).otherwise(F.col("text"))
-        return track.select("media_id", "cue_id", said.alias("text"))
+    def ask(source: DataFrame, draft: DataFrame | None, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+        track = source if draft is None else draft
+        said = F.when(F.col("pos") % 5 == 0, F.col("text")).otherwise(F.translate("text", "e", "E")) if draft is None else F.when(F.col("pos") % 7 == 3, F.concat("text", F.lit(" 42"))).otherwise(F.col("text"))
+        kind, found = ("uncertain_transcript", "pos % 11 = 2") if draft is None else ("name_consistency", "pos % 13 = 4")
+        return track.select("media_id", "cue_id", said.alias("text")), track.where(found).select("media_id", "cue_id", F.lit(kind).alias("kind"), F.lit("as the model says").alias("message"))
 
     final, issues = protocol.review_tracks(c, ask, edits=True)
-    n = issues.where("kind <> 'readability'").groupBy("media_id", "cue_id").agg(F.count(F.lit(1)).alias("n"))
-    return final.join(n, ["media_id", "cue_id"], "left").select("media_id", "pos", "text", F.coalesce("n", F.lit(0)).alias("n_issues"))
+    n = issues.where("kind <> 'readability'").groupBy("media_id", "cue_id").agg(F.array_join(F.array_sort(F.collect_list("kind")), ",").alias("kinds"))
+    return final.join(n, ["media_id", "cue_id"], "left").select("media_id", "pos", "text", F.coalesce("kinds", F.lit("")).alias("kinds"))
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same model where the context names English; other cues stay as they are."""
+    """The same model, finding nothing, where the context names English; other cues stay as they are."""
     c = cues(spark, sf_dir).withColumns({"start_cs": F.floor(F.col("start_ms") / 10), "end_cs": F.floor(F.col("end_ms") / 10)}).drop("start_ms", "end_ms")
 
-    def ask(track: DataFrame, stage: str) -> DataFrame:
-        english = F.col("context") == "Transcript language: en"
-        said = F.translate("text", "e", "E") if stage == "generate" else F.when(F.col("pos") % 7 == 3, F.concat("text", F.lit(" 42"))).otherwise(F.col("text"))
-        return track.select("media_id", "cue_id", F.when(english, said).otherwise(F.col("text")).alias("text"))
+    def ask(source: DataFrame, draft: DataFrame | None, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+        track, english = source if draft is None else draft, F.col("context") == "Transcript language: en"
+        said = F.translate("text", "e", "E") if draft is None else F.when(F.col("pos") % 7 == 3, F.concat("text", F.lit(" 42"))).otherwise(F.col("text"))
+        return track.select("media_id", "cue_id", F.when(english, said).otherwise(F.col("text")).alias("text")), protocol.no_issues(track)
 
     return protocol.clean_cues(c, ask, F.when(F.col("media_id") % 2 == 0, "en").otherwise("fr"))[0].select("media_id", "pos", "start_cs", "end_cs", "text")
 
 
+def shared_root(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one that the session names."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def clumsy(requests: list[str]) -> list[str]:
+    """A model that upper-cases e. Its first answer to an even item is cut short, and so is every one for more than six cues with cue 9 among them, or for cues up to 5 alone with cue 1 among them in each tenth item."""
+    out = []
+    for request in requests:
+        r = json.loads(request)
+        ids, item = [c["cue_id"] for c in r["cues"]], int(r["context"])
+        cues = [{"cue_id": c["cue_id"], "text": (c["draft"] or c["source"]).replace("e", "E")} for c in r["cues"]]
+        answer = json.dumps({"cues": cues, "issues": [{"cue_id": i, "kind": "name_consistency", "message": "name"} for i in ids if i % 22 == 5]})
+        first = r["stage"] == "generate"
+        cut = first and ((item % 2 == 0 and not r["retry"]) or (9 in ids and len(ids) > 6) or (item % 10 == 3 and 1 in ids and max(ids) <= 5))
+        out.append(answer[:-1] if cut else answer)
+    return out
+
+
+def reviewed_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both passes by a model that often fails in the first, round after round."""
+    c = cues(spark, sf_dir)
+    context = c.select("media_id", F.col("media_id").cast("string").alias("context")).distinct()
+    ask = lambda r: rounds_.ask_model(r, clumsy)
+    final, issues, errors, report = rounds_.run_review(rounds_.Store(spark, shared_root(spark, "review")), c, ask, task="translation", target="fr", context=context)
+    named = issues.where("kind = 'name_consistency'").select("media_id", "cue_id", "kind")
+    told = final.select("media_id", "cue_id", "text").join(named, ["media_id", "cue_id"], "left").join(report, "media_id").select("media_id", F.col("cue_id").cast("long").alias("cue_id"), "text", F.coalesce("kind", F.lit("")).alias("kind"), "generation_passes", "verification_passes")
+    zero = F.lit(0).cast("long")
+    return told.unionByName(errors.select("media_id", "cue_id", F.lit(None).cast("string").alias("text"), F.lit("error").alias("kind"), zero.alias("generation_passes"), zero.alias("verification_passes")))
+
+
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cues(spark, sf_dir)
     each = c.groupBy("media_id", F.element_at(F.array(F.lit("fr"), F.lit("de")), (F.col("pos") % 2 + 1).cast("int")).alias("target")).agg(F.count_if(F.col("pos") % 3 == 0).alias("n_changed"), F.count_if(F.col("pos") % 4 == 0).alias("n_issues"))
@@ -201,10 +252,22 @@ def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project.review_queue(states, found, notes).withColumn("issues", F.array_join("issues", "|"))
 
 
+def audio_probes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """An audio stream for each kind of event of the user of the same number; every 23rd item has one more, which no packet is of. In the output, every 19th has another rate and every 29th a stream less."""
+    k = F.col("media_id")
+    own = _read(spark, sf_dir, "events").select(F.col("user_id").alias("media_id"), "event_type").distinct().groupBy("media_id").agg(F.array_sort(F.collect_list("event_type")).alias("kinds"))
+    rows = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("media_id")).join(own, "media_id", "left")
+    kinds = F.concat(F.coalesce("kinds", F.array().cast("array<string>")), F.when(k % 23 == 0, F.array(F.lit("extra"))).otherwise(F.array().cast("array<string>")))
+    stream = lambda rate: F.transform(kinds, lambda x: F.struct(x.alias("codec"), F.when(x == "extra", F.lit(None)).otherwise(rate).cast("int").alias("sample_rate"), F.lit(2).alias("channels")))
+    source = rows.select("media_id", stream(F.lit(16000)).alias("audio"))
+    changed = stream(F.when(k % 19 == 0, 8000).otherwise(16000))
+    return source, rows.select("media_id", F.when((k % 29 == 0) & (F.size(changed) > 0), F.slice(changed, 1, F.size(changed) - 1)).otherwise(changed).alias("audio"))
+
+
 def verified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source, output = probes(spark, sf_dir)
-    audio = source.select("media_id", F.lit(True).alias("same_count"), (F.col("media_id") % 19 > 0).alias("same_streams"))
-    out = project.verification_report(review.compare_video(source, output), audio, segments.compare_packets(*packets(spark, sf_dir)))
+    """Every 31st item's audio was never looked at."""
+    audio = transcript.audio_streams_equal(*audio_probes(spark, sf_dir)).where("media_id % 31 > 0")
+    out = project.verification_report(review.compare_video(*probes(spark, sf_dir)), audio, segments.compare_packets(*packets(spark, sf_dir)))
     return out.select("media_id", "passed", F.coalesce(F.size("streams"), F.lit(0)).cast("long").alias("n_streams"))
 
 
@@ -248,13 +311,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "attempt_diagnostics": diagnostics,
     "validate_source": lambda s, d: qa.validate_source(flawed(s, d)),
     "utterances": lambda s, d: protocol.utterances(cues(s, d)),
-    "utterance_context": lambda s, d: protocol.utterance_context(batches(s, d, 3).drop("cue_id"), cues(s, d)),
+    "utterance_context": lambda s, d: protocol.utterance_context(batches(s, d, 3).drop("cue_id"), cues(s, d)).withColumn("cue_ids", F.array_join("cue_ids", ",")),
     "build_requests": requests,
     "validate_responses": responses,
     "next_round": rounds,
     "guard_edits": guarded,
     "numbers_differ": number_pairs,
     "review_tracks": two_passes,
+    "review_rounds": reviewed_by_model,
     "clean_cues": cleaned,
     "translation_report": reports,
     "acceptance_and_render": held,
@@ -264,12 +328,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bundle_sha256": bundles,
     "review_queue": queue,
     "verification_report": verified,
+    "audio_streams": lambda s, d: transcript.audio_streams_equal(*audio_probes(s, d)),
+    "detection_window": lambda s, d: _read(s, d, "embeddings").select("vec_id", F.round(F.aggregate(cuebuild.detection_window(F.col("embedding"), F.lit(1)), F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("total")),
     "clamp_tokens_segments": clamped,
     "rates_and_shares": rates,
     "packet_manifest": manifests,
     "asr_segments": transcripts,
 }
 
+_AUDIO = """WITH o AS (SELECT user_id, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id),
+a AS (SELECT p_partkey AS media_id, coalesce(kinds, 0) + CASE WHEN p_partkey % 23 = 0 THEN 1 ELSE 0 END AS n, p_partkey % 29 = 0 AND n > 0 AS cut, p_partkey % 19 = 0 AND coalesce(kinds, 0) > 0 AS other FROM part LEFT JOIN o ON user_id = p_partkey)"""
+_UTTERANCES = r"""c AS (SELECT media_id, pos, length(text) + 1 AS n, coalesce(start_ms - lag(end_ms) OVER m > 1500, FALSE) AS pause,
+       regexp_matches(regexp_replace(regexp_replace(text, '\s+$', ''), '["''”’)\]]+$', ''), '[.!?。！？]$') AS stop FROM cues WINDOW m AS (PARTITION BY media_id ORDER BY pos)),
+u AS (SELECT media_id, pos, 0 AS utterance, 1 AS k, n AS size, stop FROM c WHERE pos = 0
+      UNION ALL SELECT c.media_id, c.pos, u.utterance + new, CASE WHEN new = 1 THEN 1 ELSE k + 1 END, CASE WHEN new = 1 THEN n ELSE size + n END, c.stop
+      FROM (SELECT u.*, c.pos AS p, c.n AS more, CASE WHEN u.stop OR c.pause OR k >= 32 OR size + c.n > 8000 THEN 1 ELSE 0 END AS new FROM u JOIN c ON c.media_id = u.media_id AND c.pos = u.pos + 1) u JOIN c ON c.media_id = u.media_id AND c.pos = u.p)"""
 _BATCH3 = "b AS (SELECT *, pos // 3 AS batch_id FROM cues)"
 ORACLES: dict[str, str] = {
     "assemble_tokens": "SELECT doc_id AS media_id, text, CAST((octet_length(encode(text)) + 2) // 3 AS BIGINT) AS end_cs FROM documents WHERE text <> ''",
@@ -285,21 +358,29 @@ WITH {_CUES} SELECT media_id, count(*) AS windows, count(*) FILTER (pos % 3 > 0)
     "validate_source": f"""
 WITH {_CUES}, x AS (SELECT media_id, pos, CASE pos % 9 WHEN 4 THEN 0 WHEN 5 THEN 3 ELSE cue_id END AS cue_id FROM cues), y AS (SELECT *, count(*) OVER (PARTITION BY media_id, cue_id) AS same FROM x)
 SELECT media_id, pos, 'error' AS severity, 'cue_id' AS kind FROM y WHERE cue_id = 0 OR same > 1 UNION ALL SELECT media_id, pos, 'error', 'blank' FROM cues WHERE pos % 8 = 5 UNION ALL SELECT media_id, pos, 'error', 'order' FROM cues WHERE pos % 10 = 6""",
+    "utterances": f"WITH RECURSIVE {_CUES}, {_UTTERANCES} SELECT media_id, pos, CAST(utterance AS BIGINT) AS utterance FROM u",
     "build_requests": f"""
-WITH {_CUES}, {_BATCH3}, s AS (SELECT media_id, batch_id, min(pos) AS lo, max(pos) AS hi FROM b GROUP BY ALL)
-SELECT s.media_id, s.batch_id, 'verify' AS stage, string_agg(cue_id, ',' ORDER BY pos) FILTER (pos BETWEEN lo AND hi) AS cues, coalesce(string_agg(cue_id, ',' ORDER BY pos) FILTER (pos NOT BETWEEN lo AND hi), '') AS neighbours,
-       coalesce(string_agg(cue_id, ',' ORDER BY pos) FILTER (pos BETWEEN lo AND hi AND pos % 4 = 1), '') AS issues, count(*) FILTER (pos BETWEEN lo AND hi AND pos % 6 = 2) AS undrafted
-FROM s JOIN cues c ON c.media_id = s.media_id AND pos BETWEEN lo - 2 AND hi + 2 GROUP BY ALL""",
-    "utterances": f"""
-WITH RECURSIVE {_CUES}, c AS (SELECT media_id, pos, length(text) + 1 AS n, coalesce(start_ms - lag(end_ms) OVER m > 1500, FALSE) AS pause,
-       regexp_matches(regexp_replace(regexp_replace(text, '\\s+$', ''), '["''”’)\\]]+$', ''), '[.!?。！？]$') AS stop FROM cues WINDOW m AS (PARTITION BY media_id ORDER BY pos)),
-u AS (SELECT media_id, pos, 0 AS utterance, 1 AS k, n AS size, stop FROM c WHERE pos = 0
-      UNION ALL SELECT c.media_id, c.pos, u.utterance + new, CASE WHEN new = 1 THEN 1 ELSE k + 1 END, CASE WHEN new = 1 THEN n ELSE size + n END, c.stop
-      FROM (SELECT u.*, c.pos AS p, c.n AS more, CASE WHEN u.stop OR c.pause OR k >= 32 OR size + c.n > 8000 THEN 1 ELSE 0 END AS new FROM u JOIN c ON c.media_id = u.media_id AND c.pos = u.pos + 1) u JOIN c ON c.media_id = u.media_id AND c.pos = u.p)
-SELECT media_id, pos, CAST(utterance AS BIGINT) AS utterance FROM u""",
+WITH RECURSIVE {_CUES}, {_UTTERANCES}, {_BATCH3}, s AS (SELECT media_id, batch_id, min(pos) AS lo, max(pos) AS hi FROM b GROUP BY ALL),
+g AS (SELECT cues.media_id, utterance, min(pos) AS a, max(pos) AS z, string_agg(cue_id, '+' ORDER BY pos) AS ids, sum(length(text) + 1) AS chars,
+             CAST(sum(length(regexp_replace(text, '\\s', '', 'g')) * CASE WHEN pos % 6 = 2 THEN 1 ELSE 2 END) AS BIGINT) AS letters FROM cues JOIN u USING (media_id, pos) GROUP BY ALL),
+t AS (SELECT s.media_id, batch_id, min(utterance) AS first, max(utterance) AS last, sum(chars) AS own FROM s JOIN g ON g.media_id = s.media_id AND a <= hi AND z >= lo GROUP BY ALL),
+x AS (SELECT t.*, coalesce(p.chars, 0) AS before, own + coalesce(p.chars, 0) <= 32000 AS takes FROM t LEFT JOIN g p ON p.media_id = t.media_id AND p.utterance = first - 1),
+k AS (SELECT x.media_id, batch_id, string_agg(CASE WHEN utterance BETWEEN first AND last THEN ids ELSE '(' || ids END, ',' ORDER BY utterance) AS utterances, CAST(sum(letters) AS BIGINT) AS letters
+      FROM x JOIN g ON g.media_id = x.media_id AND (utterance BETWEEN first AND last OR utterance = first - 1 AND takes OR utterance = last + 1 AND own + CASE WHEN takes THEN before ELSE 0 END + chars <= 32000) GROUP BY ALL)
+SELECT s.media_id, s.batch_id, 'verify' AS stage, CASE WHEN s.media_id % 2 = 0 THEN 'item ' || s.media_id ELSE '' END AS context, s.batch_id % 2 = 1 AS retry,
+       string_agg(cue_id, ',' ORDER BY pos) FILTER (pos BETWEEN lo AND hi) AS cues, coalesce(string_agg(cue_id, ',' ORDER BY pos) FILTER (pos NOT BETWEEN lo AND hi), '') AS neighbours,
+       coalesce(string_agg(cue_id, ',' ORDER BY pos) FILTER (pos BETWEEN lo AND hi AND pos % 4 = 1), '') AS issues, count(*) FILTER (pos BETWEEN lo AND hi AND pos % 6 = 2) AS undrafted, any_value(utterances) AS utterances, any_value(letters) AS utterance_chars
+FROM s JOIN cues c ON c.media_id = s.media_id AND pos BETWEEN lo - 2 AND hi + 2 JOIN k ON k.media_id = s.media_id AND k.batch_id = s.batch_id GROUP BY ALL""",
+    "utterance_context": f"""
+WITH RECURSIVE {_CUES}, {_UTTERANCES}, {_BATCH3}, s AS (SELECT media_id, batch_id, min(pos) AS lo, max(pos) AS hi FROM b GROUP BY ALL),
+g AS (SELECT cues.media_id, utterance, min(pos) AS a, max(pos) AS z, string_agg(cue_id, ',' ORDER BY pos) AS cue_ids, sum(length(text) + 1) AS chars, trim(regexp_replace(string_agg(text, ' ' ORDER BY pos), '\\s+', ' ', 'g')) AS text FROM cues JOIN u USING (media_id, pos) GROUP BY ALL),
+t AS (SELECT s.media_id, batch_id, min(utterance) AS first, max(utterance) AS last, sum(chars) AS own FROM s JOIN g ON g.media_id = s.media_id AND a <= hi AND z >= lo GROUP BY ALL),
+x AS (SELECT t.*, coalesce(p.chars, 0) AS before, own + coalesce(p.chars, 0) <= 32000 AS takes FROM t LEFT JOIN g p ON p.media_id = t.media_id AND p.utterance = first - 1)
+SELECT x.media_id, batch_id, CAST(utterance AS BIGINT) AS utterance, utterance NOT BETWEEN first AND last AS context_only, cue_ids, g.text, CAST(NULL AS VARCHAR) AS draft_text
+FROM x JOIN g ON g.media_id = x.media_id AND (utterance BETWEEN first AND last OR utterance = first - 1 AND takes OR utterance = last + 1 AND own + CASE WHEN takes THEN before ELSE 0 END + chars <= 32000)""",
     "validate_responses": f"""
-WITH {_CUES}, {_BATCH3}, s AS (SELECT media_id, batch_id, (media_id + batch_id) % 6 AS k, count(*) AS n FROM b GROUP BY ALL)
-SELECT media_id, batch_id, CASE WHEN k = 0 OR k = 5 AND FALSE THEN n ELSE 0 END AS n_cues, CASE k WHEN 0 THEN '' WHEN 1 THEN 'count' WHEN 2 THEN 'count' WHEN 3 THEN 'fields' WHEN 4 THEN 'text' ELSE 'issues' END AS fault FROM s WHERE NOT (k = 1 AND n = 1)""",
+WITH {_CUES}, {_BATCH3}, s AS (SELECT media_id, batch_id, (media_id + batch_id) % {len(FAULTS)} AS k, count(*) AS n FROM b GROUP BY ALL)
+SELECT media_id, batch_id, CASE WHEN k = 0 THEN n ELSE 0 END AS n_cues, {list(FAULTS)}[k + 1] AS fault FROM s WHERE NOT (k = 1 AND n = 1)""",
     "next_round": f"""
 WITH {_CUES}, b AS (SELECT media_id, pos, pos // 4 AS batch_id, (media_id + pos // 4) % 3 + 1 AS attempt FROM cues), n AS (SELECT *, count(*) OVER (PARTITION BY media_id, batch_id) AS n, row_number() OVER (PARTITION BY media_id, batch_id ORDER BY pos) AS nth FROM b WHERE attempt < 3)
 SELECT media_id, pos, CASE WHEN attempt = 2 AND n = 1 THEN 'error' WHEN attempt = 2 THEN batch_id || CASE WHEN nth <= n // 2 THEN '.0' ELSE '.1' END ELSE CAST(batch_id AS VARCHAR) END AS batch_id,
@@ -308,7 +389,22 @@ SELECT media_id, pos, CASE WHEN attempt = 2 AND n = 1 THEN 'error' WHEN attempt
 SELECT o_custkey AS media_id, o_orderkey AS cue_id, 'there are ' || o_orderkey || ' cases open in the north' || CASE WHEN o_orderkey % 10 > 2 THEN '.' ELSE '' END AS text, CASE WHEN o_orderkey % 10 > 2 THEN '' ELSE 'unsafe_edit' END AS kind FROM orders""",
     "numbers_differ": "SELECT o_orderkey, o_orderkey % 10 = 0 AS differ FROM orders",
     "review_tracks": f"""
-WITH {_CUES} SELECT media_id, pos, CASE WHEN pos % 5 = 0 OR pos % 7 = 3 THEN text ELSE replace(text, 'e', 'E') END AS text, CASE WHEN pos % 7 = 3 THEN 1 ELSE 0 END AS n_issues FROM cues""",
+WITH {_CUES} SELECT media_id, pos, CASE WHEN pos % 5 = 0 OR pos % 7 = 3 THEN text ELSE replace(text, 'e', 'E') END AS text,
+       concat_ws(',', CASE WHEN pos % 13 = 4 THEN 'name_consistency' END, CASE WHEN pos % 11 = 2 THEN 'uncertain_transcript' END, CASE WHEN pos % 7 = 3 THEN 'unsafe_edit' END) AS kinds FROM cues""",
+    "review_rounds": f"""
+WITH RECURSIVE {_CUES}, o AS (SELECT media_id, pos, length(text) AS len FROM cues),
+g AS (SELECT media_id, pos, 0 AS batch, 1 AS n, len AS chars FROM o WHERE pos = 0 UNION ALL
+      SELECT f.media_id, f.p, batch + new, CASE WHEN new = 1 THEN 1 ELSE n + 1 END, CASE WHEN new = 1 THEN len ELSE chars + len END
+      FROM (SELECT g.*, o.pos AS p, o.len, CASE WHEN n >= 24 OR chars + o.len > 8000 THEN 1 ELSE 0 END AS new FROM g JOIN o ON o.media_id = g.media_id AND o.pos = g.pos + 1) f),
+b AS (SELECT media_id, min(pos) AS lo, max(pos) AS hi FROM g GROUP BY media_id, batch),
+t AS (SELECT media_id, lo, hi, lo <= 4 AND hi >= 4 AND hi - lo > 5 OR media_id % 10 = 3 AND lo = 0 AND hi <= 2 AS bad FROM b
+      UNION ALL SELECT media_id, x.lo, x.hi, x.lo <= 4 AND x.hi >= 4 AND x.hi - x.lo > 5 OR media_id % 10 = 3 AND x.lo = 0 AND x.hi <= 2
+      FROM (SELECT media_id, unnest([{{'lo': lo, 'hi': lo + (hi - lo + 1) // 2 - 1}}, {{'lo': lo + (hi - lo + 1) // 2, 'hi': hi}}]) AS x FROM t WHERE bad AND hi > lo)),
+q AS (SELECT media_id, CAST(sum(CASE WHEN bad OR media_id % 2 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS generation_passes, bool_or(bad AND lo = hi) AS lost FROM t GROUP BY media_id),
+v AS (SELECT media_id, count(*) AS verification_passes FROM b GROUP BY media_id)
+SELECT c.media_id, CAST(c.cue_id AS BIGINT) AS cue_id, CASE WHEN NOT lost THEN replace(text, 'e', 'E') END AS text, CASE WHEN lost THEN 'error' WHEN c.cue_id % 22 = 5 THEN 'name_consistency' ELSE '' END AS kind,
+       CASE WHEN lost THEN 0 ELSE generation_passes END AS generation_passes, CASE WHEN lost THEN 0 ELSE verification_passes END AS verification_passes
+FROM cues c JOIN q ON q.media_id = c.media_id JOIN v ON v.media_id = c.media_id WHERE NOT lost OR c.pos = 0""",
     "clean_cues": f"""
 WITH {_CUES} SELECT media_id, pos, CAST(start_ms // 10 AS BIGINT) AS start_cs, CAST(end_ms // 10 AS BIGINT) AS end_cs, CASE WHEN media_id % 2 = 1 OR pos % 7 = 3 THEN text ELSE replace(text, 'e', 'E') END AS text FROM cues""",
     "translation_report": f"""
@@ -321,6 +417,15 @@ SELECT k AS project, CASE WHEN k % 3 = 2 THEN TRUE WHEN k % 6 = 0 THEN FALSE ELS
 SELECT k AS project, k % 5 = 0 AS transcribe, k % 5 < 2 OR k % 7 = 0 AS review, k % 2 = 0 AND (k % 11 = 0 OR k % 3 <> 1 OR k % 5 < 2) AS translate FROM (SELECT DISTINCT conv_id AS k FROM conversations)""",
     "tamper_check": "SELECT conv_id AS project, conv_id || '-' || turn AS path, CASE WHEN turn % 5 = 3 THEN 'missing' ELSE 'changed' END AS fault FROM conversations WHERE turn % 5 = 3 OR turn % 4 = 1",
     "manual_edits": "SELECT conv_id AS project, turn AS stage, turn % 3 = 1 AS edited FROM conversations",
+    "detection_window": "SELECT vec_id, round(list_sum(list_transform(embedding[:30], lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings",
+    "audio_streams": f"{_AUDIO} SELECT media_id, n AS n_streams, NOT cut AS same_count, NOT cut AND NOT other AS same_streams FROM a",
+    "verification_report": f"""
+{_AUDIO}, e AS (SELECT event_id, user_id AS media_id, event_type AS stream FROM events),
+p AS (SELECT media_id, stream, bool_or(event_id % 997 = 0 OR event_id % 1499 = 3 OR event_id % 491 = 7 OR event_id % 463 = 5 AND event_id % 3 > 0 OR event_id % 479 = 2) AS bad FROM e GROUP BY ALL),
+k AS (SELECT media_id, count(*) AS seen, bool_or(bad) AS bad FROM p GROUP BY media_id),
+v AS (SELECT p_partkey AS media_id, p_partkey % 11 <> 0 AND p_partkey % 17 <> 0 AND CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 4 < 3 ELSE p_partkey % 4 < 2 END AND (p_partkey % 5 = 0 OR p_partkey % 13 <> 0) AS good FROM part)
+SELECT v.media_id, good AND v.media_id % 31 > 0 AND NOT cut AND NOT other AND n = coalesce(seen, 0) AND NOT coalesce(bad, FALSE) AS passed, coalesce(seen, 0) AS n_streams
+FROM v JOIN a ON a.media_id = v.media_id LEFT JOIN k ON k.media_id = v.media_id""",
     "review_queue": f"""
 WITH {_CUES}, i AS (SELECT media_id, string_agg(CASE WHEN pos % 2 = 0 THEN 'readability' ELSE 'other' END || ': cue ' || cue_id, '|' ORDER BY CASE pos % 5 WHEN 4 THEN 0 WHEN 0 THEN 1 ELSE 2 END, pos) FILTER (pos % 5 IN (0, 2, 4)) AS issues, max(cue_id) AS last FROM cues GROUP BY media_id)
 SELECT media_id AS project, CASE media_id % 4 WHEN 0 THEN 'rendered' WHEN 1 THEN 'accepted' WHEN 2 THEN 'review_required' ELSE 'translation_stale' END AS state, coalesce(issues, '') AS issues,

@@ -1,4 +1,5 @@
 import hashlib
+import json
 
 from pyspark.sql import functions as F
 
@@ -95,8 +96,52 @@ def test_context_takes_an_utterance_on_either_side_while_it_fits(spark):
 
 
 def test_verification_passes_only_if_all_parts_do(spark):
-    video = spark.createDataFrame([(m, True, True, True, None if m == 1 else True) for m in range(1, 6)], "media_id int, same_size boolean, one_stream boolean, same_duration boolean, same_frames boolean")
-    audio = spark.createDataFrame([(1, True, True), (2, True, False), (3, True, True)], "media_id int, same_count boolean, same_streams boolean")
-    packets = spark.createDataFrame([(1, 1, 5, 5, None), (1, 0, 3, 3, None), (3, 0, 3, 3, 2), (4, 0, 3, 4, None)], "media_id int, stream int, n_source long, n_output long, first_bad int")
+    video = spark.createDataFrame([(m, True, True, True, None if m == 1 else True) for m in range(1, 8)], "media_id int, same_size boolean, one_stream boolean, same_duration boolean, same_frames boolean")
+    audio = spark.createDataFrame([(1, 2, True, True), (2, 0, True, False), (3, 1, True, True), (4, 1, True, True), (6, 0, True, True), (7, 2, True, True)], "media_id int, n_streams long, same_count boolean, same_streams boolean")
+    packets = spark.createDataFrame([(1, 1, 5, 5, None), (1, 0, 3, 3, None), (3, 0, 3, 3, 2), (4, 0, 3, 4, None), (7, 1, 5, 5, None)], "media_id int, stream int, n_source long, n_output long, first_bad int")
     got = {r.media_id: (r.passed, r.streams and [tuple(x) for x in r.streams]) for r in project.verification_report(video, audio, packets).collect()}
-    assert got == {1: (True, [(0, 3, 3), (1, 5, 5)]), 2: (False, None), 3: (False, [(0, 3, 3)]), 4: (False, [(0, 3, 4)]), 5: (True, None)}
+    # 5 has no audio verdict, 7 no packets of a stream: both fail. 6 has no audio at all.
+    assert got == {1: (True, [(0, 3, 3), (1, 5, 5)]), 2: (False, None), 3: (False, [(0, 3, 3)]), 4: (False, [(0, 3, 4)]), 5: (False, None), 6: (True, None), 7: (False, [(1, 5, 5)])}
+
+
+def test_answers_that_only_look_like_json(spark):
+    good = '{"cues":[{"cue_id":42,"text":"b"},{"cue_id":7,"text":"a"}],"issues":[{"cue_id":7,"kind":"other","message":"m"}]}'
+    forms = {
+        good: None, f" {good}\n": None, good + " done": "json", good + good: "json", good + "]": "json", good + ",1": "json", good.replace('"', "'"): "json", good.replace('"text":"a"', '"text":"a","text":"b"'): "json",
+        good.replace('"a"', "5"): "fields", good.replace('"a"', '{"x":"y"}'): "fields", good.replace('"m"', "5"): "fields", good.replace("42", "42.0"): "fields", good.replace("42", '"42"'): "fields", good.replace('"a"', "null"): "fields",
+        good.replace('"issues"', '"d":1,"issues"'): "fields", '{"cues":[]}': "fields", f"[{good}]": "fields", '{"cues":{},"issues":[]}': "fields", '{"cues":[],"issues":[]}': "count", "": "json", None: "json", "null": "fields",
+        good.replace('"a"', '"\\ud800"'): "json", good.replace('"a"', '"\\ud83d\\ude00"'): None, good.replace('"a"', '"\\\\ud800"'): None,
+    }
+    requests = spark.createDataFrame([(1, b, [7, 42]) for b in range(len(forms))], "media_id int, batch_id int, cue_ids array<long>")
+    responses = spark.createDataFrame([(1, b, t) for b, t in enumerate(forms)], "media_id int, batch_id int, response string")
+    got = {r.batch_id: r.fault for r in protocol.validate_responses(requests, responses).collect()}
+    assert [got[b] for b in range(len(forms))] == list(forms.values())
+
+
+def test_what_the_model_reports_is_kept(spark):
+    source = spark.createDataFrame([("m", 0, 1, 0, 2000, "one"), ("m", 1, 2, 2000, 4000, "two"), ("m", 2, 3, 4000, 6000, "three")], "media_id string, pos int, cue_id int, start_ms long, end_ms long, text string")
+    seen = []
+
+    def ask(base, draft, known):
+        seen.append(sorted((r.cue_id, r.kind) for r in known.collect()))
+        kinds = {1: "uncertain_transcript", 2: "readability"} if draft is None else {3: "other"}
+        texts = base.select("media_id", "cue_id", F.when(F.col("cue_id") == 2, F.lit("two" if draft is None else "Two")).otherwise(F.col("text")).alias("text"))
+        return texts, spark.createDataFrame([("m", i, k, "said") for i, k in kinds.items()], "media_id string, cue_id int, kind string, message string")
+
+    final, issues = protocol.review_tracks(source, ask, edits=True)
+    assert seen == [[], [(1, "uncertain_transcript"), (2, "readability")]]
+    assert sorted((r.cue_id, r.kind) for r in issues.collect()) == [(1, "uncertain_transcript"), (3, "other")]  # cue 2 was changed since
+    assert [r.text for r in final.orderBy("pos").collect()] == ["one", "Two", "three"]
+
+
+def test_requests_say_what_is_known(spark):
+    cues = spark.createDataFrame([("m", i, i + 1, 10 * i, 10 * i + 10, t) for i, t in enumerate(["One", "two.", None, "four"])], "media_id string, pos int, cue_id long, start_ms long, end_ms long, text string")
+    batches = spark.createDataFrame([("m", 0, "a", 2), ("m", 3, "b", 1)], "media_id string, pos int, batch_id string, attempt int")
+    context = spark.createDataFrame([("m", "glossary")], "media_id string, context string")
+    draft = cues.select("media_id", "pos", F.upper("text").alias("text"))
+    got = {r.batch_id: json.loads(r.request) for r in protocol.build_requests(batches, cues, draft, protocol.no_issues(cues), stage="verify", task="translation", target="fr", context=context).collect()}
+    assert (got["a"]["retry"], got["b"]["retry"], got["a"]["context"], got["a"]["target"]) == (True, False, "glossary", "fr")
+    assert [(u["cue_ids"], u["source"], u["draft"], u["context_only"]) for u in got["a"]["utterances"]] == [([1, 2], "One two.", "ONE TWO.", False), ([3, 4], "four", "FOUR", True)]
+    assert [u["context_only"] for u in got["b"]["utterances"]] == [True, False]
+    plain = protocol.build_requests(batches, cues, None, protocol.no_issues(cues), stage="generate", task="transcription").collect()
+    assert all(json.loads(r.request)["cues"][0]["draft"] is None and json.loads(r.request)["context"] is None for r in plain)
