@@ -22,7 +22,7 @@ LONGEST, CLOSE = 80, 1e-9
 WORDS = {w: float(i) for i, w in enumerate(SMALL)} | {w: 10.0 * i for i, w in enumerate(TENS, 2)}
 RUN = re.compile("(?:[0-9" + "".join(DIGITS) + "".join(UNITS) + "点點]|[.,](?=[0-9]))+")
 HAN = re.compile(r"[㐀-䶿一-鿿]")
-SCALE_AFTER = re.compile(r"[\s-]*([a-z]+)")
+SCALE_AFTER = re.compile(r"\s*([a-z]+)")
 PERCENT_AFTER = re.compile(r"\s*(?:%|per\s?cent)")
 QUANTITIES = ArrayType(StructType([StructField("value", DoubleType()), StructField("percent", BooleanType())]))
 FIRST, NEXT, AFTER_AND = re.compile("([a-z]+)"), re.compile(r"[\s-]*([a-z]+)"), re.compile(r"\s*([a-z]+)")

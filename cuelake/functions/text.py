@@ -102,3 +102,22 @@ def is_wholesale_rewrite(a: Column, b: Column) -> Column:
     x, y = boundary_key(a), boundary_key(b)
     longest = F.greatest(F.length(x), F.length(y))
     return (longest >= 5) & (2 * F.levenshtein(x, y) > longest)
+
+
+#: Half of a character pair, escaped: text that can't be.
+LONE = r"(?i)(?<!\\)(?:\\\\)*(?:\\ud[89ab][0-9a-f]{2}(?!\\ud[c-f][0-9a-f]{2})|(?<!\\ud[89ab][0-9a-f]{2})\\ud[c-f][0-9a-f]{2})"
+
+
+def one_document(text: Column) -> Column:
+    """The variant of a text that is one JSON value and nothing else, no key repeated; null for others.
+
+    A parser that stops where the value ends would let anything follow it: here the text's own hash has to.
+    """
+    mark = F.sha2(text, 256)
+    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
+    return F.when((F.try_variant_get(both, "$[1]", "string") == mark) & ~text.rlike(LONE), F.try_variant_get(both, "$[0]", "variant"))
+
+
+def ms_to_samples(ms: Column, rate: Column) -> Column:
+    """Whole samples that begin before ms; times before the start have none."""
+    return F.greatest(F.floor(ms * rate / 1000), F.lit(0)).cast("long")

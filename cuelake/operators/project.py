@@ -2,22 +2,63 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: The five parts of a fingerprint; the target's report and the bundle may be null.
 FINGERPRINT = ("source", "selected", "source_report", "target_report", "bundle")
+# The file of a bundle that is compared by meaning, its largest size, and the states in which a project may be accepted.
+DEFINITION, DEFINITION_BYTES = "preset.json", 65_536
+ACCEPTABLE = ("review_required", "accepted", "rendered")
 
 
 def content_sha256(content: Column) -> Column:
     return F.sha2(content.cast("binary"), 256)
 
 
+def _refuse(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
+@F.pandas_udf(StringType())
+def canonical_json(text: pd.Series) -> pd.Series:
+    """JSON without white space, keys in order, so that formatting doesn't count; null for texts that are no JSON or too large for a definition."""
+
+    def plain(t: str | None) -> str | None:
+        try:
+            return None if t is None or len(t.encode()) > DEFINITION_BYTES else json.dumps(json.loads(t, parse_constant=_refuse), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return None
+
+    return text.map(plain)
+
+
 def bundle_sha256(files: DataFrame) -> DataFrame:
-    """(bundle, sha256) of the files (bundle, name, content): names and hexadecimal hashes of contents, in order of name."""
-    part = F.struct("name", F.concat(F.col("name").cast("binary"), F.lit(b"\x00"), content_sha256(F.col("content")).cast("binary")).alias("entry"))
-    sorted_parts = F.transform(F.array_sort(F.collect_list(part)), lambda x: F.hex(x["entry"]))
-    return files.groupBy("bundle").agg(F.sha2(F.unhex(F.array_join(sorted_parts, "")), 256).alias("sha256"))
+    """(bundle, sha256) of the files (bundle, name, content) of folders: name is the path within the bundle.
+
+    A folder's hash is of its entries in order of name: the name, a zero byte, and the hexadecimal hash of a file's content or of a folder; of a DEFINITION the canonical JSON
+    itself. Folders are hashed from the deepest up, a grouping for each depth. A bundle with a definition that can't be read has no hash.
+    """
+    path = F.split("name", "/")
+    leaf = F.element_at(path, -1)
+    payload = F.when(leaf == DEFINITION, canonical_json(F.col("content").cast("string"))).otherwise(content_sha256(F.col("content")))
+    rows = files.select("bundle", path.alias("path"), payload.alias("payload"))
+    deepest = rows.agg(F.max(F.size("path"))).first()[0] or 0
+    made = None
+    for depth in range(deepest, 0, -1):
+        here = rows.where(F.size("path") == depth)
+        here = here if made is None else here.unionByName(made)
+        name = F.element_at("path", -1)
+        entry = F.struct(name.alias("name"), F.hex(F.concat(name.cast("binary"), F.lit(b"\x00"), F.col("payload").cast("binary"))).alias("entry"))
+        folder = F.slice("path", 1, depth - 1) if depth > 1 else F.array().cast("array<string>")
+        whole = F.sha2(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["entry"]), "")), 256)
+        made = here.groupBy("bundle", folder.alias("path")).agg(F.when(F.count("payload") == F.count(F.lit(1)), whole).alias("payload"))
+    empty = rows.limit(0).select("bundle", F.lit("").alias("sha256"))
+    return empty if made is None else made.select("bundle", F.col("payload").alias("sha256"))
 
 
 def fingerprint(source: Column, target: Column, target_language: Column, source_report: Column, target_report: Column, bundle: Column) -> Column:
@@ -28,8 +69,12 @@ def fingerprint(source: Column, target: Column, target_language: Column, source_
 
 
 def acceptance_valid(projects: DataFrame, acceptances: DataFrame) -> DataFrame:
-    """(project, accepted) of projects (project, fingerprint) by their latest acceptance (project, at, note, fingerprint); a blank note accepts nothing."""
-    latest = acceptances.groupBy("project").agg(F.max_by(F.struct("note", "fingerprint"), "at").alias("a"))
+    """(project, accepted) of projects (project, fingerprint) by their latest acceptance (project, at, note, fingerprint); a blank note accepts nothing.
+
+    acceptances may have ``state``, the project's when it was accepted: those given while it was not ready for review never counted.
+    """
+    ready = acceptances.where(F.col("state").isin(*ACCEPTABLE)) if "state" in acceptances.columns else acceptances
+    latest = ready.groupBy("project").agg(F.max_by(F.struct("note", "fingerprint"), "at").alias("a"))
     noted = F.regexp_replace(F.coalesce("a.note", F.lit("")), r"(?U)\s+", "") != ""
     return projects.join(latest, "project", "left").select("project", F.coalesce(F.col("a").isNotNull() & noted & F.col("fingerprint").eqNullSafe(F.col("a.fingerprint")), F.lit(False)).alias("accepted"))
 

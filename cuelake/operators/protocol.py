@@ -17,8 +17,6 @@ KINDS = ("uncertain_transcript", "meaning_alignment", "number_mismatch", "name_c
 MAX_CHARS, UTTERANCE_CUES, UTTERANCE_CHARS, PAUSE_MS, CONTEXT_CHARS, ATTEMPTS = 8000, 32, 8000, 1500, 32_000, 2
 #: The types of an answer's items; a value of another type, a field too many or one too few is a fault.
 CUE, ISSUE = "OBJECT<cue_id: BIGINT, text: STRING>", "OBJECT<cue_id: BIGINT, kind: STRING, message: STRING>"
-#: Half of a character pair, escaped: text that can't be.
-LONE = r"(?i)(?<!\\)(?:\\\\)*(?:\\ud[89ab][0-9a-f]{2}(?!\\ud[c-f][0-9a-f]{2})|(?<!\\ud[89ab][0-9a-f]{2})\\ud[c-f][0-9a-f]{2})"
 
 
 def utterances(cues: DataFrame) -> DataFrame:
@@ -82,23 +80,13 @@ def build_requests(batches: DataFrame, source: DataFrame, draft: DataFrame | Non
     return rows.select(*key, F.to_json(body, {"ignoreNullFields": "false"}).alias("request"))
 
 
-def one_document(text: Column) -> Column:
-    """The variant of a text that is one JSON value and nothing else, no key repeated; null for others.
-
-    A parser that stops where the value ends would let anything follow it: here the text's own hash has to.
-    """
-    mark = F.sha2(text, 256)
-    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
-    return F.when((F.try_variant_get(both, "$[1]", "string") == mark) & ~text.rlike(LONE), F.try_variant_get(both, "$[0]", "variant"))
-
-
 def validate_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """(media_id, batch_id, cues, issues, fault) per response: requests hold (media_id, batch_id, cue_ids), responses their JSON in ``response``.
 
     fault is null for a response that is one JSON document of the right fields and types and gives every requested cue once, with text that can be shown, and issues of
     known kinds on these cues; else it names the first rule broken, and cues and issues are null.
     """
-    rows = requests.join(responses, ["media_id", "batch_id"]).withColumn("doc", one_document(F.col("response")))
+    rows = requests.join(responses, ["media_id", "batch_id"]).withColumn("doc", T.one_document(F.col("response")))
     items = lambda name: F.try_variant_get("doc", f"$.{name}", "array<variant>")
     typed = lambda name, kind: F.forall(name, lambda x: F.schema_of_variant(x) == kind)
     rows = rows.withColumns({"c": items("cues"), "i": items("issues"), "top": F.array_sort(F.map_keys(F.try_variant_get("doc", "$", "map<string,variant>")))})

@@ -69,12 +69,14 @@ def compose_multilingual(source: DataFrame, translations: DataFrame, targets: li
     return both.withColumn("text", order_lines(lines, order or [])).drop("told")
 
 
-def next_revision(revisions: DataFrame) -> DataFrame:
-    """(project, kind, name): the lowest number from 1 that no revision of the kind has."""
+def next_revision(revisions: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
+    """(project, kind, name): the lowest number from 1 that no revision of the kind has; kinds (project, kind) adds those that may have none yet."""
     by = W.partitionBy("project", "kind").orderBy("n")
     ranked = revisions.select("project", "kind", "n").distinct().where("n >= 1").withColumn("i", F.row_number().over(by))
     free = ranked.groupBy("project", "kind").agg((F.count_if(F.col("n") == F.col("i")) + 1).alias("n"))  # n = i holds for an unbroken start only
-    return free.select("project", "kind", F.format_string("%s-%04d", "kind", "n").alias("name"))
+    known = revisions.select("project", "kind") if kinds is None else revisions.select("project", "kind").unionByName(kinds.select("project", "kind"))
+    free = known.distinct().join(free, ["project", "kind"], "left")
+    return free.select("project", "kind", F.format_string("%s-%04d", "kind", F.coalesce("n", F.lit(1).cast("long"))).alias("name"))
 
 
 def workflow_status(projects: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cuelake.functions import numbers
 from cuelake.functions import text as T
 from cuelake.operators import cuebuild, project, protocol, qa, review, segments, transcript
+from cuelake.operators import attempts as attempts_
 from cuelake.operators import rounds as rounds_
 from cuelake.plans.queries import _CUES, _EVENTS, _THRESHOLD, _merge, _read, cues, cues_cs, frames, packets
 from cuelake.plans.workflow_queries import probes, sha, words
@@ -240,7 +241,15 @@ def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return project.bundle_sha256(_read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("bundle"), F.concat(F.lit("f"), F.lpad(F.col("turn").cast("string"), 6, "0")).alias("name"), F.col("text").alias("content")))
+    """A bundle per conversation: its first turns at the top, later ones in two folders of two, and a definition whose keys are in another order each time."""
+    k, t = F.col("conv_id"), F.col("turn")
+    c = _read(spark, sf_dir, "conversations")
+    leaf = F.concat(F.lit("f"), F.lpad(t.cast("string"), 6, "0"))
+    name = F.when(t < 2, leaf).otherwise(F.concat(F.lit("d"), (t % 2).cast("string"), F.lit("/e"), (F.floor(t / 2) % 2).cast("string"), F.lit("/"), leaf))
+    files = c.select(k.alias("bundle"), name.alias("name"), F.col("text").alias("content"))
+    size, mark = F.concat(F.lit('"size": '), F.col("bundle").cast("string")), F.lit('"mark" : ["a\u00e9", true, null]')
+    definition = c.select(k.alias("bundle")).distinct().select("bundle", F.lit("preset.json").alias("name"), F.when(F.col("bundle") % 7 == 3, "{no}").when(F.col("bundle") % 2 == 0, F.concat(F.lit("{"), size, F.lit(","), mark, F.lit("}"))).otherwise(F.concat(F.lit("{ "), mark, F.lit(" , "), size, F.lit("}\n"))).alias("content"))
+    return project.bundle_sha256(files.unionByName(definition))
 
 
 def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,8 +307,62 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoder output of each conversation as JSON, read back as segments."""
     item = F.struct("pos", F.struct((F.col("start_ms") / 1000).alias("start"), (F.when(F.col("pos") % 6 == 5, F.col("start_ms")).otherwise(F.col("end_ms")) / 1000).alias("end"), F.concat(F.lit(" "), "text").alias("text")).alias("s"))
     by = cues(spark, sf_dir).groupBy("media_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["s"]).alias("segments"))
-    files = by.select("media_id", F.to_json(F.struct(F.lit("en").alias("language"), "segments", F.lit(1).alias("unknown"))).alias("content"))
-    return decoder.asr_tables(files)[0]
+    words = F.transform(F.filter("segments", lambda s: s["end"] > s["start"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.upper(s["text"]).alias("text")))
+    return by.select("media_id", F.to_json(F.struct(F.lit("en").alias("language"), F.lit(2).alias("duration"), F.lit(1.5).alias("duration_after_vad"), "segments", words.alias("words"), F.lit(1).alias("unknown"))).alias("content"))
+
+
+def spoilt(files: DataFrame) -> DataFrame:
+    """Four in seven of the files, each wrong in another way."""
+    k = F.col("media_id") % 7
+    bad = F.when(k == 1, F.concat("content", F.lit("}"))).when(k == 2, F.expr("substring(content, 1, length(content) - 1)")).when(k == 3, F.replace("content", F.lit('"duration":2,'), F.lit(""))).when(k == 4, F.replace("content", F.lit('"duration":2,'), F.lit('"duration":"2",')))
+    return files.withColumn("content", F.coalesce(bad, F.col("content")))
+
+
+def decoded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read of files of which some are broken: numbers of segments and words, or why a file is rejected."""
+    segments_, words_, headers, rejects = decoder.asr_tables(spoilt(transcripts(spark, sf_dir)))
+    n = lambda df, name: df.groupBy("media_id").agg(F.count(F.lit(1)).alias(name))
+    read = headers.join(n(segments_, "n_segments"), "media_id", "left").join(n(words_, "n_words"), "media_id", "left").fillna(0, ["n_segments", "n_words"]).withColumn("reason", F.lit(""))
+    return read.unionByName(rejects, allowMissingColumns=True).select("media_id", F.coalesce("language", F.lit("")).alias("language"), "duration_cs", "duration_after_vad_cs", "n_segments", "n_words", "reason")
+
+
+def probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A probe file for each part, some without video, size, duration or JSON."""
+    k = F.col("p_partkey")
+    video = F.struct(F.lit("video").alias("codec_type"), F.when(k % 9 == 4, 0).otherwise(F.col("p_size") * 16).cast("int").alias("width"), F.lit(1080).alias("height"), F.concat((k % 50 + 1).cast("string"), F.lit("/2")).alias("avg_frame_rate"), F.when(k % 2 == 0, (k * 3).cast("string")).otherwise("N/A").alias("nb_frames"), F.lit(None).cast("string").alias("sample_rate"), F.lit(None).cast("int").alias("channels"))
+    audio = F.struct(F.lit("audio").alias("codec_type"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), F.lit("0/0").alias("avg_frame_rate"), F.lit(None).cast("string").alias("nb_frames"), F.lit("16000").alias("sample_rate"), (k % 3).cast("int").alias("channels"))
+    streams = F.when(k % 9 == 3, F.array(audio)).when(k % 4 == 0, F.array(audio, video, audio)).otherwise(F.array(video))
+    content = F.to_json(F.struct(streams.alias("streams"), F.struct(F.when(k % 9 == 5, "N/A").otherwise((k % 100 + 1).cast("string")).alias("duration")).alias("format")))
+    content = F.when(k % 9 == 6, F.concat(content, content)).when(k % 9 == 7, F.replace(content, F.lit("1080"), F.lit('"1080"'))).otherwise(content)
+    probes_, rejects = decoder.media_probe(_read(spark, sf_dir, "part").select(k.alias("media_id"), content.alias("content")))
+    told = probes_.select("media_id", "width", "duration_s", "fps", "frame_count", F.size("audio").cast("long").alias("n_audio"), F.lit("").alias("reason"))
+    return told.unionByName(rejects, allowMissingColumns=True)
+
+
+def reports_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports written as files and read back: a single stage for each third item, targets for the others; some files are broken."""
+    c = cues(spark, sf_dir)
+    k = F.col("media_id")
+    language = F.when(k % 3 > 0, F.element_at(F.array(F.lit("fr"), F.lit("de")), (F.col("pos") % 2 + 1).cast("int")))
+    issue = F.struct(F.col("cue_id").cast("long").alias("cue_id"), F.lit("other").alias("kind"), F.lit('say "x"').alias("message"))
+    each = c.groupBy("media_id", language.alias("language")).agg(F.count_if(F.col("pos") % 3 == 0).alias("changed_cues"), F.array_sort(F.collect_list(F.when(F.col("pos") % 4 == 1, issue))).alias("issues"))
+    stage = F.when(F.col("language").isNull(), "transcription").otherwise("translation")
+    files = decoder.render_reports(each.withColumn("stage", stage)).withColumn("content", F.when(k % 11 == 2, F.replace("content", F.lit("changed_cues"), F.lit("changed"))).when(k % 11 == 5, F.concat(F.col("content"), F.lit("x"))).otherwise(F.col("content")))
+    read, rejects = decoder.review_reports(files)
+    told = read.select("media_id", F.coalesce("language", F.lit("")).alias("language"), "stage", "changed_cues", F.array_join(F.transform("issues", lambda i: i["cue_id"].cast("string")), ",").alias("issues"), F.lit("").alias("reason"))
+    return told.unionByName(rejects.select("media_id", F.lit("").alias("language"), F.lit("").alias("stage"), F.lit(None).cast("long").alias("changed_cues"), F.lit("").alias("issues"), "reason"))
+
+
+def decoded_in_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A decoder that gives cues at the attempt conv_id % 6 only, for items of which two in three name a language; the detected one differs for one in two."""
+    k = F.col("media_id")
+    media_ = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("media_id")).distinct().withColumn("language", F.when(k % 3 > 0, "en"))
+    track = cues(spark, sf_dir).select("media_id", "pos", "text")
+    detect = lambda m: m.withColumn("detected", F.when(k % 2 == 0, "en").otherwise("fr"))
+    decode = lambda plan: plan.where("media_id % 6 = attempt_no").join(track, "media_id").select("media_id", "pos", "text")
+    out = attempts_.decode_in_stages(rounds_.Store(spark, shared_root(spark, "attempts")), media_, decode, detect)
+    told = out.chosen.select("media_id", F.col("attempt_no").cast("long").alias("attempt_no"), "language", "decoding", "fallback_language", "fallback_decoding", "n_cues", F.lit("").alias("summary"))
+    return told.unionByName(out.failed.select("media_id", F.col("n_attempts").alias("attempt_no"), F.lit("").alias("language"), F.lit("").alias("decoding"), F.lit(False).alias("fallback_language"), F.lit(False).alias("fallback_decoding"), F.lit(0).cast("long").alias("n_cues"), "summary"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -333,7 +396,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clamp_tokens_segments": clamped,
     "rates_and_shares": rates,
     "packet_manifest": manifests,
-    "asr_segments": transcripts,
+    "asr_segments": lambda s, d: decoder.asr_tables(transcripts(s, d))[0],
+    "asr_files": decoded_files,
+    "media_probe": probed,
+    "review_reports": reports_again,
+    "decode_in_stages": decoded_in_stages,
 }
 
 _AUDIO = """WITH o AS (SELECT user_id, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id),
@@ -426,6 +493,30 @@ k AS (SELECT media_id, count(*) AS seen, bool_or(bad) AS bad FROM p GROUP BY med
 v AS (SELECT p_partkey AS media_id, p_partkey % 11 <> 0 AND p_partkey % 17 <> 0 AND CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 4 < 3 ELSE p_partkey % 4 < 2 END AND (p_partkey % 5 = 0 OR p_partkey % 13 <> 0) AS good FROM part)
 SELECT v.media_id, good AND v.media_id % 31 > 0 AND NOT cut AND NOT other AND n = coalesce(seen, 0) AND NOT coalesce(bad, FALSE) AS passed, coalesce(seen, 0) AS n_streams
 FROM v JOIN a ON a.media_id = v.media_id LEFT JOIN k ON k.media_id = v.media_id""",
+    "bundle_sha256": """
+WITH f AS (SELECT conv_id AS k, turn AS t, 'f' || lpad(CAST(turn AS VARCHAR), 6, '0') || chr(0) || sha256(text) AS entry FROM conversations),
+e AS (SELECT k, t % 2 AS d, t // 2 % 2 AS e, sha256(string_agg(entry, '' ORDER BY t)) AS h FROM f WHERE t >= 2 GROUP BY 1, 2, 3),
+d AS (SELECT k, d, sha256(string_agg('e' || e || chr(0) || h, '' ORDER BY e)) AS h FROM e GROUP BY k, d),
+a AS (SELECT k, 'd' || d || chr(0) || h AS entry FROM d UNION ALL SELECT k, entry FROM f WHERE t < 2 UNION ALL SELECT DISTINCT k, 'preset.json' || chr(0) || '{"mark":["aé",true,null],"size":' || k || '}' FROM f)
+SELECT k AS bundle, CASE WHEN k % 7 <> 3 THEN sha256(string_agg(entry, '' ORDER BY entry)) END AS sha256 FROM a GROUP BY k""",
+    "asr_files": f"""
+WITH {_CUES}, c AS (SELECT media_id, count(*) FILTER (pos % 6 <> 5 AND trim(text) <> '') AS s, count(*) FILTER (pos % 6 <> 5) AS w FROM cues GROUP BY media_id),
+k AS (SELECT *, CASE WHEN media_id % 7 IN (1, 2) THEN 'json' WHEN media_id % 7 IN (3, 4) THEN 'fields' ELSE '' END AS reason FROM c)
+SELECT media_id, CASE WHEN reason = '' THEN 'en' ELSE '' END AS language, CASE WHEN reason = '' THEN CAST(200 AS BIGINT) END AS duration_cs, CASE WHEN reason = '' THEN CAST(150 AS BIGINT) END AS duration_after_vad_cs,
+       CASE WHEN reason = '' THEN s END AS n_segments, CASE WHEN reason = '' THEN w END AS n_words, reason FROM k""",
+    "media_probe": """
+WITH k AS (SELECT p_partkey AS k, p_size, CASE p_partkey % 9 WHEN 3 THEN 'video' WHEN 4 THEN 'size' WHEN 5 THEN 'duration' WHEN 6 THEN 'json' WHEN 7 THEN 'fields' ELSE '' END AS reason FROM part)
+SELECT k AS media_id, CASE WHEN reason = '' THEN CAST(p_size * 16 AS INTEGER) END AS width, CASE WHEN reason = '' THEN CAST(k % 100 + 1 AS DOUBLE) END AS duration_s, CASE WHEN reason = '' THEN (k % 50 + 1) / 2 END AS fps,
+       CASE WHEN reason = '' AND k % 2 = 0 THEN k * 3 END AS frame_count, CASE WHEN reason = '' THEN CAST(CASE WHEN k % 4 = 0 THEN 2 ELSE 0 END AS BIGINT) END AS n_audio, reason FROM k""",
+    "review_reports": f"""
+WITH {_CUES}, e AS (SELECT media_id, CASE WHEN media_id % 3 = 0 THEN '' WHEN pos % 2 = 0 THEN 'fr' ELSE 'de' END AS language, count(*) FILTER (pos % 3 = 0) AS changed_cues, coalesce(string_agg(cue_id, ',' ORDER BY pos) FILTER (pos % 4 = 1), '') AS issues FROM cues GROUP BY ALL)
+SELECT media_id, language, CASE WHEN language = '' THEN 'transcription' ELSE 'translation' END AS stage, changed_cues, issues, '' AS reason FROM e WHERE media_id % 11 NOT IN (2, 5)
+UNION ALL SELECT DISTINCT media_id, '', '', CAST(NULL AS BIGINT), '', CASE WHEN media_id % 11 = 2 THEN 'fields' ELSE 'json' END FROM e WHERE media_id % 11 IN (2, 5)""",
+    "decode_in_stages": """
+WITH c AS (SELECT conv_id AS k, count(*) AS n FROM conversations GROUP BY conv_id), a AS (SELECT k, n, CASE WHEN k % 3 = 0 THEN CASE WHEN k % 2 = 0 THEN 'en' ELSE 'fr' END ELSE 'en' END AS one, k % 3 > 0 AND k % 2 = 1 AS other, k % 6 AS no FROM c),
+r AS (SELECT *, no BETWEEN 1 AND CASE WHEN other THEN 4 ELSE 2 END AS good FROM a)
+SELECT k AS media_id, CASE WHEN good THEN no WHEN other THEN 4 ELSE 2 END AS attempt_no, CASE WHEN NOT good THEN '' WHEN no > 2 THEN 'fr' ELSE one END AS language, CASE WHEN NOT good THEN '' WHEN no % 2 = 1 THEN 'beam' ELSE 'greedy' END AS decoding,
+       good AND no > 2 AS fallback_language, good AND no % 2 = 0 AS fallback_decoding, CASE WHEN good THEN n ELSE 0 END AS n_cues, CASE WHEN good THEN '' ELSE one || ' beam | ' || one || ' greedy' || CASE WHEN other THEN ' | fr beam | fr greedy' ELSE '' END END AS summary FROM r""",
     "review_queue": f"""
 WITH {_CUES}, i AS (SELECT media_id, string_agg(CASE WHEN pos % 2 = 0 THEN 'readability' ELSE 'other' END || ': cue ' || cue_id, '|' ORDER BY CASE pos % 5 WHEN 4 THEN 0 WHEN 0 THEN 1 ELSE 2 END, pos) FILTER (pos % 5 IN (0, 2, 4)) AS issues, max(cue_id) AS last FROM cues GROUP BY media_id)
 SELECT media_id AS project, CASE media_id % 4 WHEN 0 THEN 'rendered' WHEN 1 THEN 'accepted' WHEN 2 THEN 'review_required' ELSE 'translation_stale' END AS state, coalesce(issues, '') AS issues,

@@ -3,8 +3,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from cuelake.operators import project, protocol, qa
-from cuelake.sources import decoder, srt
+from cuelake.operators import project, protocol, qa, review
+from cuelake.sources import decoder, files, srt
 
 
 def test_neighbours_cross_small_batches(spark):
@@ -66,10 +66,18 @@ def test_decoder_files(spark, tmp_path):
     packets, rejects = decoder.packet_manifest(files)
     assert [tuple(r) for r in packets.collect()] == [("ok", 0, digest, 2, None, 0.5, None)] and {r.media_id for r in rejects.collect()} == {"bad", "nan"}
     probe = '{"streams":[{"codec_type":"audio","sample_rate":"x","channels":2},{"codec_type":"video","width":4,"height":3,"avg_frame_rate":"0/0","nb_frames":"N/A"}],"format":{"duration":"2.5","extra":1}}'
-    r = decoder.media_probe(spark.createDataFrame([("p", probe), ("q", "{}")], "media_id string, content string")).collect()
+    probes, rejects = decoder.media_probe(spark.createDataFrame([("p", probe), ("q", "{}"), ("r", probe.replace('"2.5"', '"inf"')), ("s", probe + "x"), ("t", None)], "media_id string, content string"))
+    r = probes.collect()
     assert len(r) == 1 and (r[0].fps, r[0].frame_count, r[0].video_stream_count, r[0].audio[0].codec, r[0].audio[0].sample_rate) == (None, None, 1, "unknown", None)
+    assert {(x.media_id, x.reason) for x in rejects.collect()} == {("q", "fields"), ("r", "duration"), ("s", "json"), ("t", "json")}
     report = '{"schema_version":1,"targets":[{"language":"fr","review":{"stage":"translation","changed_cues":2,"issues":[]}}]}'
-    assert [(x.language, x.changed_cues) for x in decoder.review_reports(spark.createDataFrame([("r", report)], "media_id string, content string")).collect()] == [("fr", 2)]
+    single = '{"schema_version":1,"stage":"transcription","model":"m","changed_cues":1,"issues":[{"cue_id":3,"kind":"other","message":"x"}]}'
+    found, rejects = decoder.review_reports(spark.createDataFrame([("r", report), ("s", single), ("t", single.replace("3", '"3"'))], "media_id string, content string"))
+    assert sorted((x.media_id, x.language, x.stage, x.changed_cues, [tuple(i) for i in x.issues]) for x in found.collect()) == [("r", "fr", "translation", 2, []), ("s", None, "transcription", 1, [(3, "other", "x")])]
+    assert [tuple(x) for x in rejects.collect()] == [("t", "fields")]
+    decoder.write_reports(found, str(tmp_path / "reports"))
+    again, rejects = decoder.review_reports(decoder.whole_files(spark, str(tmp_path / "reports" / "*" / "*.txt")))
+    assert sorted((x.stage, x.changed_cues) for x in again.collect()) == [("transcription", 1), ("translation", 2)] and rejects.count() == 0
     fits, over = decoder.contexts(spark.createDataFrame([("a", "x" * 32_000), ("b", "é" * 32_001)], "media_id string, content string"))
     assert [r.media_id for r in fits.collect()] == ["a"] and [r.media_id for r in over.collect()] == ["b"]
     cues = spark.createDataFrame([("m", 0, 7, 0, 1500, "Hi\n there")], "media_id string, pos int, cue_id long, start_ms long, end_ms long, text string")
@@ -78,11 +86,58 @@ def test_decoder_files(spark, tmp_path):
     assert [(r.cue_id, r.start_ms, r.end_ms, r.text) for r in read.collect()] == [(7, 0, 1500, "Hi\nthere")] and rejected.count() == 0
 
 
+def folder_hash(entries):
+    """entries: name to text, or to a folder of the same kind."""
+    whole = b""
+    for name, value in sorted(entries.items(), key=lambda kv: kv[0].encode()):
+        own = folder_hash(value) if isinstance(value, dict) else json.dumps(json.loads(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False) if name == "preset.json" else hashlib.sha256(value.encode()).hexdigest()
+        whole += name.encode() + b"\x00" + own.encode()
+    return hashlib.sha256(whole).hexdigest()
+
+
 def test_bundle_hashes_names_and_contents(spark):
-    files = {"b": "two", "a": "one", "é": ""}
-    rows = spark.createDataFrame([("x", k, v) for k, v in files.items()], "bundle string, name string, content string")
-    whole = b"".join(k.encode() + b"\x00" + hashlib.sha256(v.encode()).hexdigest().encode() for k, v in sorted(files.items()))
-    assert [tuple(r) for r in project.bundle_sha256(rows).collect()] == [("x", hashlib.sha256(whole).hexdigest())]
+    flat, deep = {"b": "two", "a": "one", "é": ""}, {"x": {"y": {"z": "1", "preset.json": '{"b": 1.50, "a": ["é", null]}'}, "w": "2"}, "v": "3", "preset.json": " {} "}
+
+    def listed(entries, before=""):
+        for k, v in entries.items():
+            yield from listed(v, f"{before}{k}/") if isinstance(v, dict) else [(f"{before}{k}", v)]
+
+    rows = [(b, *f) for b, files in (("flat", flat), ("deep", deep)) for f in listed(files)] + [("bad", "preset.json", "{'a': 1}"), ("bad", "c", "d"), ("nan", "x/preset.json", '{"a": NaN}')]
+    got = {r.bundle: r.sha256 for r in project.bundle_sha256(spark.createDataFrame(rows, "bundle string, name string, content string")).collect()}
+    assert got == {"flat": folder_hash(flat), "deep": folder_hash(deep), "bad": None, "nan": None}
+    assert project.bundle_sha256(spark.createDataFrame([], "bundle string, name string, content string")).count() == 0
+
+
+def test_files_that_changed(spark, tmp_path):
+    for name, text in {"same": "a", "other": "b", "large": "c" * 100}.items():
+        (tmp_path / name).write_text(text)
+    at = {r.path.rsplit("/", 1)[1]: r.path for r in files.file_hashes(spark, str(tmp_path), 50).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    recorded = [("p", at["same"], sha("a")), ("p", at["other"], sha("x")), ("p", at["large"], sha("c" * 100)), ("p", at["same"] + "x", sha("a"))]
+    got = files.changed_files(spark, spark.createDataFrame(recorded, "project string, path string, sha256 string"), str(tmp_path), 50).collect()
+    assert sorted((r.path.rsplit("/", 1)[1], r.fault) for r in got) == [("large", "oversize"), ("other", "changed"), ("samex", "missing")]
+
+
+def test_decoder_output_is_read_whole_or_rejected(spark):
+    good = '{"language":"en","duration":2,"duration_after_vad":1.5,"segments":[{"text":" hi ","start":0,"end":1.26,"id":4},{"text":" ","start":1,"end":2}],"words":[{"text":" hi","start":0.1,"end":0.5}],"more":1}'
+    texts = [good, good + "}", good.replace("1.26", "null"), good.replace('"words"', '"word"'), good.replace('"end":0.5', '"end":"0.5"')]
+    segments, words, headers, rejects = decoder.asr_tables(spark.createDataFrame(list(enumerate(texts)), "media_id int, content string"))
+    assert [tuple(r) for r in segments.collect()] == [(0, 1, 0, 126, "hi")] and [tuple(r) for r in words.collect()] == [(0, 0, 10, 50, " hi")] and [tuple(r) for r in headers.collect()] == [(0, "en", 200, 150)]
+    assert sorted(tuple(r) for r in rejects.collect()) == [(1, "json"), (2, "fields"), (3, "fields"), (4, "fields")]
+
+
+def test_acceptances_count_only_in_a_state_that_allows_them(spark):
+    p = spark.createDataFrame([("a", "x"), ("b", "x")], "project string, fingerprint string")
+    rows = [("a", 1, "ok", "x", "review_required"), ("a", 2, "ok", "y", "translation_stale"), ("b", 1, "ok", "x", "source_review_pending")]
+    acc = spark.createDataFrame(rows, "project string, at int, note string, fingerprint string, state string")
+    assert {(r.project, r.accepted) for r in project.acceptance_valid(p, acc).collect()} == {("a", True), ("b", False)}
+    assert {(r.project, r.accepted) for r in project.acceptance_valid(p, acc.drop("state")).collect()} == {("a", False), ("b", True)}
+
+
+def test_first_revision_of_a_kind(spark):
+    revisions = spark.createDataFrame([("p", "source", 1), ("p", "target", 0)], "project string, kind string, n int")
+    kinds = spark.createDataFrame([("q", "source"), ("p", "source")], "project string, kind string")
+    assert {(r.project, r.name) for r in review.next_revision(revisions, kinds).collect()} == {("p", "source-0002"), ("p", "target-0001"), ("q", "source-0001")}
 
 
 def test_context_takes_an_utterance_on_either_side_while_it_fits(spark):
