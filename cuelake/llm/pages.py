@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -19,7 +20,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>", re.S)
+START = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:\"[^\"]*+\"|'[^']*+'|[^\"'>])*+)>", re.S)
+#: A tag whatever its quotes: for pages that have one whose quotes leave it open to the end.
+LOOSE_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>", re.S)
 UNSEEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = frozenset("script style noscript template head title textarea svg iframe object select button canvas".split())
@@ -71,6 +75,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
     """(text, words, words in links, in main part, in boilerplate part, heading) of each block, in page order."""
     found: list[tuple[str, int, int, int, int, int]] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # open elements: name, hides, boilerplate, main
+    opened: Counter[str] = Counter()  # their names
     inside = [0, 0, 0]  # how many of them hide, are boilerplate, are main
     parts: list[str] = []
     linked: list[str] = []
@@ -92,12 +97,15 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
 
     def end(at: int) -> None:
         """Close the open elements from number at on."""
-        for _, *marks in stack[at:]:
+        for name, *marks in stack[at:]:
+            opened[name] -= 1
             for i, mark in enumerate(marks):
                 inside[i] -= mark
         del stack[at:]
 
     def last(names: tuple[str, ...], barriers: tuple[str, ...] = ()) -> int | None:
+        if not any(opened[n] for n in names):
+            return None
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
                 return i
@@ -105,9 +113,13 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
                 return None
         return None
 
-    at = 0
+    at, tag = 0, TAG
     while True:
-        m = TAG.search(page, at)
+        start = START.search(page, at)
+        m = start and tag.match(page, start.start())
+        if start and m is None and tag is TAG:  # from here on a tag ends at the next bracket, so that no later one is looked for to the end again
+            tag = LOOSE_TAG
+            m = tag.match(page, start.start())
         say(page[at : m.start() if m else len(page)])
         if m is None:
             break
@@ -146,6 +158,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
         if name not in INLINE or unseen:
             element = (name, unseen, boiler, name in MAIN_TAGS or about and name not in ("p", "li"))
             stack.append(element)
+            opened[name] += 1
             for i, mark in enumerate(element[1:]):
                 inside[i] += mark
     flush()

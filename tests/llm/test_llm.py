@@ -299,3 +299,18 @@ def test_language_sample_holds_rare_languages(spark):
     docs = [(i, "the words of a common line", "en", None) for i in range(300)] + [(300, "слова редкой строки", "ru", None)]
     assert language.train(table(spark, docs), rows=20).languages == ["en", "ru"]
     assert language.shares({"a": 100, "b": 2, "c": 50}, 30) == {"b": 2, "c": 14, "a": 14}
+
+
+def test_pages_are_read_in_one_pass():
+    import time
+
+    story = "<p>" + "word " * 60 + "</p>"
+    for bad in ("<a b='x", "<a b='x>", '<a b="', "<!", "<div>", "<li><div>", "</b>", "<p class=' ", "<a href=x ", "<!-- ", "<script>", "&", "<"):
+        page = story + bad * (1_000_000 // len(bad))
+        start = time.time()
+        found = pages.blocks(page)
+        assert time.time() - start < 20, bad
+        assert found[0][0].startswith("word word"), bad
+    deep = "<div>" * 100_000 + "</i>" * 100_000 + story
+    start = time.time()
+    assert pages.blocks(deep)[-1][1] == 60 and time.time() - start < 20
