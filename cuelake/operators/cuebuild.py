@@ -201,19 +201,40 @@ def fixed_windows(media: DataFrame, size: int, overlap: int) -> DataFrame:
     return segments.split_windows(media.where("n_samples > 0").select("media_id", F.lit(0).cast("long").alias("start"), F.col("n_samples").alias("end")), size, overlap)
 
 
-def plan_windows(frames: DataFrame, media: DataFrame, *, frame: int, silence: int, min_speech: int, pad: int, size: int, overlap: int) -> tuple[DataFrame, DataFrame]:
-    """(windows, plans): windows over the speech of each item, or over all of it where none is found; plans say which, with the share of speech."""
-    runs = segments.speech_runs(frames, frame, silence, min_speech)
-    spoken = segments.split_windows(segments.pad_regions(runs, media, pad), size, overlap)
-    silent = media.join(runs.select("media_id").distinct(), "media_id", "left_anti")
-    windows = spoken.unionByName(fixed_windows(silent, size, overlap))
-    windows = windows.withColumn("chunk_id", F.row_number().over(W.partitionBy("media_id").orderBy("start", "end")) - 1)
-    by = runs.groupBy("media_id").agg(F.count(F.lit(1)).alias("regions"), F.sum(F.col("end") - F.col("start")).alias("speech"))
-    plans = media.join(by, "media_id", "left").select(
-        "media_id", F.when(F.col("regions") > 0, "speech").otherwise("fixed-fallback").alias("strategy"), F.coalesce("regions", F.lit(0)).alias("regions"),
-        (F.coalesce("speech", F.lit(0)) / F.greatest("n_samples", F.lit(1))).alias("coverage"),
-    )
-    return windows, plans
+def plan_windows(frames: DataFrame, media: DataFrame, *, frame: int, silence: int, min_speech: int, pad: int, size: int, overlap: int, mode: str = "speech", chunk: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(windows, plans) of items (media_id, n_samples). Windows of at most ``size`` over the speech of each, or of ``chunk`` (by default size) over all of it where none is found or mode is "fixed".
+
+    plans: (media_id, strategy, regions, threshold, coverage): "speech", "fixed-fallback" or "fixed", which looks at no frames: no regions, no threshold.
+    """
+    none = lambda *columns: media.select("media_id", *columns)
+    if mode == "fixed":
+        plans = none(F.lit("fixed").alias("strategy"), F.lit(0).cast("long").alias("regions"), F.lit(None).cast("float").alias("threshold"), F.lit(0.0).alias("coverage"))
+        windows = fixed_windows(media, chunk or size, overlap)
+    else:
+        runs = segments.speech_runs(frames, frame, silence, min_speech)
+        spoken = segments.split_windows(segments.pad_regions(runs, media, pad), size, overlap)
+        silent = media.join(runs.select("media_id").distinct(), "media_id", "left_anti")
+        windows = spoken.unionByName(fixed_windows(silent, chunk or size, overlap))
+        by = runs.groupBy("media_id").agg(F.count(F.lit(1)).alias("regions"), F.sum(F.col("end") - F.col("start")).alias("speech"))
+        plans = media.join(by, "media_id", "left").join(segments.adaptive_threshold(frames), "media_id", "left").select(
+            "media_id", F.when(F.col("regions") > 0, "speech").otherwise("fixed-fallback").alias("strategy"), F.coalesce("regions", F.lit(0)).alias("regions"), "threshold",
+            (F.coalesce("speech", F.lit(0)) / F.greatest("n_samples", F.lit(1))).alias("coverage"),
+        )
+    return windows.withColumn("chunk_id", F.row_number().over(W.partitionBy("media_id").orderBy("start", "end")) - 1), plans
+
+
+def choose_cues(word_cues: DataFrame, segment_cues: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cues, timing): of each window (media_id, chunk_id) the cues built from words, where there are some and the words spell its segments, else those of its segments.
+
+    matches: (media_id, chunk_id, matched) of all windows. cues say their ``timing``; timing: (media_id, timing, windows, word_timed).
+    """
+    key = ["media_id", "chunk_id"]
+    worded = matches.where("matched").select(*key).join(word_cues.select(*key).distinct(), key, "left_semi")
+    cues = word_cues.join(worded, key, "left_semi").withColumn("timing", F.lit("word"))
+    cues = cues.unionByName(segment_cues.join(worded, key, "left_anti").withColumn("timing", F.lit("segment-fallback")))
+    each = matches.select(*key).join(worded.withColumn("matched", F.lit(True)), key, "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+    n = each.groupBy("media_id").agg(F.count(F.lit(1)).alias("windows"), F.count_if("matched").alias("word_timed"))
+    return cues, transcript.choose_timing(each).join(n, "media_id").select("media_id", "timing", "windows", "word_timed")
 
 
 def detection_window(samples: Column, rate: Column, seconds: int = DETECT_S) -> Column:
@@ -228,3 +249,11 @@ def attempt_diagnostics(windows: DataFrame, found: DataFrame, words: DataFrame)
     out = n(windows, windows=F.count(F.lit(1))).join(n(found, segments=F.count(F.lit(1)), blank=blank), "media_id", "left").join(n(words, timed_words=F.count(F.lit(1))), "media_id", "left")
     out = out.fillna(0, ["segments", "blank", "timed_words"])
     return out.select("media_id", "windows", "segments", (F.col("segments") - F.col("blank")).alias("non_empty"), "blank", "timed_words")
+
+
+def attempt_report(diagnostics: DataFrame, plans: DataFrame, timing: DataFrame) -> DataFrame:
+    """(media_id, ..., summary): what attempt_diagnostics() counts, with the plan of windows, the cues' timing, and both in a line of text."""
+    rows = diagnostics.join(plans, "media_id").join(timing.select("media_id", "timing"), "media_id", "left").withColumn("timing", F.coalesce("timing", F.lit("segment-fallback")))
+    shown = ("strategy", "windows", "regions", "threshold", "coverage", "timing", "timed_words", "segments", "non_empty")
+    line = F.concat_ws(" ", *[F.concat(F.lit(f"{n}="), F.coalesce(F.format_number(F.col(n), 4) if n in ("threshold", "coverage") else F.col(n).cast("string"), F.lit("none"))) for n in shown])
+    return rows.withColumn("summary", line)

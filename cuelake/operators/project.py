@@ -121,6 +121,16 @@ def review_queue(states: DataFrame, issues: DataFrame, acceptances: DataFrame) -
     return rows.select("project", "state", F.coalesce("issues", F.array().cast("array<string>")).alias("issues"), "note", action.alias("next_action"))
 
 
+def render_queue(queue: DataFrame) -> DataFrame:
+    """(project, content): what review_queue() says of each project as JSON."""
+    return queue.select("project", F.to_json(F.struct("state", "next_action", "issues", "note"), {"ignoreNullFields": "false"}).alias("content"))
+
+
+def write_queue(queue: DataFrame, path: str) -> None:
+    """A folder per project with its part of the queue as one text file; an existing path is left alone and is an error."""
+    render_queue(queue).write.partitionBy("project").text(path)
+
+
 def verification_report(video: DataFrame, audio: DataFrame, packets: DataFrame) -> DataFrame:
     """(media_id, passed, streams): all verdicts of an item in one row, with the packet counts of each stream.
 

@@ -16,7 +16,7 @@ from cuelake.operators import cuebuild, project, protocol, qa, review, segments,
 from cuelake.operators import attempts as attempts_
 from cuelake.operators import rounds as rounds_
 from cuelake.plans.queries import _CUES, _EVENTS, _THRESHOLD, _merge, _read, cues, cues_cs, frames, packets
-from cuelake.plans.workflow_queries import probes, sha, words
+from cuelake.plans.workflow_queries import matches, probes, sha, words
 from cuelake.sources import decoder
 
 
@@ -48,10 +48,39 @@ def durations(track: DataFrame) -> DataFrame:
     return track.groupBy("media_id").agg((F.max("end_cs") - 70).alias("duration_cs"))
 
 
-def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def planned(spark: SparkSession, sf_dir: str, **how: str) -> tuple[DataFrame, DataFrame]:
     f = frames(spark, sf_dir)
     media = f.groupBy("media_id").agg(((F.max("frame_idx") + 1) * 20).alias("n_samples"))
-    return cuebuild.plan_windows(f, media, frame=20, silence=40, min_speech=400, pad=30, size=300, overlap=60)[1].withColumn("coverage", F.round("coverage", 9))
+    windows, made = cuebuild.plan_windows(f, media, frame=20, silence=40, min_speech=400, pad=30, size=300, overlap=60, chunk=500, **how)
+    return windows, made.withColumn("coverage", F.round("coverage", 9))
+
+
+def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planned(spark, sf_dir)[1].drop("threshold")
+
+
+def plan_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows of both modes, each with its item's plan."""
+    both = []
+    for mode in ("speech", "fixed"):
+        windows, made = planned(spark, sf_dir, mode=mode)
+        both.append(windows.join(made, "media_id").withColumn("mode", F.lit(mode)))
+    out = both[0].unionByName(both[1])
+    return out.select("mode", "media_id", F.col("chunk_id").cast("long").alias("chunk_id"), "start", "end", "strategy", "regions", F.round(F.col("threshold").cast("double"), 7).alias("threshold"), "coverage")
+
+
+def chosen_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cues of ten words where a window's words spell its segments, else its segments of thirty; every thirteenth window has no words that last."""
+    w = words(spark, sf_dir)
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "text"))), lambda x: x["text"]), "")
+    cut = lambda df, n: df.groupBy("media_id", "chunk_id", F.floor(F.col("word_idx") / n).alias("idx")).agg(F.min("start_cs").alias("start_cs"), F.max("end_cs").alias("end_cs"), F.trim(said).alias("text"))
+    made, timing = cuebuild.choose_cues(cut(w.where("chunk_id % 13 <> 5"), 10), cut(w, 30), matches(spark, sf_dir))
+    return made.groupBy("media_id", "chunk_id", F.col("timing").alias("used")).agg(F.count(F.lit(1)).alias("n_cues"), F.sum(F.length("text")).alias("chars")).join(timing, "media_id")
+
+
+def attempt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    timing = cues(spark, sf_dir).where("media_id % 3 > 0").select("media_id", F.when(F.col("media_id") % 3 == 1, "word").otherwise("mixed").alias("timing")).distinct()
+    return cuebuild.attempt_report(diagnostics(spark, sf_dir), planned(spark, sf_dir)[1], timing).select("media_id", "summary")
 
 
 def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,6 +400,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "assemble_tokens": assembled,
     "optimize_cues": lambda s, d: cuebuild.optimize_cues(cues_cs(s, d), durations(cues_cs(s, d)), pad_cs=20),
     "plan_windows": plans,
+    "plan_tables": plan_tables,
+    "choose_cues": chosen_cues,
+    "attempt_report": attempt_lines,
     "attempt_diagnostics": diagnostics,
     "validate_source": lambda s, d: qa.validate_source(flawed(s, d)),
     "utterances": lambda s, d: protocol.utterances(cues(s, d)),
@@ -403,6 +435,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "decode_in_stages": decoded_in_stages,
 }
 
+_PLAN = f"""{_THRESHOLD}, total AS (SELECT media_id, (max(frame_idx) + 1) * 20 AS n FROM f GROUP BY media_id),
+loud AS (SELECT f.media_id, frame_idx, frame_idx - row_number() OVER (PARTITION BY f.media_id ORDER BY frame_idx) AS run FROM f JOIN th ON f.media_id = th.media_id WHERE rms >= threshold),
+act AS (SELECT media_id, min(frame_idx) * 20 AS s, (max(frame_idx) + 1) * 20 AS e FROM loud GROUP BY media_id, run), {_merge("mrg", "act", 40)},
+r AS (SELECT media_id, count(*) AS k, sum(e - s) AS speech FROM mrg WHERE e - s >= 400 GROUP BY media_id),
+plan AS (SELECT total.media_id, CASE WHEN k > 0 THEN 'speech' ELSE 'fixed-fallback' END AS strategy, coalesce(k, 0) AS regions, round(coalesce(speech, 0) / n, 9) AS coverage FROM total LEFT JOIN r ON r.media_id = total.media_id)"""
 _AUDIO = """WITH o AS (SELECT user_id, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id),
 a AS (SELECT p_partkey AS media_id, coalesce(kinds, 0) + CASE WHEN p_partkey % 23 = 0 THEN 1 ELSE 0 END AS n, p_partkey % 29 = 0 AND n > 0 AS cut, p_partkey % 19 = 0 AND coalesce(kinds, 0) > 0 AS other FROM part LEFT JOIN o ON user_id = p_partkey)"""
 _UTTERANCES = r"""c AS (SELECT media_id, pos, length(text) + 1 AS n, coalesce(start_ms - lag(end_ms) OVER m > 1500, FALSE) AS pause,
@@ -413,12 +450,26 @@ u AS (SELECT media_id, pos, 0 AS utterance, 1 AS k, n AS size, stop FROM c WHERE
 _BATCH3 = "b AS (SELECT *, pos // 3 AS batch_id FROM cues)"
 ORACLES: dict[str, str] = {
     "assemble_tokens": "SELECT doc_id AS media_id, text, CAST((octet_length(encode(text)) + 2) // 3 AS BIGINT) AS end_cs FROM documents WHERE text <> ''",
-    "plan_windows": f"""
-WITH {_THRESHOLD}, total AS (SELECT media_id, (max(frame_idx) + 1) * 20 AS n FROM f GROUP BY media_id),
-loud AS (SELECT f.media_id, frame_idx, frame_idx - row_number() OVER (PARTITION BY f.media_id ORDER BY frame_idx) AS run FROM f JOIN th ON f.media_id = th.media_id WHERE rms >= threshold),
-act AS (SELECT media_id, min(frame_idx) * 20 AS s, (max(frame_idx) + 1) * 20 AS e FROM loud GROUP BY media_id, run), {_merge("mrg", "act", 40)},
-r AS (SELECT media_id, count(*) AS k, sum(e - s) AS speech FROM mrg WHERE e - s >= 400 GROUP BY media_id)
-SELECT total.media_id, CASE WHEN k > 0 THEN 'speech' ELSE 'fixed-fallback' END AS strategy, coalesce(k, 0) AS regions, round(coalesce(speech, 0) / n, 9) AS coverage FROM total LEFT JOIN r ON r.media_id = total.media_id""",
+    "plan_tables": f"""
+WITH {_PLAN}, pad AS (SELECT mrg.media_id, greatest(s - 30, 0) AS s, least(e + 30, n) AS e FROM mrg JOIN total ON mrg.media_id = total.media_id WHERE e - s >= 400), {_merge("reg", "pad", 0)},
+spans AS (SELECT 'speech' AS mode, media_id, s, e, 300 AS size FROM reg UNION ALL SELECT 'speech', media_id, 0, n, 500 FROM total WHERE media_id NOT IN (SELECT media_id FROM reg) UNION ALL SELECT 'fixed', media_id, 0, n, 500 FROM total),
+w AS (SELECT mode, media_id, s + k * (size - 60) AS start, least(s + k * (size - 60) + size, e) AS "end" FROM (SELECT *, unnest(range(0, CAST(ceil(greatest(e - s - size, 0) / (size - 60)) AS BIGINT) + 1)) AS k FROM spans))
+SELECT mode, w.media_id, row_number() OVER (PARTITION BY mode, w.media_id ORDER BY start, "end") - 1 AS chunk_id, start, "end", CASE WHEN mode = 'fixed' THEN 'fixed' ELSE strategy END AS strategy,
+       CASE WHEN mode = 'fixed' THEN 0 ELSE regions END AS regions, CASE WHEN mode = 'speech' THEN round(CAST(threshold AS DOUBLE), 7) END AS threshold, CASE WHEN mode = 'fixed' THEN 0 ELSE coverage END AS coverage
+FROM w JOIN plan ON plan.media_id = w.media_id JOIN th ON th.media_id = w.media_id""",
+    "choose_cues": """
+WITH w AS (SELECT doc_id AS media_id, unnest(range(0, len(list_filter(string_split(text, ' '), lambda x: x <> '')))) AS i, unnest(list_filter(string_split(text, ' '), lambda x: x <> '')) AS word FROM documents),
+u AS (SELECT media_id, i // 60 AS c, i, word, (i // 60) % 11 <> 3 AND (i // 60) % 13 <> 5 AS worded FROM w),
+k AS (SELECT media_id, c, worded, CASE WHEN worded THEN i // 10 ELSE i // 30 END AS idx, length(trim(string_agg(' ' || word, '' ORDER BY i))) AS n FROM u GROUP BY ALL),
+t AS (SELECT media_id, count(*) AS windows, count(*) FILTER (worded) AS word_timed FROM (SELECT DISTINCT media_id, c, worded FROM u) GROUP BY media_id)
+SELECT k.media_id, c AS chunk_id, CASE WHEN worded THEN 'word' ELSE 'segment-fallback' END AS used, count(*) AS n_cues, CAST(sum(n) AS BIGINT) AS chars, CASE WHEN word_timed = 0 THEN 'segment-fallback' WHEN word_timed = windows THEN 'word' ELSE 'mixed' END AS timing, windows, word_timed
+FROM k JOIN t ON t.media_id = k.media_id GROUP BY ALL""",
+    "attempt_report": f"""
+WITH {_PLAN}, {_CUES}, d AS (SELECT media_id, count(*) AS windows, count(*) FILTER (pos % 3 > 0) AS segments, count(*) FILTER (pos % 3 > 0 AND pos % 4 <> 1) AS non_empty, count(*) FILTER (pos % 5 = 2) AS timed_words FROM cues GROUP BY media_id)
+SELECT d.media_id, 'strategy=' || strategy || ' windows=' || windows || ' regions=' || regions || ' threshold=' || format('{{:.4f}}', CAST(threshold AS DOUBLE)) || ' coverage=' || format('{{:.4f}}', CAST(coverage AS DOUBLE)) ||
+       ' timing=' || CASE d.media_id % 3 WHEN 0 THEN 'segment-fallback' WHEN 1 THEN 'word' ELSE 'mixed' END || ' timed_words=' || timed_words || ' segments=' || segments || ' non_empty=' || non_empty AS summary
+FROM d JOIN plan ON plan.media_id = d.media_id JOIN th ON th.media_id = d.media_id""",
+    "plan_windows": f"WITH {_PLAN} SELECT * FROM plan",
     "attempt_diagnostics": f"""
 WITH {_CUES} SELECT media_id, count(*) AS windows, count(*) FILTER (pos % 3 > 0) AS segments, count(*) FILTER (pos % 3 > 0 AND pos % 4 <> 1) AS non_empty, count(*) FILTER (pos % 3 > 0 AND pos % 4 = 1) AS blank,
        count(*) FILTER (pos % 5 = 2) AS timed_words FROM cues GROUP BY media_id""",
