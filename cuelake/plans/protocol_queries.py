@@ -15,7 +15,7 @@ from cuelake.functions import text as T
 from cuelake.operators import cuebuild, project, protocol, qa, review, segments, transcript
 from cuelake.operators import attempts as attempts_
 from cuelake.operators import rounds as rounds_
-from cuelake.plans.queries import _CUES, _EVENTS, _THRESHOLD, _merge, _read, cues, cues_cs, frames, packets
+from cuelake.plans.queries import _CJK, _CUES, _EVENTS, _KEY, _NORMAL, _THRESHOLD, _merge, _read, cues, cues_cs, frames, packets
 from cuelake.plans.workflow_queries import matches, probes, sha, words
 from cuelake.sources import decoder
 
@@ -163,9 +163,16 @@ def guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def number_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order numbers as millions in English and in Chinese units of ten thousand, every tenth off by one."""
-    k = F.col("o_orderkey")
-    pairs = _read(spark, sf_dir, "orders").select("o_orderkey", F.concat(k.cast("string"), F.lit(" million")).alias("a"), F.concat((k * 100 + (k % 10 == 0).cast("int")).cast("string"), F.lit("万")).alias("b"))
+    """Order numbers said in two ways, one in eight forms; every tenth is off by one in the second."""
+    k, say = F.col("o_orderkey"), lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    n = k + (k % 10 == 0).cast("int")
+    han = F.translate(n.cast("string"), "0123456789", "零一二三四五六七八九")
+    forms = (
+        (say(k, " million"), say(k * 100 + (n - k), "万")), (say("about ", k, " percent of them"), say("约百分之", n)), (say("it was -", k, " degrees"), say("气温 -", n, "度")), (say(k, ".5 thousand"), say(n * 1000 + 500)),
+        (F.format_number(k * 1000 + 7, 0), say(n * 1000 + 7)), (say("rooms ", k, " and ", k + 3), say(n + 3, "和", k, "号房间")), (say("number ", k), say("第", han, "号")), (say(k, "% and one hundred and five"), say("105和", n, "%")),
+    )
+    pick = lambda side: F.element_at(F.array(*[f[side] for f in forms]), (k % len(forms) + 1).cast("int"))
+    pairs = _read(spark, sf_dir, "orders").select("o_orderkey", pick(0).alias("a"), pick(1).alias("b"))
     return pairs.select("o_orderkey", numbers.numbers_differ(numbers.quantities("a"), numbers.quantities("b")).alias("differ"))
 
 
@@ -394,6 +401,13 @@ def decoded_in_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.unionByName(out.failed.select("media_id", F.col("n_attempts").alias("attempt_no"), F.lit("").alias("language"), F.lit("").alias("decoding"), F.lit(False).alias("fallback_language"), F.lit(False).alias("fallback_decoding"), F.lit(0).cast("long").alias("n_cues"), "summary"))
 
 
+def context_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document forty times over as a context: which fit?"""
+    files = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("media_id"), F.repeat(F.coalesce("text", F.lit("")), F.lit(40)).alias("content"))
+    fits, over = decoder.contexts(files)
+    return fits.select("media_id", F.length("content").cast("long").alias("chars"), F.lit(True).alias("fits")).unionByName(over.select("media_id", F.lit(None).cast("long").alias("chars"), F.lit(False).alias("fits")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cues_from_words": built,
     "dedup_boundary": deduped,
@@ -429,12 +443,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rates_and_shares": rates,
     "packet_manifest": manifests,
     "asr_segments": lambda s, d: decoder.asr_tables(transcripts(s, d))[0],
+    "contexts": context_files,
     "asr_files": decoded_files,
     "media_probe": probed,
     "review_reports": reports_again,
     "decode_in_stages": decoded_in_stages,
 }
 
+_SPACE = r"[\s\x0b]"
+_BREAK = f"[{transcript.BREAKS}]"
+
+
+def _split(source: str) -> str:
+    """CTEs that cut the cues of source (media_id, pos, start_cs, end_cs, text) as split_long_cues() does, one piece of text a step, into sp; the names b0 to b4 are taken."""
+    cjk = _CJK.format("text")
+    return f"""
+b0 AS (SELECT *, length(text) AS chars, end_cs - start_cs AS dur, CASE WHEN {cjk} THEN {T.CJK_CHARS} ELSE {T.LATIN_CHARS} END AS lim FROM {source}),
+b1 AS (SELECT *, CAST(greatest(ceil(chars / lim), least(ceil(dur / {transcript.MAX_CS}), greatest(chars // 4, 1)), 1) AS BIGINT) AS parts FROM b0),
+b2 AS (SELECT *, CAST(greatest(least(ceil(chars / parts), lim), 1) AS BIGINT) AS size FROM b1),
+b3 AS (SELECT media_id, pos, text, size, CAST(0 AS BIGINT) AS here, '' AS piece, 0 AS step FROM b2 UNION ALL
+       SELECT media_id, pos, text, size, cut + length(regexp_extract(substr(text, cut + 1), '^{_SPACE}*')), regexp_replace(regexp_replace(substr(text, here + 1, cut - here), '^{_SPACE}+', ''), '{_SPACE}+$', ''), step + 1
+       FROM (SELECT *, CAST(reach - CASE WHEN here + size < length(text) AND reach > here + 1 AND regexp_matches(substr(text, reach + 1, 1), '{_BREAK}') THEN 1 ELSE 0 END AS BIGINT) AS cut
+             FROM (SELECT *, CASE WHEN here + size >= length(text) THEN length(text) WHEN length(tail) > 0 THEN here + size * 7 // 10 + length(tail) ELSE here + size END AS reach
+                   FROM (SELECT *, regexp_extract(substr(text, here + size * 7 // 10 + 1, size - size * 7 // 10), '^(?s:.*)[\\s{transcript.BREAKS}]') AS tail FROM b3 WHERE here < length(text))))),
+b4 AS (SELECT media_id, pos, piece, row_number() OVER k - 1 AS part, coalesce(sum(length(piece)) OVER (k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done, sum(length(piece)) OVER (PARTITION BY media_id, pos) AS total, count(*) OVER (PARTITION BY media_id, pos) AS n
+       FROM b3 WHERE step > 0 AND piece <> '' WINDOW k AS (PARTITION BY media_id, pos ORDER BY step)),
+b5 AS (SELECT b4.*, start_cs + dur * done // total AS s, CASE WHEN done + length(piece) = total THEN end_cs ELSE start_cs + dur * (done + length(piece)) // total END AS e, parts FROM b4 JOIN b2 ON b2.media_id = b4.media_id AND b2.pos = b4.pos),
+b6 AS (SELECT media_id, pos, parts > 1 AND n > 1 AND min(e - s) > 0 AS cut, n = 1 AS one, any_value(piece) AS piece FROM b5 GROUP BY media_id, pos, parts, n),
+sp AS (SELECT b2.media_id, b2.pos, 0 AS part, start_cs, end_cs, CASE WHEN one THEN piece ELSE text END AS text FROM b2 LEFT JOIN b6 ON b6.media_id = b2.media_id AND b6.pos = b2.pos WHERE NOT coalesce(cut, FALSE)
+       UNION ALL SELECT b5.media_id, b5.pos, part, s, e, b5.piece FROM b5 JOIN b6 ON b6.media_id = b5.media_id AND b6.pos = b5.pos WHERE cut)"""
+
+
 _PLAN = f"""{_THRESHOLD}, total AS (SELECT media_id, (max(frame_idx) + 1) * 20 AS n FROM f GROUP BY media_id),
 loud AS (SELECT f.media_id, frame_idx, frame_idx - row_number() OVER (PARTITION BY f.media_id ORDER BY frame_idx) AS run FROM f JOIN th ON f.media_id = th.media_id WHERE rms >= threshold),
 act AS (SELECT media_id, min(frame_idx) * 20 AS s, (max(frame_idx) + 1) * 20 AS e FROM loud GROUP BY media_id, run), {_merge("mrg", "act", 40)},
@@ -450,6 +489,26 @@ u AS (SELECT media_id, pos, 0 AS utterance, 1 AS k, n AS size, stop FROM c WHERE
 _BATCH3 = "b AS (SELECT *, pos // 3 AS batch_id FROM cues)"
 ORACLES: dict[str, str] = {
     "assemble_tokens": "SELECT doc_id AS media_id, text, CAST((octet_length(encode(text)) + 2) // 3 AS BIGINT) AS end_cs FROM documents WHERE text <> ''",
+    "split_long_cues": f"WITH RECURSIVE {_CUES}, {_split('cs')} SELECT media_id, pos, pos + 1 AS idx, CAST(part AS INTEGER) AS part, CAST(start_cs AS BIGINT) AS start_cs, CAST(end_cs AS BIGINT) AS end_cs, text FROM sp",
+    "optimize_cues": f"""
+WITH RECURSIVE {_CUES}, d AS (SELECT media_id, max(end_cs) - 70 AS d FROM cs GROUP BY media_id),
+n AS (SELECT cs.media_id, pos, least(greatest(start_cs, 0), d) AS s, least(greatest(end_cs, 0), d) AS e, d, {_NORMAL.format("text")} AS text FROM cs JOIN d ON cs.media_id = d.media_id),
+v AS (SELECT media_id, pos, s AS start_cs, CASE WHEN e <= s THEN least(s + 80, d) ELSE e END AS end_cs, text FROM n WHERE text <> '' AND s < d), x AS (SELECT * FROM v WHERE end_cs > start_cs), {_split("x")},
+p AS (SELECT sp.media_id, pos, part, text, start_cs AS s, least(greatest(end_cs + 20, start_cs + 80), d) AS e FROM sp JOIN d ON d.media_id = sp.media_id),
+c AS (SELECT *, least(e, coalesce(lead(s) OVER (PARTITION BY media_id ORDER BY s, e, pos), e)) AS cut FROM p)
+SELECT media_id, pos, CAST(row_number() OVER (PARTITION BY media_id ORDER BY s, cut, pos) AS INTEGER) AS idx, CAST(part AS INTEGER) AS part, CAST(s AS BIGINT) AS start_cs, CAST(cut AS BIGINT) AS end_cs, text FROM c WHERE cut > s""",
+    "dedup_boundary": f"""
+WITH RECURSIVE {_CUES}, n AS (SELECT media_id, max(end_cs) AS n FROM cs GROUP BY media_id),
+w AS (SELECT media_id, k AS chunk_id, k * 400 AS ws, least(k * 400 + 600, n) AS we FROM (SELECT media_id, n, unnest(range(0, CAST(ceil(greatest(n - 600, 0) / 400) AS BIGINT) + 1)) AS k FROM n)),
+r AS (SELECT cs.media_id, chunk_id, start_cs, end_cs, text, {_KEY.format("text")} AS key, ws, we, row_number() OVER (PARTITION BY cs.media_id ORDER BY chunk_id, pos) AS nth FROM cs JOIN w ON cs.media_id = w.media_id AND start_cs < we AND end_cs > ws),
+f AS (SELECT *, 1 AS idx FROM r WHERE nth = 1 UNION ALL
+      SELECT media_id, chunk_id, CASE WHEN same THEN least(start_cs, s) ELSE start_cs END, CASE WHEN same THEN greatest(end_cs, e) ELSE end_cs END, CASE WHEN same AND length(t) >= length(text) THEN t ELSE text END,
+             CASE WHEN same AND length(t) >= length(text) THEN k ELSE key END, ws, we, nth, idx + CASE WHEN same THEN 0 ELSE 1 END
+      FROM (SELECT r.*, f.idx, f.start_cs AS s, f.end_cs AS e, f.text AS t, f.key AS k, greatest(f.ws, r.ws) AS lo, least(f.we, r.we) AS hi,
+                   f.chunk_id <> r.chunk_id AND lo < hi AND r.start_cs < hi AND r.end_cs > lo AND f.start_cs < hi AND f.end_cs > lo AND r.key <> '' AND r.start_cs <= f.end_cs + 25
+                   AND (f.key = r.key OR length(f.key) >= 4 AND contains(r.key, f.key) OR length(r.key) >= 4 AND contains(f.key, r.key)) AS same
+            FROM f JOIN r ON r.media_id = f.media_id AND r.nth = f.nth + 1))
+SELECT media_id, CAST(idx AS BIGINT) AS idx, CAST(chunk_id AS INTEGER) AS chunk_id, start_cs, end_cs, text FROM f QUALIFY nth = max(nth) OVER (PARTITION BY media_id, idx)""",
     "plan_tables": f"""
 WITH {_PLAN}, pad AS (SELECT mrg.media_id, greatest(s - 30, 0) AS s, least(e + 30, n) AS e FROM mrg JOIN total ON mrg.media_id = total.media_id WHERE e - s >= 400), {_merge("reg", "pad", 0)},
 spans AS (SELECT 'speech' AS mode, media_id, s, e, 300 AS size FROM reg UNION ALL SELECT 'speech', media_id, 0, n, 500 FROM total WHERE media_id NOT IN (SELECT media_id FROM reg) UNION ALL SELECT 'fixed', media_id, 0, n, 500 FROM total),
@@ -550,6 +609,9 @@ e AS (SELECT k, t % 2 AS d, t // 2 % 2 AS e, sha256(string_agg(entry, '' ORDER B
 d AS (SELECT k, d, sha256(string_agg('e' || e || chr(0) || h, '' ORDER BY e)) AS h FROM e GROUP BY k, d),
 a AS (SELECT k, 'd' || d || chr(0) || h AS entry FROM d UNION ALL SELECT k, entry FROM f WHERE t < 2 UNION ALL SELECT DISTINCT k, 'preset.json' || chr(0) || '{"mark":["aé",true,null],"size":' || k || '}' FROM f)
 SELECT k AS bundle, CASE WHEN k % 7 <> 3 THEN sha256(string_agg(entry, '' ORDER BY entry)) END AS sha256 FROM a GROUP BY k""",
+    "contexts": """
+WITH c AS (SELECT doc_id AS media_id, 40 * length(coalesce(text, '')) AS chars, 40 * octet_length(encode(coalesce(text, ''))) AS bytes FROM documents)
+SELECT media_id, CASE WHEN chars <= 32000 AND bytes <= 65536 THEN chars END AS chars, chars <= 32000 AND bytes <= 65536 AS fits FROM c""",
     "asr_files": f"""
 WITH {_CUES}, c AS (SELECT media_id, count(*) FILTER (pos % 6 <> 5 AND trim(text) <> '') AS s, count(*) FILTER (pos % 6 <> 5) AS w FROM cues GROUP BY media_id),
 k AS (SELECT *, CASE WHEN media_id % 7 IN (1, 2) THEN 'json' WHEN media_id % 7 IN (3, 4) THEN 'fields' ELSE '' END AS reason FROM c)

@@ -81,7 +81,9 @@ def owned(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = c.groupBy("media_id").agg(F.lit(0).cast("long").alias("start"), F.max("end_cs").alias("end"))
     w = segments.split_windows(spans, 600, 200)
     w = w.withColumn("chunk_id", F.row_number().over(W.partitionBy("media_id").orderBy("start")) - 1)
-    seen = c.join(w, "media_id").where("start_cs < end AND end_cs > start").select("media_id", "chunk_id", "pos", "start_cs", "end_cs")
+    slots = F.sequence(F.floor((F.col("start_cs") - 600) / 400), F.floor(F.col("end_cs") / 400))  # of starts of windows that a cue may touch
+    seen = c.withColumn("slot", F.explode(slots)).join(w.withColumn("slot", F.floor(F.col("start") / 400)), ["media_id", "slot"])
+    seen = seen.where("start_cs < end AND end_cs > start").select("media_id", "chunk_id", "pos", "start_cs", "end_cs")
     return segments.own_cues(seen, w, 100)
 
 
