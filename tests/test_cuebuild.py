@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 from cuelake.operators import cuebuild
 
 
@@ -11,19 +15,38 @@ def built(spark, rows):
 
 
 def test_cjk_punctuation_ends_cues(spark):
-    got = built(spark, [(10, 80, "现在进入第二段，"), (80, 160, "这是后半句。"), (220, 300, "新的一句。")])
-    assert got == [(10, 160, "现在进入第二段，这是后半句。"), (220, 300, "新的一句。")]
+    got = built(spark, [(5, 75, "先看左边的图，"), (75, 165, "再看右边。"), (230, 320, "都看完了。")])
+    assert got == [(5, 165, "先看左边的图，再看右边。"), (230, 320, "都看完了。")]
 
 
 def test_latin_spacing_and_pause(spark):
-    assert built(spark, [(0, 50, " Hello"), (50, 100, " world"), (180, 240, " again"), (300, 300, "no length"), (300, 310, "")]) == [(0, 100, "Hello world"), (180, 240, "again")]
+    assert built(spark, [(0, 40, " Tea"), (40, 95, " for"), (95, 130, " two"), (190, 260, " please"), (300, 300, "no length"), (300, 310, "")]) == [(0, 130, "Tea for two"), (190, 260, "please")]
 
 
 def test_cjk_limit_keeps_marks_with_their_words(spark):
-    got = built(spark, [(i * 100, i * 100 + 100, "十三十四。" if i == 4 else "一二三四") for i in range(5)])
+    got = built(spark, [(i * 100, i * 100 + 100, "东南西北。" if i == 4 else "春夏秋冬") for i in range(5)])
     assert len(got) >= 2 and all(len(t) <= 18 and not t.startswith("。") for *_, t in got)
-    got = built(spark, [(0, 200, "一二三四五六七八九十一二三四五六"), (200, 250, "七八"), (250, 251, "。")])
-    assert [t for *_, t in got] == ["一二三四五六七八九十一二三四五六", "七八。"]
+    got = built(spark, [(0, 200, "山高月小水落石出江流有声断岸千尺"), (200, 250, "复游"), (250, 251, "。")])
+    assert [t for *_, t in got] == ["山高月小水落石出江流有声断岸千尺", "复游。"]
+
+
+def test_lengths_by_place_equal_slices():
+    rng = random.Random(3)
+    for _ in range(200):
+        texts = [rng.choice([" word", "  ", " two  words ", "。", " end.", "日本", "\n", " ,", "x"]) for _ in range(rng.randrange(1, 14))]
+        track = cuebuild._Track(list(range(len(texts))), list(range(1, len(texts) + 1)), texts, cuebuild.CuePolicy())
+        for first in range(len(texts)):
+            for last in range(first, len(texts)):
+                plain = re.sub(r"\s+", " ", "".join(texts[first : last + 1])).strip()
+                assert track.said(first, last) == plain and track.chars(first, last) == len(plain) and track.ends_marked(first, last) == plain.endswith(cuebuild.MARKS)
+
+
+def test_a_long_key_takes_one_pass():
+    n = 60_000
+    track = cuebuild._Track([30 * i for i in range(n)], [30 * i + 25 for i in range(n)], [" word." if i % 9 == 8 else " word" for i in range(n)], cuebuild.CuePolicy())
+    start = time.time()
+    found = list(track.cues())
+    assert time.time() - start < 10 and " ".join(t for *_, t in found) == " ".join(t.strip() for t in [" word." if i % 9 == 8 else " word" for i in range(n)])
 
 
 def test_no_words_no_cues(spark):

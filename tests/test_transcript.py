@@ -44,4 +44,4 @@ def test_audio_streams(spark):
     schema = "media_id string, audio array<struct<codec:string,sample_rate:int,channels:int>>"
     a = spark.createDataFrame([("x", [("aac", 48000, None)]), ("y", [("aac", 48000, 2)]), ("z", None)], schema)
     b = spark.createDataFrame([("x", [("aac", 48000, None)]), ("y", [("aac", 44100, 2)]), ("z", [("aac", 1, 1)])], schema)
-    assert {tuple(r) for r in transcript.audio_streams_equal(a, b).collect()} == {("x", True, True), ("y", True, False), ("z", False, False)}
+    assert {tuple(r) for r in transcript.audio_streams_equal(a, b).collect()} == {("x", 1, True, True), ("y", 1, True, False), ("z", 0, False, False)}
