@@ -24,10 +24,11 @@ def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for path in glob.glob(f"{SF}/*.parquet"):
         con.sql(f"create view {os.path.basename(path)[:-8]} as select * from '{path}'")
-    got, want = QUERIES[name](spark, SF).toPandas(), con.sql(ORACLES[name]).df()
-    columns = sorted(want.columns)
-    assert sorted(got.columns) == columns
-    assert sorted(map(repr, got[columns].astype(object).values.tolist())) == sorted(map(repr, want[columns].astype(object).values.tolist()))
+    got, found = QUERIES[name](spark, SF), con.execute(ORACLES[name])
+    names = [c[0] for c in found.description]
+    assert sorted(got.columns) == sorted(names)
+    # Rows as both give them: data frames would turn whole numbers beside nulls into fractions.
+    assert sorted(repr(tuple(r)) for r in got.select(*names).collect()) == sorted(map(repr, found.fetchall()))
 
 
 def edits(a, b):
