@@ -53,7 +53,8 @@ def stream(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[lis
     head = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     n = len(keys)
     rows = df.select(*keys, *values)
-    arrow = rows.limit(0).select(*keys).toArrow().schema
+    typed = lambda schema: df.sparkSession.createDataFrame([], schema).toArrow().schema
+    arrow = typed(rows.select(*keys).schema)
 
     def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[] for _ in range(n + len(values))]
@@ -89,8 +90,7 @@ def stream(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[lis
         if held[0]:
             yield made(held, True)
 
-    empty = df.sparkSession.createDataFrame([], schema).toArrow().schema
-    names, types = empty.names, empty.types
+    names, types = typed(schema).names, typed(schema).types
     return rows.repartition(*keys).sortWithinPartitions(*sort).mapInArrow(passes, f"{head}, {schema}")
 
 

@@ -83,3 +83,21 @@ def test_silent_media_take_fixed_windows(spark):
     windows, plans = cuebuild.plan_windows(frames, media, frame=20, silence=40, min_speech=40, pad=30, size=150, overlap=20)
     assert {(r.media_id, r.strategy, r.regions, r.coverage) for r in plans.collect()} == {("a", "speech", 1, 0.25), ("b", "fixed-fallback", 0, 0.0)}
     assert sorted((r.media_id, r.chunk_id, r.start, r.end) for r in windows.collect()) == [("a", 0, 170, 320), ("a", 1, 300, 430), ("b", 0, 0, 100)]
+
+
+def test_fixed_mode_looks_at_no_frames(spark):
+    frames = spark.createDataFrame([("a", i, 0.5) for i in range(40)], "media_id string, frame_idx long, rms float")
+    media = spark.createDataFrame([("a", 800), ("b", 0)], "media_id string, n_samples long")
+    windows, plans = cuebuild.plan_windows(frames, media, frame=20, silence=40, min_speech=40, pad=30, size=150, overlap=20, mode="fixed", chunk=500)
+    assert {tuple(r) for r in plans.collect()} == {("a", "fixed", 0, None, 0.0), ("b", "fixed", 0, None, 0.0)}
+    assert sorted((r.chunk_id, r.start, r.end) for r in windows.collect()) == [(0, 0, 500), (1, 480, 800)]
+
+
+def test_windows_choose_words_only_where_they_spell_the_segments(spark):
+    schema = "media_id string, chunk_id int, idx int, text string"
+    words_ = spark.createDataFrame([("a", 0, 0, "w"), ("a", 1, 0, "w"), ("b", 0, 0, "w")], schema)
+    segments_ = spark.createDataFrame([(m, c, 0, "s") for m, c in (("a", 0), ("a", 1), ("a", 2), ("b", 0), ("c", 0))], schema)
+    matched = spark.createDataFrame([("a", 0, True), ("a", 1, False), ("a", 2, True), ("b", 0, True), ("c", 0, True)], "media_id string, chunk_id int, matched boolean")
+    cues, timing = cuebuild.choose_cues(words_, segments_, matched)
+    assert sorted((r.media_id, r.chunk_id, r.text) for r in cues.collect()) == [("a", 0, "w"), ("a", 1, "s"), ("a", 2, "s"), ("b", 0, "w"), ("c", 0, "s")]
+    assert {tuple(r) for r in timing.collect()} == {("a", "mixed", 3, 1), ("b", "word", 1, 1), ("c", "segment-fallback", 1, 0)}

@@ -200,3 +200,13 @@ def test_requests_say_what_is_known(spark):
     assert [u["context_only"] for u in got["b"]["utterances"]] == [True, False]
     plain = protocol.build_requests(batches, cues, None, protocol.no_issues(cues), stage="generate", task="transcription").collect()
     assert all(json.loads(r.request)["cues"][0]["draft"] is None and json.loads(r.request)["context"] is None for r in plain)
+
+
+def test_the_queue_as_files(spark, tmp_path):
+    states = spark.createDataFrame([("p", "accepted"), ("q", "translation_stale")], "project string, state string")
+    issues = spark.createDataFrame([("p", 1, 2, "other", 'say "x"'), ("p", 0, 5, "readability", "long")], "project string, part int, seq int, kind string, message string")
+    notes = spark.createDataFrame([("p", 1, "seen")], "project string, at int, note string")
+    project.write_queue(project.review_queue(states, issues, notes), str(tmp_path / "queue"))
+    got = {r.media_id.rsplit("project=", 1)[1][0]: json.loads(r.content) for r in decoder.whole_files(spark, str(tmp_path / "queue" / "*" / "*.txt")).collect()}
+    assert got["p"] == {"state": "accepted", "next_action": "render", "issues": ["readability: long", 'other: say "x"'], "note": "seen"}
+    assert got["q"] == {"state": "translation_stale", "next_action": "resume", "issues": [], "note": None}
