@@ -5,7 +5,7 @@ goes to a softmax over the languages. The net is trained in numpy (Adam) on wind
 language at most TRAIN_ROWS shared out evenly (what small languages leave goes to the others; one row at least): its first by a hash of the id. A text's probabilities are the mean over all its windows, weighted by their bytes.
 
 Null texts and texts without a letter are ``und`` with score 0, as is everything if no labelled text was given.
-Extra columns are ignored.
+Extra columns pass through, whatever their names; lang_pred and score replace columns of these names.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuelake.llm.common import free_names
+
 WINDOW, EMBED, WIDTHS, FILTERS, TRAIN_ROWS, EPOCHS, BATCH, RATE = 256, 6, (2, 3, 4), 12, 3_000, 6, 32, 0.01
 UNKNOWN = "und"
 
@@ -121,7 +123,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang:
 
 
 def predict(docs: DataFrame, net: Net | None, *, text: str = "text") -> DataFrame:
-    """docs, without the text, and lang_pred and score."""
+    """docs, without the text, and lang_pred and score, which replace columns of these names; all others stay, whatever their names."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def languages(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -143,5 +145,6 @@ def predict(docs: DataFrame, net: Net | None, *, text: str = "text") -> DataFram
             yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
     udf = F.pandas_udf(languages, "lang_pred string, score double")
-    out = docs.withColumn("_p", udf(F.col(text)))
-    return out.withColumns({"lang_pred": F.col("_p.lang_pred"), "score": F.col("_p.score")}).drop("_p", text)
+    (p,) = free_names(docs, "p")
+    out = docs.withColumn(p, udf(F.col(text)))
+    return out.withColumns({"lang_pred": F.col(p)["lang_pred"], "score": F.col(p)["score"]}).drop(p, text)

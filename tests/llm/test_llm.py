@@ -316,3 +316,9 @@ def test_pages_are_read_in_one_pass():
     deep = "<div>" * 100_000 + "</i>" * 100_000 + story
     start = time.time()
     assert pages.blocks(deep)[-1][1] == 60 and time.time() - start < 20
+
+
+def test_language_clashing_columns(spark):
+    docs = table(spark, [(1, "some words", "en", None), (2, None, "en", None)]).withColumns({"_p": F.lit(3), "score": F.lit("x")})
+    got = {r.doc_id: (r.lang_pred, r.score, r._p) for r in language.predict(docs, None).collect()}
+    assert got == {1: ("und", 0.0, 3), 2: ("und", 0.0, 3)}
