@@ -48,17 +48,27 @@ def clamp_segments(segments: DataFrame) -> DataFrame:
 def words_match_segments(words: DataFrame, segments: DataFrame) -> DataFrame:
     """(media_id, chunk_id, matched): do the words of a chunk spell its segments' texts, in order, with nothing left over?"""
     key = ["media_id", "chunk_id"]
-    in_order = lambda by, value: F.transform(F.array_sort(F.collect_list(F.struct(by, value))), lambda x: x[value])
-    said = words.groupBy(*key).agg(T.transcript_key(F.array_join(in_order("word_idx", "text"), "")).alias("said"))
-    parts = segments.groupBy(*key).agg(in_order("seg_idx", "text").alias("parts"))
+    gathered = lambda df, by, name: df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(by, "text"))).alias(name))
+    said = gathered(words, "word_idx", "words").select(*key, _said("words").alias("said"))
+    return said.join(gathered(segments, "seg_idx", "segments"), key, "full").select(*key, _spelled(F.col("said"), "segments").alias("matched"))
 
+
+def windows_match_segments(windows: DataFrame) -> DataFrame:
+    """As words_match_segments for windows (media_id, chunk_id, words, segments) that hold both as arrays in order: nothing is shuffled."""
+    return windows.select("media_id", "chunk_id", _spelled(F.when(F.size("words") > 0, _said("words")), "segments").alias("matched"))
+
+
+def _said(words: str) -> Column:
+    return T.transcript_key(F.array_join(F.transform(words, lambda x: x["text"]), ""))
+
+
+def _spelled(said: Column, segments: str) -> Column:
     def walk(rest: Column, part: Column) -> Column:
-        k, rest = T.transcript_key(part), F.ltrim(rest)
-        return F.when(F.startswith(rest, k), F.substring(rest, F.length(k) + 1, F.length(rest)))  # null from the first miss on
+        after = lambda x: F.when(F.startswith(x["rest"], x["k"]), F.substring(x["rest"], F.length(x["k"]) + 1, F.length(x["rest"])))  # noqa: E731  null from the first miss on
+        return T.let(F.struct(F.ltrim(rest).alias("rest"), T.transcript_key(part["text"]).alias("k")), after)
 
-    left = F.aggregate("parts", F.col("said"), walk)
-    both = said.join(parts, key, "full")
-    return both.select(*key, F.coalesce(F.trim(left) == "", F.lit(False)).alias("matched"))
+    left = F.aggregate(F.when(F.size(segments) > 0, F.col(segments)), said, walk)
+    return F.coalesce(F.trim(left) == "", F.lit(False))
 
 
 def choose_timing(matches: DataFrame) -> DataFrame:
