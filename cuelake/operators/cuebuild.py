@@ -8,8 +8,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -110,12 +113,26 @@ def cues_from_words(words: DataFrame, policy: CuePolicy | None = None, keys: tup
     """(keys, idx from 1, start_cs, end_cs, text): the words of each key, in order of word_idx, as readable cues."""
     limits = policy or CuePolicy()
     kept = transcript.valid_words(words).select(*keys, "word_idx", "start_cs", "end_cs", "text")
+    return scan.stream(kept, list(keys), ["word_idx"], lambda cols: _built(*cols[1:], limits), CUES)
 
-    def build(cols: list[list]) -> list[tuple]:
-        _, starts, ends, texts = cols
-        return [(i, *cue) for i, cue in enumerate(_Track(starts, ends, texts, limits).cues(), 1)]
 
-    return scan.stream(kept, list(keys), ["word_idx"], build, "idx long, start_cs long, end_cs long, text string")
+def cues_from_windows(windows: DataFrame, policy: CuePolicy | None = None, keys: tuple[str, ...] = ("media_id", "chunk_id")) -> DataFrame:
+    """As cues_from_words for windows that hold their ``words`` as an array in order: nothing is shuffled or sorted."""
+    limits = policy or CuePolicy()
+    kept = windows.select(*keys, F.filter("words", lambda w: (w["end_cs"] > w["start_cs"]) & (w["text"] != "")).alias("words"))
+    kept = kept.select(*keys, *[_each("words", c) for c in ("start_cs", "end_cs", "text")])
+    return scan.each(kept, list(keys), lambda cols: _built(*cols, limits), CUES)
+
+
+CUES = "idx long, start_cs long, end_cs long, text string"
+
+
+def _each(items: str, field: str) -> Column:
+    return F.transform(items, lambda x: x[field]).alias(field)
+
+
+def _built(starts: list[int], ends: list[int], texts: list[str], policy: CuePolicy) -> list[tuple]:
+    return [(i, *cue) for i, cue in enumerate(_Track(starts, ends, texts, policy).cues(), 1)]
 
 
 def assemble_tokens(tokens: DataFrame) -> DataFrame:
@@ -124,30 +141,84 @@ def assemble_tokens(tokens: DataFrame) -> DataFrame:
     A tail that stays incomplete is dropped, as are bytes that can't become text.
     """
     keys = ["media_id", "chunk_id", "seg_idx"]
+    item = F.struct("tok_idx", "bytes", *[F.col(c).cast("long").alias(c) for c in ("start_cs", "end_cs")])
+    segments_ = tokens.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("tokens"))
+    return assemble_segments(segments_).select(*keys, F.inline("words"))
 
-    def gather(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, out, held, start, end = rows.sort_values("tok_idx"), [], b"", None, None
-        for piece, s, e in zip(rows.bytes, rows.start_cs, rows.end_cs, strict=True):
-            held += bytes(piece)
-            start, end = (s, e) if start is None else (start, max(end, e))
-            try:
-                text = held.decode()
-            except UnicodeDecodeError as bad:
-                if bad.reason == "unexpected end of data":
-                    continue
-                text = ""
-            if text:
-                out.append((start, end, text))
-            held, start = b"", None
-        made = pd.DataFrame(out, columns=["start_cs", "end_cs", "text"])
-        made.insert(0, "word_idx", range(len(made)))
-        for k in reversed(keys):
-            made.insert(0, k, rows[k].iloc[0])
-        return made
-
-    types = dict(tokens.dtypes)
-    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "word_idx long, start_cs long, end_cs long, text string"])
-    return tokens.select(*keys, "tok_idx", "bytes", "start_cs", "end_cs").groupBy(*keys).applyInPandas(gather, schema)
+
+def assemble_segments(segments: DataFrame, keys: tuple[str, ...] = ("media_id", "chunk_id", "seg_idx")) -> DataFrame:
+    """(keys, words) of segments (keys, tokens) that hold their tokens (bytes, start_cs, end_cs as long) as an array in order, words (word_idx, start_cs, end_cs, text) likewise.
+
+    Segments without a word have an empty array. Nothing is shuffled, and whole batches are gathered at once; only segments that are no sound text are walked through.
+    """
+    rows = segments.select(*keys, *[_each("tokens", c) for c in ("bytes", "start_cs", "end_cs")])
+    head = ", ".join(f"{k} {kind}" for k, kind in rows.select(*keys).dtypes)
+    return rows.mapInArrow(partial(_assembled, n_keys=len(keys)), f"{head}, words {WORDS}")
+
+
+WORDS = "array<struct<word_idx: bigint, start_cs: bigint, end_cs: bigint, text: string>>"
+_WORD = {"word_idx": pa.int64(), "start_cs": pa.int64(), "end_cs": pa.int64(), "text": pa.string()}
+
+
+def _assembled(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, names = batch.columns[:n_keys], batch.schema.names[:n_keys]
+        lists = batch.columns[n_keys:]
+        counts = np.asarray(lists[0].value_lengths().fill_null(0), np.int64)
+        pieces, starts, ends = (x.flatten() for x in lists)
+        firsts = np.concatenate([[0], np.cumsum(counts)])  # of tokens
+        sizes = np.asarray(pc.fill_null(pc.binary_length(pieces), 0), np.int64)
+        at = np.concatenate([[0], np.cumsum(sizes)])  # of bytes
+        raw = b"".join(pieces.drop_null().to_pylist())
+        starts, ends = np.asarray(starts, np.int64), np.asarray(ends, np.int64)
+        sound = np.array([_is_text(raw[at[lo] : at[hi]]) for lo, hi in zip(firsts, firsts[1:], strict=False)], bool)
+        # A token ends a word if no character goes on after it, or if its segment ends.
+        goes_on = np.append((np.frombuffer(raw, np.uint8) & 0xC0) == 0x80, False)
+        stop = ~goes_on[at[1:]]
+        stop[firsts[1:][counts > 0] - 1] = True
+        stop &= np.repeat(sound, counts)
+        lasts = np.flatnonzero(stop)
+        first = np.flatnonzero(np.repeat(sound, counts) & np.append(True, stop[:-1] | ~np.repeat(sound, counts)[:-1])[: len(stop)])
+        latest = np.maximum.reduceat(np.where(np.repeat(sound, counts), ends, np.iinfo(np.int64).min), first) if len(first) else ends[:0]
+        own = np.repeat(np.arange(len(counts)), counts)[lasts]
+        full = at[lasts + 1] > at[first]  # tokens without bytes are no word
+        own, first, lasts, latest = own[full], first[full], lasts[full], latest[full]
+        n = np.bincount(own, minlength=len(counts))
+        before = np.concatenate([[0], np.cumsum(n)])
+        texts = [raw[lo:hi] for lo, hi in zip(at[first].tolist(), at[lasts + 1].tolist(), strict=True)]
+        columns = [pa.array(np.arange(len(own)) - before[own]), pa.array(starts[first]), pa.array(latest), pa.array(texts, pa.binary()).cast(pa.string())]
+        words = pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.StructArray.from_arrays(columns, list(_WORD)))
+        good = pa.array(sound)
+        yield pa.RecordBatch.from_arrays([*[k.filter(good) for k in keys], words.filter(good)], names=[*names, "words"])
+        odd = np.flatnonzero(~sound).tolist()
+        if odd:
+            walked = [_walked(*(x[firsts[i] : firsts[i + 1]] for x in (pieces.to_pylist(), starts.tolist(), ends.tolist()))) for i in odd]
+            yield pa.RecordBatch.from_arrays([*[k.take(pa.array(odd)) for k in keys], pa.array(walked, words.type)], names=[*names, "words"])
+
+
+def _is_text(raw: bytes) -> bool:
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def _walked(pieces: list[bytes], starts: list[int], ends: list[int]) -> list[dict]:
+    out, held, start, end = [], b"", None, None
+    for piece, s, e in zip(pieces, starts, ends, strict=True):
+        held += piece
+        start, end = (s, e) if start is None else (start, max(end, e))
+        try:
+            text = held.decode()
+        except UnicodeDecodeError as bad:
+            if bad.reason == "unexpected end of data":
+                continue
+            text = ""
+        if text:
+            out.append({"word_idx": len(out), "start_cs": start, "end_cs": end, "text": text})
+        held, start = b"", None
+    return out
 
 
 def dedup_boundary(cues: DataFrame, windows: DataFrame, rate: int) -> DataFrame:

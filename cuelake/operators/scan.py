@@ -94,6 +94,29 @@ def stream(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[lis
     return rows.repartition(*keys).sortWithinPartitions(*sort).mapInArrow(passes, f"{head}, {schema}")
 
 
+def each(df: DataFrame, keys: list[str], fold: Callable[[list[list]], list[tuple]], schema: str) -> DataFrame:
+    """As stream() where a row holds all of its key: its other columns are arrays, in order."""
+    head = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    n = len(keys)
+    rows = df.select(*keys, *[c for c in df.columns if c not in keys])
+    typed = df.sparkSession.createDataFrame([], schema).toArrow().schema
+
+    def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.columns[n:]
+            ends = np.cumsum(lists[0].value_lengths().fill_null(0)).tolist() if lists else []
+            flat, found, owners = [x.flatten().to_pylist() for x in lists], [], []
+            for i, (lo, hi) in enumerate(zip([0, *ends], ends, strict=False)):
+                made = fold([x[lo:hi] for x in flat]) if hi > lo else []
+                found += made
+                owners += [i] * len(made)
+            columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [()] * len(typed), typed.types, strict=True)]
+            owned = [c.take(pa.array(owners, pa.int64())) for c in batch.columns[:n]]
+            yield pa.RecordBatch.from_arrays([*owned, *columns], names=[*keys, *typed.names])
+
+    return rows.mapInArrow(passes, f"{head}, {schema}")
+
+
 def _next_starts(size: np.ndarray, forced: np.ndarray, most: int, room: int) -> np.ndarray:
     """Where the next piece begins if one begins at each row: limits of rows and of size, or a forced start."""
     n = len(size)

@@ -14,3 +14,37 @@ def test_probe_of_a_part_whose_frame_count_holds_the_height(spark, tmp_path):
     con.sql(f"create view part as select * from '{path}'")
     want = {(r.media_id, r.reason) for r in con.sql(protocol_queries.ORACLES["media_probe"]).df().itertuples()}
     assert got == want == {(36016, "fields"), (36934, "fields"), (7, "fields"), (8, "")}
+
+
+def test_windows_shuffle_nothing_and_equal_rows(spark):
+    """Words, segments and tokens that come as arrays give what their rows give, without an exchange."""
+    from pyspark.sql import functions as F
+
+    from cuelake.operators import cuebuild, transcript
+
+    words = [(m, c, i, 30 * i, 30 * i + (25 if i % 4 else 0), t) for m, c, said in ((1, 0, " One two. three"), (1, 1, " four 今天"), (2, 0, "")) for i, t in enumerate(said.split("_") if m == 2 else [f" {x}" for x in said.split()])]
+    w = spark.createDataFrame(words, "media_id long, chunk_id long, word_idx long, start_cs long, end_cs long, text string")
+    s = spark.createDataFrame([(1, 0, 0, "one"), (1, 0, 1, "two three"), (1, 1, 0, "four x"), (3, 0, 0, "five")], "media_id long, chunk_id long, seg_idx long, text string")
+    key = ["media_id", "chunk_id"]
+    gather = lambda df, name, *c: df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*c))).alias(name))
+    table = gather(w, "words", "word_idx", "start_cs", "end_cs", "text").join(gather(s, "segments", "seg_idx", "text"), key, "full")
+    windows = spark.createDataFrame(table.collect(), table.schema)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for by_row, by_window in ((transcript.words_match_segments(w, s), transcript.windows_match_segments(windows)), (cuebuild.cues_from_words(w), cuebuild.cues_from_windows(windows))):
+        assert rows(by_row) == rows(by_window) != []
+        assert "Exchange" not in plan(by_window)
+
+
+def test_batches_of_tokens_equal_the_walk(spark):
+    """Sound and broken texts, empty tokens and open tails side by side."""
+    from cuelake.operators import cuebuild
+
+    raw = ["今天 we 🎉 go".encode(), b"ab\xff\xe4\xbb\x8acd", "é今".encode()[:-1], b"", b"abc"]
+    cut = {i: [r[k : k + 2] for k in range(0, len(r), 2)] + ([b""] if i % 2 else []) for i, r in enumerate(raw)}
+    cut[5] = [b"", b"a", b"", b"\xc3", b"", b"\xa9"]
+    tokens = [(i, [{"bytes": b, "start_cs": 2 * k, "end_cs": 40 - k} for k, b in enumerate(p)]) for i, p in cut.items()]
+    got = cuebuild.assemble_segments(spark.createDataFrame(tokens, "media_id long, tokens array<struct<bytes: binary, start_cs: bigint, end_cs: bigint>>").coalesce(1), ("media_id",)).collect()
+    want = {i: cuebuild._walked([t["bytes"] for t in p], [t["start_cs"] for t in p], [t["end_cs"] for t in p]) for i, p in tokens}
+    assert {r.media_id: [x.asDict() for x in r.words] for r in got} == want
+    assert [x["text"] for x in want[5]] == ["a", "é"]
