@@ -129,13 +129,25 @@ def _pairs(source: DataFrame, draft: DataFrame) -> DataFrame:
     return both.withColumns({"q_was": numbers.quantities("was"), "q_now": numbers.quantities("now")})
 
 
-def guard_edits(source: DataFrame, draft: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(draft, issues): transcription edits that add lines, rewrite a cue or change a number are taken back and reported."""
+def judge_edits(source: DataFrame, draft: DataFrame) -> DataFrame:
+    """draft with the source's text where the edit is ``unsafe``: it adds lines, rewrites the cue or changes a number. Each edit is judged once."""
+    was = source.select("media_id", "cue_id", F.col("text").alias("was"), F.lit(True).alias("known"))
+    both = draft.withColumn("now", F.col("text")).join(was, ["media_id", "cue_id"], "left")
+    both = both.withColumns({"q_was": numbers.quantities("was"), "q_now": numbers.quantities("now")})
     lines = lambda c: F.size(F.split(c, "\n"))
     unsafe = (lines("now") > lines("was")) | T.is_wholesale_rewrite(F.col("was"), F.col("now")) | numbers.numbers_differ(F.col("q_was"), F.col("q_now"))
-    judged = _pairs(source, draft).select("media_id", "cue_id", "was", F.coalesce(unsafe, F.lit(False)).alias("unsafe"))
-    kept = draft.join(judged, ["media_id", "cue_id"], "left").withColumn("text", F.when(F.col("unsafe"), F.col("was")).otherwise(F.col("text"))).select(*draft.columns)
-    return kept, judged.where("unsafe").select("media_id", "cue_id", F.lit("unsafe_edit").alias("kind"), F.lit("the edit was taken back").alias("message"))
+    judged = both.withColumn("unsafe", F.coalesce(F.col("known") & unsafe, F.lit(False)))
+    return judged.withColumn("text", F.when(F.col("unsafe"), F.col("was")).otherwise(F.col("text"))).select(*draft.columns, "unsafe")
+
+
+def unsafe_edits(judged: DataFrame) -> DataFrame:
+    return judged.where("unsafe").select("media_id", "cue_id", F.lit("unsafe_edit").alias("kind"), F.lit("the edit was taken back").alias("message"))
+
+
+def guard_edits(source: DataFrame, draft: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(draft, issues): transcription edits that add lines, rewrite a cue or change a number are taken back and reported."""
+    judged = judge_edits(source, draft)
+    return judged.select(*draft.columns), unsafe_edits(judged)
 
 
 def number_issues(source: DataFrame, draft: DataFrame) -> DataFrame:

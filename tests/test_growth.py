@@ -48,3 +48,29 @@ def test_batches_of_tokens_equal_the_walk(spark):
     want = {i: cuebuild._walked([t["bytes"] for t in p], [t["start_cs"] for t in p], [t["end_cs"] for t in p]) for i, p in tokens}
     assert {r.media_id: [x.asDict() for x in r.words] for r in got} == want
     assert [x["text"] for x in want[5]] == ["a", "é"]
+
+
+def test_edits_are_judged_once(spark):
+    """A draft's edit runs through one join and one pass of quantities; cues without a source stay as they are."""
+    from cuelake.operators import protocol
+
+    make = lambda rows: spark.createDataFrame(rows, "media_id long, cue_id long, text string")
+    judged = protocol.judge_edits(make([(1, 1, "it is 5"), (1, 2, "it is 5"), (1, 3, None)]), make([(1, 1, "it is 6"), (1, 2, "it was 5"), (1, 3, None), (1, 4, "new 7")]))
+    assert sorted((r.cue_id, r.text, r.unsafe) for r in judged.collect()) == [(1, "it is 5", True), (2, "it was 5", False), (3, None, False), (4, "new 7", False)]
+    assert judged._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_places_that_cannot_begin_a_quantity_are_not_tried():
+    """A long text of other letters takes one search, not a match at every letter."""
+    import time
+
+    from cuelake.functions import numbers
+
+    text = "another lantern stands near the northern sea " * 20_000 + "one hundred and five"
+    start = time.process_time()
+    assert list(numbers.quantities_of(text)) == [(105.0, False)]
+    took = time.process_time() - start
+    start = time.process_time()
+    for at in range(len(text)):
+        numbers.RUN.match(text, at), numbers._english(text, at)
+    assert took < (time.process_time() - start) / 2
