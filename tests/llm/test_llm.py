@@ -222,6 +222,15 @@ def test_lines_recall_by_length(spark):
     assert all(found[n_words, typos] >= least for n_words, typos, least in classes), found
 
 
+def test_lines_keys_that_no_other_line_has_are_never_written(spark, monkeypatch):
+    rng, rows = random.Random(3), []
+    docs = [(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(20)), "en", None) for i in range(40)]
+    cut = Work.cut
+    monkeypatch.setattr(Work, "cut", lambda work, df: rows.append((out := cut(work, df)).count()) or out)
+    assert lines.dedup_lines(Work(spark, "t"), table(spark, docs)).agg(F.sum("n_gone")).first()[0] == 0
+    assert max(rows) == 40  # 48 keys a line
+
+
 def test_lines_clashing_columns_and_empty_table(spark):
     docs = table(spark, [(1, "a b c d e f", "en", None), (2, "a b c d e f\nx", "en", None)]).withColumns({"_gone": F.lit(1), "_gone_doc": F.lit(2), "n_lines": F.lit("x")})
     got = {r.doc_id: (r.text, r.n_lines, r.n_gone, r._gone, r._gone_doc) for r in lines.dedup_lines(Work(spark, "t"), docs).collect()}
