@@ -157,6 +157,8 @@ def number_issues(source: DataFrame, draft: DataFrame) -> DataFrame:
 
 
 Ask = Callable[[DataFrame, DataFrame | None, DataFrame], tuple[DataFrame, DataFrame]]
+#: Writes a table under a name and gives it read again.
+Keep = Callable[[str, DataFrame], DataFrame]
 
 
 def no_issues(cues: DataFrame) -> DataFrame:
@@ -164,35 +166,36 @@ def no_issues(cues: DataFrame) -> DataFrame:
     return cues.limit(0).select("media_id", "cue_id", F.lit("").alias("kind"), F.lit("").alias("message"))
 
 
-def review_tracks(source: DataFrame, ask: Ask, *, edits: bool) -> tuple[DataFrame, DataFrame]:
+def review_tracks(source: DataFrame, ask: Ask, *, edits: bool, keep: Keep = lambda name, df: df) -> tuple[DataFrame, DataFrame]:
     """(final, issues) of two passes. ask(source, draft, known) gives the model's texts (media_id, cue_id, text) and issues (media_id, cue_id, kind, message).
 
     In the first pass there is no draft and nothing known; the second sees the draft and all issues of the first. What ask gives should be written tables, as models
     are not deterministic. edits: the task corrects a transcript, so that unsafe edits are taken back; translations are only checked for their numbers.
+    keep: each pass reads the track and the issues of the one before many times, so large ones should be written; the default leaves them to be computed each time.
     """
     columns = ("media_id", "cue_id", "kind", "message")
     message = F.lit("shown for less than 800 ms").alias("message")
 
-    def guarded(texts: DataFrame, found: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def guarded(name: str, texts: DataFrame, found: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame]:
         track, found = review.apply_responses(base, texts), found.select(*columns)
-        if edits:
-            track, unsafe = guard_edits(source, track)
-            found = found.unionByName(unsafe)
-        return track, found
-
-    draft, found = guarded(*ask(source, None, no_issues(source)), source)
-    found = found.unionByName(number_issues(source, draft))
-    final, issues = guarded(*ask(source, draft, found), draft)
+        if not edits:
+            return keep(name, track), found
+        judged = keep(name, judge_edits(source, track))
+        return judged.select(*track.columns), found.unionByName(unsafe_edits(judged))
+
+    draft, found = guarded("drafted", *ask(source, None, no_issues(source)), source)
+    found = keep("found", found.unionByName(number_issues(source, draft)))
+    final, issues = guarded("verified", *ask(source, draft, found), draft)
     issues = issues.unionByName(review.carry_issues(found, draft, final)).unionByName(number_issues(source, final))
     issues = issues.unionByName(qa.short_cue_issues(final).select("media_id", "cue_id", "kind", message))
     return final, review.dedup_issues(issues)
 
 
-def clean_cues(cues: DataFrame, ask: Ask, language: Column) -> tuple[DataFrame, DataFrame]:
+def clean_cues(cues: DataFrame, ask: Ask, language: Column, keep: Keep = lambda name, df: df) -> tuple[DataFrame, DataFrame]:
     """(cues, issues): cues timed in hundredths of a second with reviewed texts, all else as it was; ask also gets the ``context`` that names the language."""
     context = F.concat(F.lit("Transcript language: "), language)
     source = cues.select("media_id", "pos", "cue_id", (F.col("start_cs") * 10).alias("start_ms"), (F.col("end_cs") * 10).alias("end_ms"), "text", context.alias("context"))
-    final, issues = review_tracks(source, ask, edits=True)
+    final, issues = review_tracks(source, ask, edits=True, keep=keep)
     return cues.drop("text").join(final.select("media_id", "pos", "text"), ["media_id", "pos"]).select(*cues.columns), issues
 
 

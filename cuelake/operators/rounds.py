@@ -36,6 +36,9 @@ class Store:
             make().write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        return self.once(name, lambda: df)
+
     def holds(self, name: str) -> bool:
         mark = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/_SUCCESS")
         return mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(mark)
@@ -123,7 +126,7 @@ def run_review(store: Store, source: DataFrame, ask: Callable[[DataFrame], DataF
         passes.append(one_pass(store, name, left, shown, told, who, task=task, target=target, context=context, wave=wave))
         return passes[-1].texts, passes[-1].issues
 
-    final, issues = protocol.review_tracks(source, both, edits=task == "transcription")
+    final, issues = protocol.review_tracks(source, both, edits=task == "transcription", keep=store.keep)
     final, issues = store.once("final", lambda: final), store.once("issues", lambda: issues)
     errors = passes[0].errors.unionByName(passes[1].errors)
     made = lambda p, name: p.requests.withColumnRenamed("n", name)

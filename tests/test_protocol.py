@@ -3,7 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from cuelake.operators import project, protocol, qa, review
+from cuelake.operators import project, protocol, qa, review, rounds
 from cuelake.sources import decoder, files, srt
 
 
@@ -189,6 +189,22 @@ def test_what_the_model_reports_is_kept(spark):
     assert [r.text for r in final.orderBy("pos").collect()] == ["one", "Two", "three"]
 
 
+def test_each_pass_is_judged_once_and_read_from_its_table(spark, tmp_path):
+    source = spark.createDataFrame([("m", i, i, 2000 * i, 2000 * i + 1000, t) for i, t in enumerate(["one", "two", "three"])], "media_id string, pos int, cue_id int, start_ms long, end_ms long, text string")
+    store = rounds.Store(spark, str(tmp_path))
+
+    def ask(base, draft, known):
+        track = base if draft is None else draft
+        text = F.when(F.col("cue_id") == 1, F.concat("text", F.lit(" 42"))).otherwise(F.upper("text"))
+        return track.select("media_id", "cue_id", text.alias("text")), protocol.no_issues(base)
+
+    final, issues = protocol.review_tracks(source, ask, edits=True, keep=store.keep)
+    assert [(r.cue_id, r.text) for r in final.orderBy("pos").collect()] == [(0, "ONE"), (1, "two"), (2, "THREE")]
+    assert [(r.cue_id, r.kind) for r in issues.collect()] == [(1, "unsafe_edit")]
+    plan = final._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and all(store.holds(name) for name in ("drafted", "found", "verified"))
+
+
 def test_requests_say_what_is_known(spark):
     cues = spark.createDataFrame([("m", i, i + 1, 10 * i, 10 * i + 10, t) for i, t in enumerate(["One", "two.", None, "four"])], "media_id string, pos int, cue_id long, start_ms long, end_ms long, text string")
     batches = spark.createDataFrame([("m", 0, "a", 2), ("m", 3, "b", 1)], "media_id string, pos int, batch_id string, attempt int")
