@@ -28,8 +28,8 @@ from cuelake.llm.components import Groups
 
 SHINGLE, HASHES, BANDS, BATCH = 5, 128, 32, 16
 PERCENT, MISS = 85, 1e-9
-#: Rounds of hubs (1, then 8 a bucket) for the bands. What they leave unresolved is candidates by rare shingles.
-HUB_ROUNDS = 2
+#: Rounds of hubs (one a bucket) for the bands. What they leave unresolved is candidates by rare shingles; eight hubs for each of 32 bands would be all different.
+HUB_ROUNDS = 1
 #: Set sizes of one class differ by at most this factor.
 SIZE_CLASS = 1.01
 _CACHE = 200_000
@@ -171,6 +171,9 @@ def rare_shingles(work: Work, texts: DataFrame, items: DataFrame) -> DataFrame:
     so among the n - 17/37 * (n + m) + 1 rarest of either, one is shared. Sizes are put into classes; an item is listed
     under these rarest shingles once for every class a partner may have, so that only pairs which may still reach
     the threshold meet in a bucket. Shingles that no other item has take their place in the ranking but list nothing.
+
+    Items of which more than 3/37 (15 / 185) is such shingles are apart: of two of them at most 34/37 of the smaller set is shared, and the union is at
+    least 40/37 of it, which is below the threshold. So they are asked only about items that are not apart, and a family of texts just below the threshold makes no pairs.
     """
     texts = texts.join(items.withColumnRenamed("item", "id"), "id", "left_semi")
     flat = work.cut(texts.select("id", "text").mapInArrow(_explode, "item long, n long, s long").distinct())
@@ -179,13 +182,17 @@ def rare_shingles(work: Work, texts: DataFrame, items: DataFrame) -> DataFrame:
     n, ratio = F.col("n"), float(np.log(SIZE_CLASS))
     size_class = lambda x: F.floor(F.log(F.greatest(x, F.lit(1))) / ratio).cast("int")
     own = size_class(n)
+    alone = n - F.size("ranked")
+    apart = (100 + PERCENT) * alone > (100 - PERCENT) * n
 
     def listed(m: Column) -> Column:
         least = F.greatest(F.floor(F.pow(F.lit(SIZE_CLASS), m)) - 1, F.lit(1))
         prefix = n - F.ceil(PERCENT * (n + least) / (100 + PERCENT)) + 1
-        side = F.when(own == m, 2).otherwise((own > m).cast("int"))
-        take = F.greatest(prefix - (n - F.size("ranked")), F.lit(0)).cast("int")
-        return F.transform(F.slice("ranked", F.lit(1), take), lambda r: F.struct(F.xxhash64(r["s"], F.least(own, m), F.greatest(own, m)).alias("bucket"), side.alias("side")))
+        rare = F.slice("ranked", F.lit(1), F.greatest(prefix - alone, F.lit(0)).cast("int"))
+        under = lambda part, side: F.transform(rare, lambda r: F.struct(F.xxhash64(r["s"], F.least(own, m), F.greatest(own, m), part).alias("bucket"), side.alias("side")))
+        # Part 0 holds the smaller sets that are not apart and all larger ones, part 1 the smaller ones that are apart and the larger that are not.
+        first = under(F.when((own < m) & apart, 1).otherwise(0), F.when(own > m, 1).when((own < m) | apart, 0).otherwise(2))
+        return F.concat(first, F.when((own > m) & ~apart, under(F.lit(1), F.lit(1))).otherwise(F.slice(first, 1, 0)))
 
     partners = F.sequence(size_class(n * PERCENT / 100 - 1), size_class(n * 100 / PERCENT + 1))
     return ranked.select("item", F.inline(F.flatten(F.transform(partners, listed))))

@@ -222,6 +222,26 @@ def test_lines_recall_by_length(spark):
     assert all(found[n_words, typos] >= least for n_words, typos, least in classes), found
 
 
+def test_rare_shingles_pass_over_families_below_the_threshold_but_no_link(spark):
+    rng, texts = random.Random(5), []
+    for family in range(4):
+        base = [f"t{family}x{i}" for i in range(300)]
+        for k in range(24):
+            words = base[: 300 - rng.randrange(0, 12)] if family else list(base)
+            for at in rng.sample(range(5, len(words) - 5), 8 if family == 0 else rng.randrange(0, 9)):
+                words[at] = f"own{family}x{k}x{at}"
+            texts.append(" ".join(words))
+    sets = [set(minhash.shingles(t, minhash._Words()).tolist()) for t in texts]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    buckets = {}
+    for r in minhash.rare_shingles(Work(spark, "t"), frame, frame.selectExpr("id AS item")).collect():
+        buckets.setdefault(r.bucket, []).append((r.item, r.side))
+    asked = {(min(a, b), max(a, b)) for x in buckets.values() for a, s in x for b, t in x if a != b and (s != t or s == 2)}
+    linked = {(a, b) for b in range(len(texts)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert linked <= asked and len(linked) > 100
+    assert not any(b < 24 for _, b in asked)  # of 300 words 8 are changed in each of family 0, so that all its pairs are at 0.76 or so
+
+
 def test_lines_keys_that_no_other_line_has_are_never_written(spark, monkeypatch):
     rng, rows = random.Random(3), []
     docs = [(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(20)), "en", None) for i in range(40)]
