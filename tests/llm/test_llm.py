@@ -1,11 +1,12 @@
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cuelake.llm import chat, language, lines, minhash, packing, pages, postings, quality, shards, toxicity
-from cuelake.llm.common import Work
+from cuelake.llm.common import FREE_SHUFFLES, Work
 
 DOCS = "doc_id long, text string, lang string, extra string"
 COMMON = [(1, None, None, "x"), (2, "", "en", None), (3, " \n\t", "en", "x"), (4, "one two", "en", "x"), (5, "one two", "en", "x"), (None, "a b c d e f g", "en", "x"), (6, "word " * 50_000, "en", "x")]
@@ -251,6 +252,34 @@ def test_lines_keys_that_no_other_line_has_are_never_written(spark, monkeypatch)
     assert max(rows) == 40  # 48 keys a line
 
 
+def test_lines_shuffles_are_deleted_once_written(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {name for f in (disk.getAllFiles().apply(i) for i in range(disk.getAllFiles().size())) if (name := f.getName()).startswith("shuffle_")}
+    before, df = files(), spark.range(1000).repartition(4, "id").groupBy("id").count()
+    out = Work(spark, "t").cut(df)
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(FREE_SHUFFLES) == "false" and out.count() == df.count() == 1000
+
+
+def test_lines_copies_share_one_bucket_and_no_candidate_is_lost(spark):
+    pairs = altered_lines(40, 2, 20) + altered_lines(9, 1, 20)
+    frame = spark.createDataFrame([(i, line) for i, line in enumerate(x for pair in pairs for x in pair)], "item long, line string")
+    frame = frame.unionByName(spark.createDataFrame([(1000 + i, " ".join(f"u{i}x{k}" for k in range(30))) for i in range(5)], "item long, line string")).persist()
+    rows = [(r.bucket, r.item) for r in lines.shared(Work(spark, "t"), frame, 85).collect()]
+    assert len(rows) == len(set(rows)) == 80  # two rows a pair, not two for each key that it shares
+    keyed = [(turn, r.bucket, r.item) for turn in range(lines.TURNS) for r in lines.bucketed(frame, turn).collect()]
+    by = {}
+    for turn, bucket, item in keyed:
+        by.setdefault((turn, bucket), set()).add(item)
+    sets = {}
+    for bucket, item in rows:
+        sets.setdefault(bucket, set()).add(item)
+    assert {frozenset(x) for x in by.values() if len(x) > 1} == {frozenset(x) for x in sets.values()}
+
+
 def test_lines_clashing_columns_and_empty_table(spark):
     docs = table(spark, [(1, "a b c d e f", "en", None), (2, "a b c d e f\nx", "en", None)]).withColumns({"_gone": F.lit(1), "_gone_doc": F.lit(2), "n_lines": F.lit("x")})
     got = {r.doc_id: (r.text, r.n_lines, r.n_gone, r._gone, r._gone_doc) for r in lines.dedup_lines(Work(spark, "t"), docs).collect()}
