@@ -4,6 +4,7 @@ import time
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from cuelake.llm import chat, language, lines, minhash, packing, pages, postings, quality, shards, toxicity
 from cuelake.llm.common import FREE_SHUFFLES, Work
@@ -280,6 +281,15 @@ def test_lines_copies_share_one_bucket_and_no_candidate_is_lost(spark):
     assert {frozenset(x) for x in by.values() if len(x) > 1} == {frozenset(x) for x in sets.values()}
 
 
+def test_lines_of_pairs_meet_in_turns_and_few_tasks(spark, monkeypatch):
+    jobs, cut, repartition = [], Work.cut, DataFrame.repartition
+    monkeypatch.setattr(lines, "PAIRS_PER_LINE", 0.1)
+    monkeypatch.setattr(Work, "cut", lambda work, df: jobs.append(df.columns) or cut(work, df))
+    monkeypatch.setattr(DataFrame, "repartition", lambda df, n, *cols: repartition(df, n, *cols) if cols == ("bucket",) else 1 / 0)
+    assert n_gone(spark, altered_lines(20, 1, 30)) == 30
+    assert jobs.count(["a", "b"]) >= 8  # the links of each turn, besides the pairs
+
+
 def test_lines_clashing_columns_and_empty_table(spark):
     docs = table(spark, [(1, "a b c d e f", "en", None), (2, "a b c d e f\nx", "en", None)]).withColumns({"_gone": F.lit(1), "_gone_doc": F.lit(2), "n_lines": F.lit("x")})
     got = {r.doc_id: (r.text, r.n_lines, r.n_gone, r._gone, r._gone_doc) for r in lines.dedup_lines(Work(spark, "t"), docs).collect()}
