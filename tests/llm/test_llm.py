@@ -290,6 +290,47 @@ def test_lines_of_pairs_meet_in_turns_and_few_tasks(spark, monkeypatch):
     assert jobs.count(["a", "b"]) >= 8  # the links of each turn, besides the pairs
 
 
+def test_lines_that_share_common_words_alone_share_no_key(spark):
+    """Sixty words that any line may have, eighteen long ones of its own each: few keys are made, and next to none is shared."""
+    rng = random.Random(11)
+    common = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 4))) for _ in range(60)]
+    own = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(9))
+    rows = []
+    for i in range(400):
+        words = [rng.choice(common) for _ in range(12)] + [own() for _ in range(18)]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+    frame = spark.createDataFrame(rows, "item long, line string").persist()
+    assert sum(lines.bucketed(frame, turn).count() for turn in range(lines.TURNS)) <= 20 * len(rows)
+    assert lines.shared(Work(spark, "t"), frame, len(rows)).count() <= 20
+
+
+def test_lines_of_many_copies_make_their_keys_once(spark):
+    frame = spark.createDataFrame([(i % 3 if i < 300 else i, f"line {i % 3 if i < 300 else i}", i) for i in range(320)], "item long, line string, at long")
+    got = sorted((r.item, r.line) for r in lines.few_copies(Work(spark, "t"), frame, 320).collect())
+    assert got == [(i, f"line {i}") for i in [0, 1, 2, *range(300, 320)]]
+
+
+def test_lines_between_common_words_are_as_far_apart(spark):
+    rng = random.Random(1)
+    line = lambda: " ".join(rng.choice("ab abc c d x abd".split()) for _ in range(rng.randrange(1, 9)))
+    frame = spark.createDataFrame([(line(), line()) for _ in range(2000)] + [("a b", "a b"), ("a", "a a"), ("a b", "a c b")], "x string, y string")
+    x, y = lines.between(F.col("x"), F.col("y"))
+    rows = frame.select(F.levenshtein("x", "y").alias("whole"), F.levenshtein(x, y).alias("rest"), F.length(x).alias("n")).collect()
+    assert all(r.whole == r.rest for r in rows) and rows[-1].n == 0
+
+
+def test_lines_without_spaces_are_found(spark):
+    rng, docs = random.Random(4), []
+    for i in range(60):
+        a = [chr(0x4E00 + rng.randrange(3000)) for _ in range(40)]
+        b = list(a)
+        for at in rng.sample(range(40), 3):
+            b[at] = chr(0x4E00 + rng.randrange(3000))
+        docs += [(2 * i, "".join(a), "zh", None), (2 * i + 1, "".join(b), "zh", None)]
+    assert lines.dedup_lines(Work(spark, "t"), table(spark, docs)).agg(F.sum("n_gone")).first()[0] >= 57
+
+
 def test_lines_clashing_columns_and_empty_table(spark):
     docs = table(spark, [(1, "a b c d e f", "en", None), (2, "a b c d e f\nx", "en", None)]).withColumns({"_gone": F.lit(1), "_gone_doc": F.lit(2), "n_lines": F.lit("x")})
     got = {r.doc_id: (r.text, r.n_lines, r.n_gone, r._gone, r._gone_doc) for r in lines.dedup_lines(Work(spark, "t"), docs).collect()}
