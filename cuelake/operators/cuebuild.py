@@ -308,6 +308,20 @@ def choose_cues(word_cues: DataFrame, segment_cues: DataFrame, matches: DataFram
     return cues, transcript.choose_timing(each).join(n, "media_id").select("media_id", "timing", "windows", "word_timed")
 
 
+def choose_window_cues(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As choose_cues for windows (media_id, chunk_id, word_cues, segment_cues, matched) that hold their cues as arrays: no cue is shuffled, timing takes counts only.
+
+    cues: (media_id, chunk_id, timing, cues) of windows that have some.
+    """
+    worded = F.coalesce(F.col("matched") & (F.size("word_cues") > 0), F.lit(False))
+    each = windows.select("media_id", "chunk_id", worded.alias("matched"))
+    n = each.groupBy("media_id").agg(F.count(F.lit(1)).alias("windows"), F.count_if("matched").alias("word_timed"))
+    timing = F.when(F.col("word_timed") == 0, "segment-fallback").when(F.col("word_timed") == F.col("windows"), "word").otherwise("mixed")
+    chosen = windows.withColumn("matched", worded)
+    chosen = chosen.select("media_id", "chunk_id", F.when(F.col("matched"), "word").otherwise("segment-fallback").alias("timing"), F.when(F.col("matched"), F.col("word_cues")).otherwise(F.col("segment_cues")).alias("cues"))
+    return chosen.where(F.size("cues") > 0), n.select("media_id", timing.alias("timing"), "windows", "word_timed")
+
+
 def detection_window(samples: Column, rate: Column, seconds: int = DETECT_S) -> Column:
     """The first seconds of an array of samples."""
     return F.slice(samples, 1, (rate * seconds).cast("int"))

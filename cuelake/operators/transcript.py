@@ -53,9 +53,9 @@ def words_match_segments(words: DataFrame, segments: DataFrame) -> DataFrame:
     return said.join(gathered(segments, "seg_idx", "segments"), key, "full").select(*key, _spelled(F.col("said"), "segments").alias("matched"))
 
 
-def windows_match_segments(windows: DataFrame) -> DataFrame:
-    """As words_match_segments for windows (media_id, chunk_id, words, segments) that hold both as arrays in order: nothing is shuffled."""
-    return windows.select("media_id", "chunk_id", _spelled(F.when(F.size("words") > 0, _said("words")), "segments").alias("matched"))
+def windows_match_segments(windows: DataFrame, *keep: str) -> DataFrame:
+    """As words_match_segments for windows (media_id, chunk_id, words, segments) that hold both as arrays in order: nothing is shuffled. keep: further columns that pass through."""
+    return windows.select("media_id", "chunk_id", *keep, _spelled(F.when(F.size("words") > 0, _said("words")), "segments").alias("matched"))
 
 
 def _said(words: str) -> Column:

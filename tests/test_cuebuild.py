@@ -101,3 +101,14 @@ def test_windows_choose_words_only_where_they_spell_the_segments(spark):
     cues, timing = cuebuild.choose_cues(words_, segments_, matched)
     assert sorted((r.media_id, r.chunk_id, r.text) for r in cues.collect()) == [("a", 0, "w"), ("a", 1, "s"), ("a", 2, "s"), ("b", 0, "w"), ("c", 0, "s")]
     assert {tuple(r) for r in timing.collect()} == {("a", "mixed", 3, 1), ("b", "word", 1, 1), ("c", "segment-fallback", 1, 0)}
+
+
+def test_windows_with_their_cues_choose_alike_and_shuffle_none(spark):
+    cue, rows = [("w",)], [("a", 0, [("w",)], True), ("a", 1, [("w",)], False), ("a", 2, None, True), ("b", 0, [("w",)], True), ("c", 0, [], True), ("c", 1, [("w",)], None)]
+    windows = spark.createDataFrame([(m, c, w, [("s",)], ok) for m, c, w, ok in rows] + [("d", 0, cue, [], False)], "media_id string, chunk_id int, word_cues array<struct<text: string>>, segment_cues array<struct<text: string>>, matched boolean")
+    cues, timing = cuebuild.choose_window_cues(windows)
+    got = sorted((r.media_id, r.chunk_id, r.timing, r.cues[0].text) for r in cues.collect())
+    f = "segment-fallback"
+    assert got == [("a", 0, "word", "w"), ("a", 1, f, "s"), ("a", 2, f, "s"), ("b", 0, "word", "w"), ("c", 0, f, "s"), ("c", 1, f, "s")]
+    assert {tuple(r) for r in timing.collect()} == {("a", "mixed", 3, 1), ("b", "word", 1, 1), ("c", f, 2, 0), ("d", f, 1, 0)}
+    assert "Exchange" not in cues._jdf.queryExecution().executedPlan().toString()
